@@ -7,6 +7,10 @@ text is DuckDB's dialect: ``datediff('day', start, end)``, ``strftime`` and
 """
 from __future__ import annotations
 
+from stockboard.operators.aggregates import KPI_DEFINITIONS, STATUSES, kpi_filter_json
+from stockboard.operators.contracts import MATERIAL_V1
+from stockboard.sources import generate as G
+
 MATERIALS = """
 materials as (
   select concat('MAT-', cast(100777 + p_partkey * 13 as varchar)) as material_nr,
@@ -118,9 +122,293 @@ def risk_sql(seit: str = "1998-01-01", tol: int = 0, min_n: int = 1, classes: tu
 select * from r{where_cls}"""
 
 
+
+V_GRAPH = with_views(MATERIALS) + """
+, nodes as (
+  select 'Material:' || material_nr as node_id, 'Material' as label, max(bezeichnung) as name
+    from materials where material_nr is not null group by material_nr
+  union all
+  select 'Werk:' || werk_id, 'Werk', max(werk_name) from materials where werk_id is not null group by werk_id
+  union all
+  select 'Warengruppe:' || warengruppe, 'Warengruppe', warengruppe
+    from materials where warengruppe <> '' group by warengruppe
+  union all
+  select 'Lieferant:' || printf('L-%06d', s_suppkey), 'Lieferant', max(s_name) from supplier group by s_suppkey
+), edges as (
+  select distinct * from (
+    select 'LOCATED_IN' as rel, 'Material:' || material_nr as src, 'Werk:' || werk_id as dst
+      from materials where werk_id is not null
+    union all
+    select 'HAS_WARENGRUPPE', 'Material:' || material_nr, 'Warengruppe:' || warengruppe
+      from materials where warengruppe <> ''
+    union all
+    select 'SUPPLIES', 'Lieferant:' || printf('L-%06d', l_suppkey),
+           'Material:' || concat('MAT-', cast(100777 + l_partkey * 13 as varchar))
+      from (select distinct l_suppkey, l_partkey from lineitem) e
+      where concat('MAT-', cast(100777 + l_partkey * 13 as varchar)) in (select material_nr from materials)
+  ) u
+)
+"""
+
+
+def _draw(name: str, *ids: str) -> str:
+    parts = ", ".join(["'42'", f"'{name}'", *[f"cast({i} as varchar)" for i in ids]])
+    return f"cast('0x' || substr(sha256(concat_ws(':', {parts})), 1, 15) as bigint)"
+
+
+def _choice(d: str, values) -> str:
+    whens = " ".join(f"when {i} then {_lit(v)}" for i, v in enumerate(values))
+    return f"(case ({d}) % {len(values)} {whens} end)"
+
+
+def _weighted(d: str, values, weights) -> str:
+    bound, whens = 0, []
+    for v, w in zip(values, weights):
+        bound += w
+        whens.append(f"when ({d}) % {sum(weights)} < {bound} then {_lit(v)}")
+    return "(case " + " ".join(whens) + " end)"
+
+
+def _lit(v) -> str:
+    return f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def _uniform(d: str, lo: int, hi: int) -> str:
+    return f"({lo} + ({d}) % {hi - lo + 1})"
+
+
+GENERATE_MATERIALS = f"""
+with ids as (select p_partkey - 1 as i from part)
+select cast(i as bigint) as i,
+  concat('MAT-', cast(100777 + i * 13 as varchar)) as material_nr,
+  {_choice(_draw('name', 'i'), G.NAMES)} as bezeichnung,
+  {_weighted(_draw('warengruppe', 'i'), G.GROUPS, G.GROUP_WEIGHTS)} as warengruppe,
+  {_choice(_draw('werk', 'i') + ' % 4', [p[0] for p in G.PLANTS])} as werk_id,
+  {_choice(_draw('werk', 'i') + ' % 4', [p[1] for p in G.PLANTS])} as werk_name,
+  {_weighted(_draw('status', 'i'), G.STATUSES, G.STATUS_WEIGHTS)} as status,
+  {_choice(_draw('einheit', 'i'), G.UNITS)} as einheit,
+  cast({_uniform(_draw('bestand', 'i'), *G.STOCK_RANGE)} as bigint) as bestand,
+  cast({_uniform(_draw('preis', 'i'), *G.PRICE_CENTS_RANGE)} as double) / 100.0 as preis,
+  printf('2026-%02d-%02d', cast({_uniform(_draw('monat', 'i'), *G.CHANGE_MONTHS)} as int),
+         cast({_uniform(_draw('tag', 'i'), *G.CHANGE_DAYS)} as int)) as geaendert
+from ids
+"""
+
+_HUNDREDTHS = (f"({_choice(_draw('bias', 'lieferant_id'), G.DELAY_BIASES)} * 100 "
+               f"+ {_uniform(_draw('verzug', 'lieferant_id', 'n'), -300, 300)})")
+GENERATE_DELIVERIES = V_SUP + f"""
+, series as (select lieferant_id, n from suppliers cross join range(0, {G.DELIVERIES_PER_SUPPLIER}) t(n))
+, d as (
+  select lieferant_id,
+    concat('MAT-', cast(100777 + {_uniform(_draw('material', 'lieferant_id', 'n'), 0, 63)} * 13 as varchar))
+      as material_nr,
+    date '2026-01-01' + cast(n * 5 as int) as zugesagt_am,
+    greatest(0, cast(floor(({_HUNDREDTHS} + 50) / 100.0) as int)) as verzug,
+    cast({_uniform(_draw('menge', 'lieferant_id', 'n'), *G.QUANTITY_RANGE)} as int) as menge,
+    cast({_weighted(_draw('reklamationen', 'lieferant_id', 'n'), G.COMPLAINTS, G.COMPLAINT_WEIGHTS)} as int)
+      as reklamationen
+  from series)
+select lieferant_id, material_nr, zugesagt_am, zugesagt_am + verzug as geliefert_am, menge, reklamationen
+from d
+"""
+
+V2_COLS = """material_nr, bezeichnung, nullif(warengruppe, '') as warengruppe, werk_id, werk_name, status,
+  bestand, preis, round(cast(bestand as double) * preis, 2) as bestandswert, geaendert"""
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _kpi_board() -> str:
+    selects = []
+    for pos, (kid, label, color, flt) in enumerate(KPI_DEFINITIONS, start=1):
+        selects.append(f"select cast({pos} as int) as position, '{kid}' as kpi_id, '{label}' as label, "
+                       f"'{color}' as color, cast({kid} as bigint) as value, '{kpi_filter_json(flt)}' as filter from c")
+    counts = ", ".join(f"count_if(status = '{s}') as {s.lower().replace(' ', '_')}" for s in STATUSES)
+    return (V_FLAT + f", c as (select {counts}, count_if(warengruppe is null or warengruppe = '') "
+            f"as ohne_klassifizierung from flat)\n" + "\nunion all\n".join(selects))
+
+
+_DUCK_TYPES = {"string": "varchar", "bigint": "bigint", "double": "double"}
+
+
+def _contract_violations(contract) -> str:
+    parts, pos = [], 0
+    for f in contract.fields:
+        c = f.name
+        rules = []
+        if not f.nullable:
+            rules.append(("required", f"count_if({c} is null)"))
+        rules.append(("type", f"count_if({c} is not null and try_cast({c} as "
+                              f"{_DUCK_TYPES[f.dataType.simpleString()]}) is null)"))
+        if "domain" in f.metadata:
+            rules.append(("domain", f"count_if({c} is not null and {c} not in {_in(f.metadata['domain'])})"))
+        for rule, expr in rules:
+            parts.append(f"select cast({pos} as int) as pos, '{c}' as feld, '{rule}' as regel, "
+                         f"cast({expr} as bigint) as verstoesse from flat")
+            pos += 1
+    return V_FLAT + "\nunion all\n".join(parts)
+
+
+_FLAT_ORDER = "material_nr, bezeichnung, warengruppe, werk, status, einheit, bestand, geaendert"
+_LABELS = {f.name: f.metadata["label"].upper() for f in __import__(
+    "stockboard.operators.contracts", fromlist=["TABLE_COLUMNS"]).TABLE_COLUMNS.fields}
+
 ORACLE: dict[str, str] = {
-    "supplier_risk": risk_sql(),
-    "supplier_risk_tolerance": risk_sql(tol=3),
+    # S
+    "scan_materials": V_MAT + "select * from materials",
+    "scan_materials_flat": V_FLAT + "select * from flat",
+    "scan_supplier_links": V_SUP + "select * from suppliers",
+    "scan_deliveries": V_DEL + "select * from lieferungen where geliefert_am >= date '1998-01-01'",
+    "generate_materials": GENERATE_MATERIALS,
+    "generate_deliveries": GENERATE_DELIVERIES,
+    "graph_nodes": V_GRAPH + "select * from nodes",
+    "graph_edges": V_GRAPH + "select * from edges",
+    "purge_label": V_GRAPH + """select * from edges
+      where src not in (select node_id from nodes where label = 'Werk')
+        and dst not in (select node_id from nodes where label = 'Werk')""",
+    "records_json": risk_sql(),
+    "snapshot_roundtrip": risk_sql(),
+    # P
+    "material_overview_v1": V_MAT + """
+      select material_nr, bezeichnung, nullif(warengruppe, '') as warengruppe, werk_name as werk, status,
+             einheit, bestand, geaendert
+      from materials
+      where status in ('Aktiv', 'Obsolet') and werk_name in ('NATION_1', 'NATION_2', 'NATION_5')
+        and contains(lower(material_nr || ' ' || coalesce(bezeichnung, '')), 'o')""",
+    "material_overview_v2": V_MAT + f"""
+      select * from (select {V2_COLS} from materials) v
+      where status in ('Aktiv', 'Nicht geliefert') and werk_id in ('W-4', 'W-9', 'W-16')
+        and coalesce(bestandswert, 0) >= 20000.0
+        and contains(lower(material_nr || ' ' || coalesce(bezeichnung, '')), 'mat-10')""",
+    "blank_to_null": V_MAT + "select material_nr, nullif(warengruppe, '') as warengruppe from materials",
+    "lenient_cast": V_MAT + """select material_nr, try_cast(cast(bestand as varchar) as bigint) as bestand,
+      try_cast(status as bigint) as status_zahl, try_cast(substr(material_nr, 5) as bigint) as nummer
+      from materials""",
+    "stock_value": V_MAT + """select material_nr, bestand, preis,
+      round(cast(bestand as double) * preis, 2) as bestandswert from materials""",
+    "delay_days": V_DEL + """select lieferant_id, material_nr, geliefert_am, zugesagt_am,
+      cast(datediff('day', zugesagt_am, geliefert_am) as int) as verzug_tage from lieferungen""",
+    "supplier_kpis_filled": V_ALL + """
+      , k as (select lieferant_id, count(*) as lieferungen,
+          avg(datediff('day', zugesagt_am, geliefert_am)) as mittlerer_verzug_tage,
+          avg(cast(datediff('day', zugesagt_am, geliefert_am) <= 0 as double)) as puenktlich,
+          avg(cast(reklamationen > 0 as double)) as reklamationsquote
+        from lieferungen where geliefert_am >= date '1998-01-01' group by lieferant_id)
+      select s.*, cast(coalesce(k.lieferungen, 0) as bigint) as lieferungen,
+        coalesce(mittlerer_verzug_tage, 0.0) as mittlerer_verzug_tage, coalesce(puenktlich, 1.0) as puenktlich,
+        coalesce(reklamationsquote, 0.0) as reklamationsquote
+      from suppliers s left join k on s.lieferant_id = k.lieferant_id""",
+    "risk_score": f"select lieferant_id, risiko_score from ({risk_sql(min_n=0)}) r",
+    "risk_class_histogram": f"""select risiko_klasse, count(*) as lieferanten
+      from ({risk_sql()}) r group by risiko_klasse""",
+    "visible_columns": V_FLAT + "select material_nr, bezeichnung, status, bestand from flat",
+    "label_columns": V_FLAT + "select " + ", ".join(f'{c} as "{l}"' for c, l in _LABELS.items()) + " from flat",
+    "format_thousands": V_MAT + """
+      , p as (select werk_id, cast(sum(coalesce(bestand, 0)) as bigint) as bestand_gesamt
+              from materials group by werk_id)
+      select werk_id, bestand_gesamt, replace(format('{:,}', bestand_gesamt), ',', '.') as bestand_text from p""",
+    "status_color": V_FLAT + """select material_nr, status, case status when 'Aktiv' then '#2e9e5b'
+      when 'Nicht geliefert' then '#ef6c00' when 'Obsolet' then '#6b7683' when 'Gesperrt' then '#d13b3b' end
+      as farbe from flat""",
+    "normalize_change_date": V_MAT + """select material_nr, geaendert,
+      cast(coalesce(try_strptime(geaendert, '%d.%m.%Y'), try_strptime(geaendert, '%Y-%m-%d')) as date)
+      as geaendert_datum from materials""",
+    # F
+    "multiselect": V_FLAT + "select * from flat where status in ('Aktiv', 'Gesperrt') and werk in ('NATION_3', 'NATION_7')",
+    "unclassified": V_FLAT + "select * from flat where warengruppe is null or warengruppe = ''",
+    "search_any": V_FLAT + """select * from flat
+      where contains(lower(material_nr), 'blue') or contains(lower(bezeichnung), 'blue')""",
+    "search_joined": V_MAT + """select * from materials
+      where contains(lower(material_nr || ' ' || coalesce(bezeichnung, '')), '7 red')""",
+    "min_stock_value": V_MAT + f"select * from (select {V2_COLS} from materials) v where coalesce(bestandswert, 0) >= 50000.0",
     "supplier_risk_all": risk_sql(min_n=0),
     "supplier_risk_hoch": risk_sql(classes=("hoch",)),
+    "apply_filters": V_FLAT + """select * from flat
+      where status in ('Aktiv', 'Gesperrt') and werk in ('NATION_3', 'NATION_7', 'NATION_11')
+        and (contains(lower(material_nr), 'red') or contains(lower(bezeichnung), 'red'))""",
+    "apply_filters_empty": V_FLAT + "select * from flat",
+    "column_filters": V_FLAT + """select * from flat
+      where bestand >= 1000 and lower(status) = 'aktiv' and contains(lower(bezeichnung), 'gear')""",
+    "kpi_drilldown": V_FLAT + "select * from flat where status in ('Nicht geliefert')",
+    # J
+    "supplier_kpis": V_ALL + """
+      , k as (select lieferant_id, count(*) as lieferungen,
+          avg(datediff('day', zugesagt_am, geliefert_am)) as mittlerer_verzug_tage,
+          avg(cast(datediff('day', zugesagt_am, geliefert_am) <= 0 as double)) as puenktlich,
+          avg(cast(reklamationen > 0 as double)) as reklamationsquote
+        from lieferungen where geliefert_am >= date '1998-01-01' group by lieferant_id)
+      select s.*, k.lieferungen, k.mittlerer_verzug_tage, k.puenktlich, k.reklamationsquote
+      from suppliers s left join k on s.lieferant_id = k.lieferant_id""",
+    "apply_mappings": with_views(MATERIALS, MAPPING_EVENTS, LATEST_MAPPING) + """
+      select m.material_nr, bezeichnung, coalesce(l.ziel_warengruppe, m.warengruppe) as warengruppe, werk_id,
+        werk_name, status, einheit, bestand, preis, geaendert
+      from materials m left join latest_mapping l on m.material_nr = l.material_nr""",
+    # A
+    "count_status": V_FLAT + "select " + ", ".join(
+        f"count_if(status = '{s}') as {s.lower().replace(' ', '_')}" for s in STATUSES) + " from flat",
+    "count_unclassified": V_FLAT + "select count_if(warengruppe is null or warengruppe = '') as ohne_klassifizierung from flat",
+    "kpi_board": _kpi_board(),
+    "delivery_kpis": V_DEL + """select lieferant_id, count(*) as lieferungen,
+        avg(datediff('day', zugesagt_am, geliefert_am)) as mittlerer_verzug_tage,
+        avg(cast(datediff('day', zugesagt_am, geliefert_am) <= 0 as double)) as puenktlich,
+        avg(cast(reklamationen > 0 as double)) as reklamationsquote
+      from lieferungen where geliefert_am >= date '1998-01-01' group by lieferant_id""",
+    "delivery_kpis_tolerance": V_DEL + """select lieferant_id, count(*) as lieferungen,
+        avg(datediff('day', zugesagt_am, geliefert_am)) as mittlerer_verzug_tage,
+        avg(cast(datediff('day', zugesagt_am, geliefert_am) <= 3 as double)) as puenktlich,
+        avg(cast(reklamationen > 0 as double)) as reklamationsquote
+      from lieferungen where geliefert_am >= date '1998-01-01' group by lieferant_id""",
+    "plant_load": V_MAT + """select werk_id, min(werk_name) as werk_name, count(*) as materialien,
+        cast(sum(coalesce(bestand, 0)) as bigint) as bestand_gesamt
+      from materials group by werk_id having count(*) >= 0""",
+    "delivery_summary": V_DEL + """select lieferant_id, count(*) as lieferungen,
+        round(avg(datediff('day', zugesagt_am, geliefert_am)), 2) + 0.0 as mittlerer_verzug
+      from lieferungen group by lieferant_id""",
+    "nodes_per_label": V_GRAPH + "select label, count(*) as anzahl from nodes group by label",
+    "record_counter": V_FLAT + """, c as (select count_if(status in ('Aktiv', 'Gesperrt')
+          and werk in ('NATION_3', 'NATION_7', 'NATION_11')
+          and (contains(lower(material_nr), 'red') or contains(lower(bezeichnung), 'red'))) as gefiltert,
+        count(*) as gesamt from flat)
+      select gefiltert, gesamt, cast(gefiltert as varchar) || ' / ' || cast(gesamt as varchar) || ' Datensätze'
+        as anzeige from c""",
+    "envelope_meta": f"""select 'supplier-risk' as product, '1.0' as version, 'v1' as api_version,
+        timestamp '2026-12-03 10:42:00' as generated_at,
+        cast(least(10, greatest(count(*) - 5, 0)) as bigint) as row_count, count(*) as total_count,
+        'neo4j+postgres' as source, 'miss' as cache, false as deprecated, cast(null as date) as sunset
+      from ({risk_sql()}) r""",
+    "distinct_values": V_FLAT + "select distinct werk as wert from flat where werk is not null and werk <> ''",
+    "content_fingerprint": """select count(*) as n_rows, cast(coalesce(sum(cast('0x' || substr(sha256(concat_ws(chr(31),
+        coalesce(cast(p_partkey as varchar), '\\N'), coalesce(p_name, '\\N'), coalesce(p_brand, '\\N'),
+        coalesce(p_type, '\\N'), coalesce(cast(p_size as varchar), '\\N'))), 1, 15) as bigint)), 0) as varchar)
+        as fingerprint from part""",
+    # W
+    "latest_version": """select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+      from (select *, row_number() over (partition by o_custkey
+              order by (o_orderstatus = 'F') asc, o_orderdate desc, o_orderkey desc) rn from orders) t
+      where rn = 1""",
+    "key_collisions": """select l_orderkey, l_linenumber, count(*) as anzahl from lineitem
+      group by l_orderkey, l_linenumber having count(*) > 1""",
+    "upsert_by_key": with_views(MAPPING_EVENTS, LATEST_MAPPING) + "select * from latest_mapping",
+    # O
+    "top_risk": f"select * from ({risk_sql()}) r order by risiko_score desc, lieferant_id limit 10",
+    "page": V_MAT + f"select * from (select {V2_COLS} from materials) v order by material_nr limit 10 offset 5",
+    "sorted_page": V_FLAT + "select * from flat order by bestand desc nulls last, "
+                   + ", ".join(f"{c} asc nulls last" for c in _FLAT_ORDER.split(", "))
+                   + " limit 20 offset 40",
+    # U
+    "contract_violations": _contract_violations(MATERIAL_V1),
+    "mapping_rejects": V_MAT + """select material_nr, case
+        when material_nr is null then 'material_nr fehlt'
+        when length(material_nr) < 1 then 'material_nr zu kurz'
+        when length(material_nr) > 40 then 'material_nr zu lang'
+        when warengruppe is null then 'ziel_warengruppe fehlt'
+        when length(warengruppe) < 1 then 'ziel_warengruppe zu kurz'
+        when length(warengruppe) > 80 then 'ziel_warengruppe zu lang'
+        when bezeichnung is not null and length(bezeichnung) > 500 then 'kommentar zu lang'
+      end as grund from materials""",
+    # E
+    "supplier_risk": risk_sql(),
+    "supplier_risk_tolerance": risk_sql(tol=3),
 }

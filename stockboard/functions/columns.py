@@ -116,5 +116,5 @@ def lookup_constant(c: Column | str, mapping: Mapping[str, str]) -> Column:
 
 def normalize_change_date(c: Column | str) -> Column:
     """Text date in 'dd.MM.yyyy' or ISO 'yyyy-MM-dd' -> DateType; else null."""
-    tries = [F.try_to_date(_col(c), F.lit(fmt)) for fmt in DATE_FORMATS]
+    tries = [F.try_to_date(_col(c), fmt) for fmt in DATE_FORMATS]
     return F.coalesce(*tries)

@@ -55,8 +55,11 @@ TABLE_COLUMNS = T.StructType([
 
 def project_contract(df: DataFrame, contract: T.StructType,
                      renames: Mapping[str, str] | None = None) -> DataFrame:
-    """Exactly the contract's fields, in order, renamed and cast."""
-    src = {v: k for k, v in (renames or {}).items()}
+    """Exactly the contract's fields, in order, renamed and cast.
+
+    ``renames`` maps a contract field to the source column it comes from.
+    """
+    src = dict(renames or {})
     return df.select(*[F.col(src.get(f.name, f.name)).cast(f.dataType).alias(f.name)
                        for f in contract.fields])
 

@@ -52,6 +52,10 @@ def source_label(sources: Sequence[str]) -> str:
     return "+".join(names) if names else "none"
 
 
+def _utc_naive(t: dt.datetime) -> dt.datetime:
+    return t.astimezone(dt.timezone.utc).replace(tzinfo=None) if t.tzinfo else t
+
+
 def envelope_meta(result: DataFrame, *, product: str, version: str, generated_at: dt.datetime,
                   limit: int = DEFAULT_LIMIT, offset: int = 0, sources: Sequence[str] = (),
                   cache: str = "miss", deprecated: bool = False,
@@ -67,7 +71,7 @@ def envelope_meta(result: DataFrame, *, product: str, version: str, generated_at
     return result.agg(
         F.lit(product).alias("product"), F.lit(version).alias("version"),
         F.lit("v1").alias("api_version"),
-        F.lit(generated_at).cast("timestamp").alias("generated_at"),
+        F.lit(_utc_naive(generated_at).isoformat(sep=" ")).cast("timestamp_ntz").alias("generated_at"),
         row_count.cast("bigint").alias("row_count"), total.alias("total_count"),
         F.lit(source_label(sources)).alias("source"), F.lit(cache).alias("cache"),
         F.lit(deprecated).alias("deprecated"),

@@ -1,20 +1,52 @@
 """The registered queries: every inventory operator applied to the entity
 views of the test tables. Each entry is ``(spark, base_dir) -> DataFrame``;
-every one reads whole tables and returns a lazy DataFrame.
+every one reads whole tables and returns a lazy DataFrame (the snapshot and
+JSON round trips write first, then return the read-back DataFrame).
 """
 from __future__ import annotations
 
 import datetime as dt
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stockboard.functions import columns as C
+from stockboard.functions import predicates as PR
+from stockboard.operators import aggregates as A
+from stockboard.operators import contracts as K
+from stockboard.operators import filters as FL
+from stockboard.operators import keyed as KY
+from stockboard.operators import paging as PG
 from stockboard.plans import products as P
+from stockboard.session import ensure_checkpoint_dir
+from stockboard.sources import generate as G
+from stockboard.sources import graph as GR
+from stockboard.sources import scans as S
+from stockboard.sources import snapshots as SN
 from stockboard.sources import views as V
+from stockboard.sources.tables import read_json_records, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixed parameters of the registered queries.
 SINCE = dt.date(1998, 1, 1)
+SEED = 42
+SEED_MATERIALS = 64
+GENERATED_AT = dt.datetime(2026, 12, 3, 10, 42, 0)
+MAPPING_SPLIT = dt.datetime(1998, 1, 1)
+FILTER_STATE = {"status": ["Aktiv", "Gesperrt"], "werk": ["NATION_3", "NATION_7", "NATION_11"],
+                "search": "  Red ", "ohne_klass": False}
+V1_PARAMS = P.MaterialParams(status=("Aktiv", "Obsolet"), werk=("NATION_1", "NATION_2", "NATION_5"),
+                             suche="o")
+V2_PARAMS = P.MaterialParams(status=("Aktiv", "Nicht geliefert"), werk=("W-4", "W-9", "W-16"),
+                             min_bestandswert=20000.0, suche="mat-10")
+
+
+def _flat(spark, base):
+    return S.scan_materials_flat(V.materials(spark, base))
 
 
 def _risk(tol: int = 0, min_n: int = 1, classes: tuple[str, ...] = ()) -> Query:
@@ -24,9 +56,365 @@ def _risk(tol: int = 0, min_n: int = 1, classes: tuple[str, ...] = ()) -> Query:
     return q
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    root = ensure_checkpoint_dir(spark)
+    return os.path.join(root, "stockboard", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _links(spark, base):
+    return (V.supply_links(spark, base)
+            .select(V.supplier_id(F.col("supplier_key")).alias("lieferant_id"),
+                    V.material_nr(F.col("material_key")).alias("material_nr")))
+
+
+def _graph(spark, base):
+    mats = V.materials(spark, base)
+    nodes = GR.to_graph_nodes(mats, V.supplier_master(spark, base))
+    edges = GR.to_graph_edges(mats, _links(spark, base))
+    return nodes, edges
+
+
+def _material_ids(spark, base):
+    return read_table(spark, base, "part", ["p_partkey"]).select((F.col("p_partkey") - 1).alias("i"))
+
+
+# --- scans, sources, sinks ---------------------------------------------------
+
+def q_scan_materials(spark, base):
+    return S.order_materials(V.materials(spark, base))
+
+
+def q_scan_deliveries(spark, base):
+    return S.order_deliveries(S.scan_deliveries(V.deliveries(spark, base), SINCE))
+
+
+def q_generate_materials(spark, base):
+    return G.generate_materials(_material_ids(spark, base), SEED)
+
+
+def q_generate_deliveries(spark, base):
+    return G.generate_deliveries(V.suppliers(spark, base).select("lieferant_id"), SEED_MATERIALS, SEED)
+
+
+def q_sample_supplier_links(spark, base):
+    ids = _material_ids(spark, base)
+    n = ids.agg(F.max("i")).first()[0] + 1          # one scalar, from Parquet footers
+    mats = G.generate_materials(ids, SEED)
+    return G.sample_supplier_links(V.supplier_master(spark, base), mats, n, 8, 30, SEED)
+
+
+def q_graph_nodes(spark, base):
+    return _graph(spark, base)[0].select("node_id", "label", "name")
+
+
+def q_graph_edges(spark, base):
+    return _graph(spark, base)[1]
+
+
+def q_purge_label(spark, base):
+    nodes, edges = _graph(spark, base)
+    return GR.purge_label(nodes, edges, "Werk")[1]
+
+
+def q_nodes_per_label(spark, base):
+    return GR.nodes_per_label(_graph(spark, base)[0])
+
+
+def q_records_json(spark, base):
+    path = _scratch(spark, "records")
+    SN.write_records(_risk()(spark, base), path)
+    return read_json_records(spark, path, K.SUPPLIER_RISK_V1)
+
+
+def q_snapshot_roundtrip(spark, base):
+    root = _scratch(spark, "snapshots")
+    params = {"seit": SINCE.isoformat(), "toleranz_tage": 0, "min_lieferungen": 1}
+    key = SN.snapshot_key("supplier-risk", 1, params)
+    SN.materialize_snapshot(_risk()(spark, base), root, key, "supplier-risk", GENERATED_AT, 300)
+    data, state = SN.read_snapshot(spark, root, key, GENERATED_AT + dt.timedelta(seconds=60))
+    if state != "hit":
+        raise RuntimeError("snapshot not readable right after writing")
+    return data
+
+
+# --- projections and computed columns ----------------------------------------
+
+def q_blank_to_null(spark, base):
+    m = V.materials(spark, base)
+    return m.select("material_nr", C.blank_to_null("warengruppe").alias("warengruppe"))
+
+
+def q_lenient_cast(spark, base):
+    m = V.materials(spark, base)
+    return m.select("material_nr", C.lenient_long(F.col("bestand").cast("string")).alias("bestand"),
+                    C.lenient_long("status").alias("status_zahl"),
+                    C.lenient_long(F.substring_index("material_nr", "-", -1)).alias("nummer"))
+
+
+def q_stock_value(spark, base):
+    m = V.materials(spark, base)
+    return m.select("material_nr", "bestand", "preis", C.stock_value().alias("bestandswert"))
+
+
+def q_delay_days(spark, base):
+    d = V.deliveries(spark, base)
+    return d.select("lieferant_id", "material_nr", "geliefert_am", "zugesagt_am",
+                    C.delay_days().alias("verzug_tage"))
+
+
+def q_supplier_kpis(spark, base):
+    kpis = A.delivery_kpis(S.scan_deliveries(V.deliveries(spark, base), SINCE))
+    return P.supplier_kpis(V.suppliers(spark, base), kpis)
+
+
+def q_supplier_kpis_filled(spark, base):
+    return P.fill_defaults(q_supplier_kpis(spark, base))
+
+
+def q_risk_score(spark, base):
+    return _risk(min_n=0)(spark, base).select("lieferant_id", "risiko_score")
+
+
+def q_risk_class_histogram(spark, base):
+    return P.risk_class_histogram(_risk()(spark, base))
+
+
+def q_visible_columns(spark, base):
+    return K.visible_columns(_flat(spark, base), ["status", "bestand"])
+
+
+def q_label_columns(spark, base):
+    return K.label_columns(_flat(spark, base))
+
+
+def q_format_thousands(spark, base):
+    load = P.plant_load_product(V.materials(spark, base))
+    return load.select("werk_id", "bestand_gesamt", C.format_thousands("bestand_gesamt").alias("bestand_text"))
+
+
+def q_status_color(spark, base):
+    from stockboard.operators.aggregates import STATUSES
+    colors = dict(zip(STATUSES, ("#2e9e5b", "#ef6c00", "#6b7683", "#d13b3b")))
+    return _flat(spark, base).select("material_nr", "status", C.lookup_constant("status", colors).alias("farbe"))
+
+
+def q_normalize_change_date(spark, base):
+    m = V.materials(spark, base)
+    return m.select("material_nr", "geaendert", C.normalize_change_date("geaendert").alias("geaendert_datum"))
+
+
+# --- filters ------------------------------------------------------------------
+
+def q_multiselect(spark, base):
+    pred = PR.multiselect({"status": ["Aktiv", "Gesperrt"], "werk": ["NATION_3", "NATION_7"],
+                           "warengruppe": []})
+    return _flat(spark, base).where(pred)
+
+
+def q_unclassified(spark, base):
+    return _flat(spark, base).where(PR.unclassified("warengruppe"))
+
+
+def q_search_any(spark, base):
+    return _flat(spark, base).where(PR.search_any(["material_nr", "bezeichnung"], " BLUE "))
+
+
+def q_search_joined(spark, base):
+    return V.materials(spark, base).where(PR.search_joined(["material_nr", "bezeichnung"], "7 red"))
+
+
+def q_min_stock_value(spark, base):
+    return P.material_overview_v2(V.materials(spark, base), P.MaterialParams(min_bestandswert=50000.0))
+
+
+def q_apply_filters(spark, base):
+    return FL.apply_filters(_flat(spark, base), FILTER_STATE)
+
+
+def q_apply_filters_empty(spark, base):
+    return FL.apply_filters(_flat(spark, base), None)
+
+
+def q_column_filters(spark, base):
+    pred = PR.column_filters([("bestand", ">=", 1000), ("status", "=", "aktiv"),
+                              ("bezeichnung", "contains", "GEAR")], numeric_columns=["bestand"])
+    return _flat(spark, base).where(pred)
+
+
+def q_kpi_drilldown(spark, base):
+    return FL.kpi_drilldown(_flat(spark, base), "nicht_geliefert")
+
+
+# --- joins ----------------------------------------------------------------------
+
+def q_apply_mappings(spark, base):
+    return KY.apply_mappings(V.materials(spark, base), V.mapping_events(spark, base))
+
+
+# --- aggregations ---------------------------------------------------------------
+
+def q_count_status(spark, base):
+    return A.count_status(_flat(spark, base))
+
+
+def q_count_unclassified(spark, base):
+    return A.count_unclassified(_flat(spark, base))
+
+
+def q_kpi_board(spark, base):
+    return A.kpi_board(_flat(spark, base))
+
+
+def q_delivery_kpis(spark, base, tol: int = 0):
+    return A.delivery_kpis(S.scan_deliveries(V.deliveries(spark, base), SINCE), tol)
+
+
+def q_plant_load(spark, base):
+    return P.plant_load_product(V.materials(spark, base), 0)
+
+
+def q_delivery_summary(spark, base):
+    return A.delivery_summary(V.deliveries(spark, base))
+
+
+def q_record_counter(spark, base):
+    return A.record_counter(_flat(spark, base), FL.filter_predicate(FILTER_STATE))
+
+
+def q_envelope_meta(spark, base):
+    return PG.envelope_meta(_risk()(spark, base), product="supplier-risk", version="1.0",
+                            generated_at=GENERATED_AT, limit=10, offset=5,
+                            sources=["postgres", "neo4j"], cache="miss")
+
+
+def q_distinct_values(spark, base):
+    return A.distinct_values(_flat(spark, base), "werk")
+
+
+def q_content_fingerprint(spark, base):
+    part = read_table(spark, base, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+    return A.content_fingerprint(part)
+
+
+# --- keyed / window-like ----------------------------------------------------------
+
+def q_latest_version(spark, base):
+    orders = read_table(spark, base, "orders")
+    return KY.latest_version(orders, "o_custkey", ["o_orderdate", "o_orderkey"],
+                             F.col("o_orderstatus") == "F")
+
+
+def q_key_collisions(spark, base):
+    return KY.key_collisions(read_table(spark, base, "lineitem", ["l_orderkey", "l_linenumber"]),
+                             ["l_orderkey", "l_linenumber"])
+
+
+def q_upsert_by_key(spark, base):
+    events = V.mapping_events(spark, base)
+    order = ["geaendert_am", "version"]
+    before = KY.latest_per_key(events.where(F.col("geaendert_am") < F.lit(MAPPING_SPLIT)), "material_nr", order)
+    after = events.where(F.col("geaendert_am") >= F.lit(MAPPING_SPLIT))
+    return KY.upsert_by_key(before, after, "material_nr", order)
+
+
+def q_mapping_rejects(spark, base):
+    m = V.materials(spark, base)
+    requests = m.select("material_nr", F.col("warengruppe").alias("ziel_warengruppe"),
+                        F.col("bezeichnung").alias("kommentar"))
+    return KY.split_valid(requests).select("material_nr", "grund")
+
+
+# --- paging -----------------------------------------------------------------------
+
+def q_top_risk(spark, base):
+    risk = _risk()(spark, base)
+    return PG.page(risk, PG.risk_order(risk), limit=10)
+
+
+def q_page(spark, base):
+    v2 = P.material_overview_v2(V.materials(spark, base))
+    return PG.page(v2, [F.col("material_nr").asc()], limit=10, offset=5)
+
+
+def q_sorted_page(spark, base):
+    return PG.sorted_page(_flat(spark, base), "bestand", "desc", page_no=2)
+
+
+# --- contracts ----------------------------------------------------------------------
+
+def q_contract_violations(spark, base):
+    return K.contract_violations(_flat(spark, base), K.MATERIAL_V1)
+
+
 QUERIES: dict[str, Query] = {
-    "supplier_risk": _risk(),
-    "supplier_risk_tolerance": _risk(tol=3),
+    # S
+    "scan_materials": q_scan_materials,
+    "scan_materials_flat": _flat,
+    "scan_supplier_links": lambda spark, base: V.suppliers(spark, base),
+    "scan_deliveries": q_scan_deliveries,
+    "generate_materials": q_generate_materials,
+    "generate_deliveries": q_generate_deliveries,
+    "sample_supplier_links": q_sample_supplier_links,
+    "graph_nodes": q_graph_nodes,
+    "graph_edges": q_graph_edges,
+    "purge_label": q_purge_label,
+    "records_json": q_records_json,
+    "snapshot_roundtrip": q_snapshot_roundtrip,
+    # P
+    "material_overview_v1": lambda spark, base: P.material_overview_v1(V.materials(spark, base), V1_PARAMS),
+    "material_overview_v2": lambda spark, base: P.material_overview_v2(V.materials(spark, base), V2_PARAMS),
+    "blank_to_null": q_blank_to_null,
+    "lenient_cast": q_lenient_cast,
+    "stock_value": q_stock_value,
+    "delay_days": q_delay_days,
+    "supplier_kpis_filled": q_supplier_kpis_filled,
+    "risk_score": q_risk_score,
+    "risk_class_histogram": q_risk_class_histogram,
+    "visible_columns": q_visible_columns,
+    "label_columns": q_label_columns,
+    "format_thousands": q_format_thousands,
+    "status_color": q_status_color,
+    "normalize_change_date": q_normalize_change_date,
+    # F
+    "multiselect": q_multiselect,
+    "unclassified": q_unclassified,
+    "search_any": q_search_any,
+    "search_joined": q_search_joined,
+    "min_stock_value": q_min_stock_value,
     "supplier_risk_all": _risk(min_n=0),
     "supplier_risk_hoch": _risk(classes=("hoch",)),
+    "apply_filters": q_apply_filters,
+    "apply_filters_empty": q_apply_filters_empty,
+    "column_filters": q_column_filters,
+    "kpi_drilldown": q_kpi_drilldown,
+    # J
+    "supplier_kpis": q_supplier_kpis,
+    "apply_mappings": q_apply_mappings,
+    # A
+    "count_status": q_count_status,
+    "count_unclassified": q_count_unclassified,
+    "kpi_board": q_kpi_board,
+    "delivery_kpis": q_delivery_kpis,
+    "delivery_kpis_tolerance": lambda spark, base: q_delivery_kpis(spark, base, 3),
+    "plant_load": q_plant_load,
+    "delivery_summary": q_delivery_summary,
+    "nodes_per_label": q_nodes_per_label,
+    "record_counter": q_record_counter,
+    "envelope_meta": q_envelope_meta,
+    "distinct_values": q_distinct_values,
+    "content_fingerprint": q_content_fingerprint,
+    # W
+    "latest_version": q_latest_version,
+    "key_collisions": q_key_collisions,
+    "upsert_by_key": q_upsert_by_key,
+    # O
+    "top_risk": q_top_risk,
+    "page": q_page,
+    "sorted_page": q_sorted_page,
+    # U
+    "contract_violations": q_contract_violations,
+    "mapping_rejects": q_mapping_rejects,
+    # E
+    "supplier_risk": _risk(),
+    "supplier_risk_tolerance": _risk(tol=3),
 }
