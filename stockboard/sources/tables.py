@@ -16,12 +16,26 @@ def table_path(base_dir: str, name: str) -> str:
     return path if os.path.exists(path) or "://" in base_dir else os.path.join(base_dir, name)
 
 
+# One relation per (session, path): listing the files and reading the Parquet
+# footers for the schema happen once per session, not once per query. Tables
+# are immutable inputs here; ``forget_tables`` drops the memo after a rewrite.
+_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, base_dir: str, name: str,
                columns: Sequence[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(table_path(base_dir, name))
+    path = table_path(base_dir, name)
+    key = (id(spark), path)
+    df = _RELATIONS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _RELATIONS[key] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
+def forget_tables() -> None:
+    _RELATIONS.clear()
+
+
 def read_json_records(spark: SparkSession, path: str, schema) -> DataFrame:
     """JSON-lines records with a fixed schema (no inference pass over the data)."""
     return spark.read.schema(schema).json(path)

@@ -28,8 +28,10 @@ def material_nr(key: Column) -> Column:
 
 
 def supplier_id(key: Column) -> Column:
-    # At least six digits, never truncated, so ids stay unique at any scale.
-    return F.format_string("L-%06d", key)
+    # Zero-padded to at least six digits and never truncated, so ids stay
+    # unique at any scale (plain lpad would cut longer keys).
+    digits = key.cast("string")
+    return F.concat(F.lit("L-"), F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), "0"))
 
 
 def plant_id(key: Column) -> Column:
