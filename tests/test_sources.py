@@ -1,6 +1,7 @@
 """Generators, graph tables, fingerprint and snapshots."""
 import datetime as dt
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -82,8 +83,8 @@ def test_fingerprint_properties(spark):
     assert content_fingerprint(edited).first().fingerprint != base.fingerprint
 
 
-def test_snapshot_states(spark, tmp_path_factory):
-    root = os.path.join(ensure_checkpoint_dir(spark), "test-snap", tmp_path_factory.mktemp("s").name)
+def test_snapshot_states(spark):
+    root = os.path.join(ensure_checkpoint_dir(spark), "test-snap", uuid.uuid4().hex)
     t0 = dt.datetime(2026, 1, 1, 12, 0, 0)
     df = spark.createDataFrame([(1, "a"), (2, "b")], "x long, y string")
     k1 = SN.snapshot_key("p", 1, {"a": 1})
