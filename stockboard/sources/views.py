@@ -86,6 +86,18 @@ def material_nodes(part: DataFrame) -> DataFrame:
     )
 
 
+def unique_by(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row per key (the smallest value), stated as an aggregate.
+
+    Master tables are unique by key already; saying so as a GROUP BY lets
+    Catalyst's distinct-key tracking prove that a LEFT JOIN to them cannot fan
+    out, so the join is removed from every query that reads no column of it
+    (the KPI board then never scans the line items). Before a sort-merge join
+    on the same key this aggregate's shuffle replaces the join's own.
+    """
+    return df.groupBy(key).agg(F.min(value).alias(value))
+
+
 def plant_links(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
     """LOCATED_IN: a part's plant is the nation of its lowest supplier key.
 
@@ -94,15 +106,16 @@ def plant_links(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
     """
     first = (lineitem.where(F.col("l_partkey") % 19 != 0)
              .groupBy("l_partkey").agg(F.min("l_suppkey").alias("s_suppkey")))
-    return (first.join(supplier.select("s_suppkey", "s_nationkey"), "s_suppkey", "inner")
+    return (first.join(unique_by(supplier, "s_suppkey", "s_nationkey"), "s_suppkey", "inner")
             .select(F.col("l_partkey").alias("material_key"),
                     F.col("s_nationkey").alias("plant_key")))
 
 
 def plant_nodes(nation: DataFrame) -> DataFrame:
-    return nation.select(F.col("n_nationkey").alias("plant_key"),
-                         plant_id(F.col("n_nationkey")).alias("werk_id"),
-                         F.col("n_name").alias("werk_name"))
+    return unique_by(nation, "n_nationkey", "n_name").select(
+        F.col("n_nationkey").alias("plant_key"),
+        plant_id(F.col("n_nationkey")).alias("werk_id"),
+        F.col("n_name").alias("werk_name"))
 
 
 @_memo
