@@ -96,10 +96,10 @@ def plant_load(materials: DataFrame, min_materials: int = 0) -> DataFrame:
             .where(F.col("materialien") >= F.lit(min_materials)))
 
 
-def delivery_summary(deliveries: DataFrame) -> DataFrame:
+def delivery_summary(deliveries: DataFrame, *, key: str = "lieferant_id") -> DataFrame:
     """Per supplier the number of deliveries and the mean delay to 2 places."""
     delay = delay_days("geliefert_am", "zugesagt_am")
-    return (deliveries.groupBy("lieferant_id")
+    return (deliveries.groupBy(key)
             .agg(F.count(F.lit(1)).alias("lieferungen"),
                  rounded(F.avg(delay), 2).alias("mittlerer_verzug")))
 

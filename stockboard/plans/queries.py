@@ -52,7 +52,8 @@ def _flat(spark, base):
 def _risk(tol: int = 0, min_n: int = 1, classes: tuple[str, ...] = ()) -> Query:
     def q(spark: SparkSession, base: str) -> DataFrame:
         params = P.RiskParams(seit=SINCE, toleranz_tage=tol, min_lieferungen=min_n, risiko_klasse=classes)
-        return P.supplier_risk(V.suppliers(spark, base), V.deliveries(spark, base), params)
+        return P.supplier_risk(V.suppliers(spark, base), V.deliveries(spark, base), params,
+                               key="supplier_key")
     return q
 
 
@@ -162,9 +163,20 @@ def q_delay_days(spark, base):
                     C.delay_days().alias("verzug_tage"))
 
 
+def _kpis_by_key(spark, base, tol: int = 0):
+    recent = S.scan_deliveries(V.deliveries(spark, base), SINCE, extra=("supplier_key",))
+    return A.delivery_kpis(recent, tol, key="supplier_key")
+
+
+def _with_supplier_id(df):
+    """Format the text id once per supplier, after aggregating on the number."""
+    return df.select(V.supplier_id(F.col("supplier_key")).alias("lieferant_id"),
+                     *[c for c in df.columns if c != "supplier_key"])
+
+
 def q_supplier_kpis(spark, base):
-    kpis = A.delivery_kpis(S.scan_deliveries(V.deliveries(spark, base), SINCE))
-    return P.supplier_kpis(V.suppliers(spark, base), kpis)
+    return P.supplier_kpis(V.suppliers(spark, base), _kpis_by_key(spark, base), "supplier_key") \
+        .drop("supplier_key")
 
 
 def q_supplier_kpis_filled(spark, base):
@@ -266,7 +278,7 @@ def q_kpi_board(spark, base):
 
 
 def q_delivery_kpis(spark, base, tol: int = 0):
-    return A.delivery_kpis(S.scan_deliveries(V.deliveries(spark, base), SINCE), tol)
+    return _with_supplier_id(_kpis_by_key(spark, base, tol))
 
 
 def q_plant_load(spark, base):
@@ -274,7 +286,7 @@ def q_plant_load(spark, base):
 
 
 def q_delivery_summary(spark, base):
-    return A.delivery_summary(V.deliveries(spark, base))
+    return _with_supplier_id(A.delivery_summary(V.deliveries(spark, base), key="supplier_key"))
 
 
 def q_record_counter(spark, base):
@@ -350,7 +362,7 @@ QUERIES: dict[str, Query] = {
     # S
     "scan_materials": q_scan_materials,
     "scan_materials_flat": _flat,
-    "scan_supplier_links": lambda spark, base: V.suppliers(spark, base),
+    "scan_supplier_links": lambda spark, base: V.suppliers(spark, base).select(*S.SUPPLIER_COLUMNS),
     "scan_deliveries": q_scan_deliveries,
     "generate_materials": q_generate_materials,
     "generate_deliveries": q_generate_deliveries,

@@ -61,18 +61,22 @@ def scan_supplier_links(suppliers: DataFrame, supplies: DataFrame, *,
     """
     per_supplier = supplies.groupBy(key).agg(F.count(F.lit(1)).alias("anzahl_materialien"))
     # Supplier nodes are unique by key (they are merged by id), so the joined
-    # rows are already one per (id, name, country) group.
-    return suppliers.join(per_supplier, key, "inner").select(*SUPPLIER_COLUMNS)
+    # rows are already one per (id, name, country) group. A surrogate key
+    # other than the id is kept in front, for later joins on it.
+    cols = SUPPLIER_COLUMNS if key in SUPPLIER_COLUMNS else (key, *SUPPLIER_COLUMNS)
+    return suppliers.join(per_supplier, key, "inner").select(*cols)
 
 
-def scan_deliveries(deliveries: DataFrame, since: dt.date | str) -> DataFrame:
-    """Deliveries on or after ``since``, in the contract's columns.
+def scan_deliveries(deliveries: DataFrame, since: dt.date | str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Deliveries on or after ``since``, in the contract's columns
+    (plus ``extra`` ones, e.g. a numeric supplier key).
 
     The date bound is a plain comparison, which Catalyst pushes into the
     Parquet reader.
     """
     bound = F.lit(since if isinstance(since, dt.date) else dt.date.fromisoformat(since))
-    return deliveries.where(F.col("geliefert_am") >= bound).select(*DELIVERY_COLUMNS)
+    cols = [c for c in extra if c not in DELIVERY_COLUMNS] + list(DELIVERY_COLUMNS)
+    return deliveries.where(F.col("geliefert_am") >= bound).select(*cols)
 
 
 def order_deliveries(df: DataFrame) -> DataFrame:
