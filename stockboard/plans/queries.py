@@ -36,7 +36,7 @@ SINCE = dt.date(1998, 1, 1)
 SEED = 42
 SEED_MATERIALS = 64
 GENERATED_AT = dt.datetime(2026, 12, 3, 10, 42, 0)
-MAPPING_SPLIT = dt.datetime(1998, 1, 1)
+MAPPING_SPLIT = "1998-01-01 00:00:00"          # compared as timestamp_ntz: no session zone
 FILTER_STATE = {"status": ["Aktiv", "Gesperrt"], "werk": ["NATION_3", "NATION_7", "NATION_11"],
                 "search": "  Red ", "ohne_klass": False}
 V1_PARAMS = P.MaterialParams(status=("Aktiv", "Obsolet"), werk=("NATION_1", "NATION_2", "NATION_5"),
@@ -324,8 +324,9 @@ def q_key_collisions(spark, base):
 def q_upsert_by_key(spark, base):
     events = V.mapping_events(spark, base)
     order = ["geaendert_am", "version"]
-    before = KY.latest_per_key(events.where(F.col("geaendert_am") < F.lit(MAPPING_SPLIT)), "material_nr", order)
-    after = events.where(F.col("geaendert_am") >= F.lit(MAPPING_SPLIT))
+    split = F.lit(MAPPING_SPLIT).cast("timestamp_ntz")
+    before = KY.latest_per_key(events.where(F.col("geaendert_am") < split), "material_nr", order)
+    after = events.where(F.col("geaendert_am") >= split)
     return KY.upsert_by_key(before, after, "material_nr", order)
 
 

@@ -57,3 +57,20 @@ def test_no_cartesian_or_nested_loop(spark, name):
         pytest.skip("writes first; covered by their product queries")
     p = plan_of(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_risk_classes_sum_to_suppliers(spark):
+    q = E.queries()
+    hist = sum(r.lieferanten for r in q["risk_class_histogram"](spark, SF).collect())
+    assert hist == q["supplier_risk"](spark, SF).count()
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    q = E.queries()["upsert_by_key"]
+    before = sorted(tuple(r) for r in q(spark, SF).collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        after = sorted(tuple(r) for r in q(spark, SF).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert before == after
