@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from stockboard.functions.columns import delay_days, rounded
 from stockboard.functions.predicates import unclassified
 
-# Status domain in display order and the KPI definitions
-# (id, label, colour, filter) in display order.
+# Status domain in display order, the status colours, and the
+# KPI definitions (id, label, colour, filter) in display order.
 STATUSES = ("Aktiv", "Nicht geliefert", "Obsolet", "Gesperrt")
+STATUS_COLORS = {"Aktiv": "#2e9e5b", "Nicht geliefert": "#ef6c00", "Obsolet": "#6b7683",
+                 "Gesperrt": "#d13b3b"}
 KPI_DEFINITIONS = (
     ("aktiv", "Aktive Materialien", "#2e9e5b", {"status": ["Aktiv"], "ohne_klass": False}),
     ("nicht_geliefert", "Nicht gelieferte Teile", "#ef6c00",

@@ -31,6 +31,31 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = DEFAULT_LIMIT, off
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
+def page_after(df: DataFrame, keys: Sequence[str], after: Sequence | None, limit: int = DEFAULT_LIMIT,
+               descending: bool = False) -> DataFrame:
+    """O3 for deep pages: the ``limit`` rows that follow the key tuple ``after``.
+
+    ``keys`` must be unique and non-null (a total order). Instead of ranking
+    ``offset + limit`` rows in every task, one lexicographic filter drops the
+    rows before the cursor and a ``limit`` top-k takes the page, so the cost
+    of page 10 000 equals that of page 1. ``after=None`` gives the first page.
+    """
+    check_page(limit, 0)
+    cols = [F.col(k) for k in keys]
+    if after is not None:
+        if len(after) != len(keys):
+            raise ValueError("cursor and keys differ in length")
+        beyond = None
+        for i in reversed(range(len(keys))):
+            step = (cols[i] < F.lit(after[i])) if descending else (cols[i] > F.lit(after[i]))
+            if beyond is not None:
+                step = step | ((cols[i] == F.lit(after[i])) & beyond)
+            beyond = step
+        df = df.where(beyond)
+    order = [c.desc() if descending else c.asc() for c in cols]
+    return df.orderBy(*order).limit(limit)
+
+
 def sorted_page(df: DataFrame, column: str, direction: str = "asc", page_no: int = 0,
                 size: int = TABLE_PAGE_SIZE) -> DataFrame:
     """User sort on any column, ``size`` rows per page, page numbers from 0."""

@@ -205,9 +205,8 @@ def q_format_thousands(spark, base):
 
 
 def q_status_color(spark, base):
-    from stockboard.operators.aggregates import STATUSES
-    colors = dict(zip(STATUSES, ("#2e9e5b", "#ef6c00", "#6b7683", "#d13b3b")))
-    return _flat(spark, base).select("material_nr", "status", C.lookup_constant("status", colors).alias("farbe"))
+    return _flat(spark, base).select("material_nr", "status",
+                                     C.lookup_constant("status", A.STATUS_COLORS).alias("farbe"))
 
 
 def q_normalize_change_date(spark, base):

@@ -82,3 +82,17 @@ def test_format_and_lookup(spark):
                      normalize_change_date("d")).collect()
     assert [tuple(r) for r in rows] == [("1.234.567", "#2e9e5b", dt.date(2026, 3, 5)),
                                         ("12", None, dt.date(2026, 3, 5)), (None, None, None)]
+
+
+def test_keyset_pages_equal_offset_pages(mats):
+    order = [F.col("bestand").desc(), F.col("material_nr").desc()]
+    cursor, got = None, []
+    for _ in range(7):
+        rows = PG.page_after(mats, ["bestand", "material_nr"], cursor, limit=10, descending=True).collect()
+        if not rows:
+            break
+        got += [r.material_nr for r in rows]
+        cursor = (rows[-1].bestand, rows[-1].material_nr)
+    assert got == [r.material_nr for r in mats.orderBy(*order).collect()]
+    assert [r.material_nr for r in PG.page_after(mats, ["material_nr"], None, 5).collect()] == \
+        [r.material_nr for r in PG.page(mats, [F.col("material_nr").asc()], 5).collect()]
