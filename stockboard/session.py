@@ -39,19 +39,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; a folder of our own is chosen only when
-    the session names none, which happens in local tests, never on a cluster
-    that is configured for the job.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint folder);
+    a folder of our own is chosen only when the session names none, which
+    happens in local tests, never on a cluster configured for the job.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        jdir = sc._jsc.sc().getCheckpointDir()
         path = jdir.get() if jdir.isDefined() else None
     if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="stockboard-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        # The config key itself cannot be changed at run time; the context's
+        # checkpoint folder can, and it is what later calls read back.
+        sc.setCheckpointDir(path)
     return path

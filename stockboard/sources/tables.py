@@ -11,9 +11,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence through Hadoop's FileSystem, so local paths and any URI
+    (file:, hdfs:, s3a:, ...) are answered alike."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def table_path(base_dir: str, name: str) -> str:
+    """``<dir>/<name>.parquet`` when that file or folder exists, else ``<dir>/<name>``."""
     path = os.path.join(base_dir, f"{name}.parquet")
-    return path if os.path.exists(path) or "://" in base_dir else os.path.join(base_dir, name)
+    local = "://" not in base_dir and not base_dir.startswith("file:")
+    return path if not local or os.path.exists(path) else os.path.join(base_dir, name)
 
 
 # One relation per (session, path): listing the files and reading the Parquet
