@@ -101,3 +101,23 @@ def test_snapshot_states(spark):
     assert SN.read_snapshot(spark, root, k1, t0 + dt.timedelta(seconds=45))[1] == "miss"
     data2, state2 = SN.read_snapshot(spark, root, k2, t0 + dt.timedelta(seconds=45))
     assert state2 == "hit" and data2.count() == 1
+
+
+def test_sample_matches_brute_force(spark):
+    """Recompute every supplier's sample in plain Python and compare exactly."""
+    import hashlib
+
+    import numpy as np
+    ids = [f"L-{i:06d}" for i in range(1, 41)]
+    sup = spark.createDataFrame([(i,) for i in ids], "lieferant_id string")
+    n, k_min, k_max, seed = 50, 3, 9, 42
+    mats = G.generate_materials(spark.range(n).withColumnRenamed("id", "i"), seed)
+    got = {(r.lieferant_id, r.material_nr) for r in G.sample_supplier_links(sup, mats, n, k_min, k_max, seed).collect()}
+    want = set()
+    for sid in ids:
+        h = int(hashlib.sha256(f"{seed}:sample:{sid}".encode()).hexdigest()[:15], 16)
+        rng = np.random.default_rng([seed, h])
+        k = min(int(rng.integers(k_min, k_max + 1)), n)
+        for i in rng.choice(n, size=k, replace=False):
+            want.add((sid, f"MAT-{100777 + 13 * int(i)}"))
+    assert got == want
