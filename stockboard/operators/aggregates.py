@@ -89,12 +89,18 @@ def plant_load(materials: DataFrame, min_materials: int = 0) -> DataFrame:
 
     A null plant is its own group. Rows are counted, not distinct materials.
     The name is the smallest one seen for the id (deterministic).
+
+    Two levels: counts and sums per (id, name) run as a hash aggregate over
+    every row; only the few (id, name) pairs then meet ``min(name)``, whose
+    string buffer would otherwise force a sort-based aggregate on all rows.
     """
-    return (materials.groupBy("werk_id")
+    pairs = materials.groupBy("werk_id", "werk_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.coalesce(F.col("bestand"), F.lit(0)).cast("bigint")).alias("s"))
+    return (pairs.groupBy("werk_id")
             .agg(F.min("werk_name").alias("werk_name"),
-                 F.count(F.lit(1)).alias("materialien"),
-                 F.sum(F.coalesce(F.col("bestand"), F.lit(0)).cast("bigint")).cast("bigint")
-                  .alias("bestand_gesamt"))
+                 F.sum("n").cast("bigint").alias("materialien"),
+                 F.sum("s").cast("bigint").alias("bestand_gesamt"))
             .where(F.col("materialien") >= F.lit(min_materials)))
 
 

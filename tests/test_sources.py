@@ -121,3 +121,17 @@ def test_sample_matches_brute_force(spark):
         for i in rng.choice(n, size=k, replace=False):
             want.add((sid, f"MAT-{100777 + 13 * int(i)}"))
     assert got == want
+
+
+def test_scan_materials_fans_out_and_keeps_unlocated(spark):
+    from stockboard.sources.scans import scan_materials
+    nodes = spark.createDataFrame(
+        [(1, "M1", "a", "G", "Aktiv", "ST", 1, 1.0, "x"), (2, "M2", "b", None, "Aktiv", "ST", 2, 2.0, "y"),
+         (3, "M3", "c", "", "Obsolet", "L", None, 3.0, "z")],
+        "material_key long, material_nr string, bezeichnung string, warengruppe string, status string, "
+        "einheit string, bestand long, preis double, geaendert string")
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 99)], "material_key long, plant_key long")
+    plants = spark.createDataFrame([(10, "W-10", "Werk 10"), (11, "W-11", "Werk 11")],
+                                   "plant_key long, werk_id string, werk_name string")
+    got = sorted((r.material_nr, r.werk_id) for r in scan_materials(nodes, links, plants).collect())
+    assert got == [("M1", "W-10"), ("M1", "W-11"), ("M2", None), ("M3", None)]
