@@ -112,9 +112,12 @@ def q_graph_edges(spark, base):
     return _graph(spark, base)[1]
 
 
+def _stored_graph(spark, base):
+    return GR.store_graph(*_graph(spark, base), _scratch(spark, "graph"))
+
+
 def q_purge_label(spark, base):
-    nodes, edges = _graph(spark, base)
-    return GR.purge_label(nodes, edges, "Werk")[1]
+    return GR.purge_label(*_stored_graph(spark, base), "Werk")[1]
 
 
 def q_nodes_per_label(spark, base):

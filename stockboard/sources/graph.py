@@ -72,6 +72,16 @@ def to_graph_edges(materials: DataFrame, links: DataFrame) -> DataFrame:
     return located.unionByName(grouped).unionByName(supplies).distinct()
 
 
+def store_graph(nodes: DataFrame, edges: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Write the node and edge tables under ``root`` (shared storage) and
+    return them read back: the graph is built once, and later operators
+    (purge, counts) start from two Parquet scans instead of re-deriving it."""
+    spark = nodes.sparkSession
+    nodes.write.mode("overwrite").parquet(f"{root}/nodes")
+    edges.write.mode("overwrite").parquet(f"{root}/edges")
+    return spark.read.parquet(f"{root}/nodes"), spark.read.parquet(f"{root}/edges")
+
+
 def purge_label(nodes: DataFrame, edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Delete every node carrying ``label`` and every edge touching one."""
     doomed = nodes.where(F.array_contains("labels", label)).select(F.col("node_id").alias("id"))
