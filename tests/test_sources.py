@@ -135,3 +135,11 @@ def test_scan_materials_fans_out_and_keeps_unlocated(spark):
                                    "plant_key long, werk_id string, werk_name string")
     got = sorted((r.material_nr, r.werk_id) for r in scan_materials(nodes, links, plants).collect())
     assert got == [("M1", "W-10"), ("M1", "W-11"), ("M2", None), ("M3", None)]
+
+
+def test_to_records_keeps_nulls(spark):
+    import json
+    df = spark.createDataFrame([("a", 1, None), ("b", None, 2.5)], "k string, n long, x double")
+    recs = sorted(json.loads(r.record)["k"] + str(json.loads(r.record)) for r in SN.to_records(df).collect())
+    assert recs[0].endswith("{'k': 'a', 'n': 1, 'x': None}")
+    assert recs[1].endswith("{'k': 'b', 'n': None, 'x': 2.5}")
