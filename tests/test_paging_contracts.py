@@ -96,3 +96,16 @@ def test_keyset_pages_equal_offset_pages(mats):
     assert got == [r.material_nr for r in mats.orderBy(*order).collect()]
     assert [r.material_nr for r in PG.page_after(mats, ["material_nr"], None, 5).collect()] == \
         [r.material_nr for r in PG.page(mats, [F.col("material_nr").asc()], 5).collect()]
+
+
+def test_respond_pages_and_describes(mats):
+    from stockboard.plans.products import REGISTRY, respond
+    prod = REGISTRY.get("material-overview", 1)
+    r = respond(prod, mats, [F.col("material_nr").asc()], generated_at=dt.datetime(2026, 1, 1),
+                limit=10, offset=5)
+    assert r.data.count() == 10
+    meta = r.meta.first()
+    assert (meta.row_count, meta.total_count, meta.deprecated, meta.sunset) == (10, 64, True, dt.date(2026, 12, 31))
+    again = respond(prod, mats, [F.col("material_nr").asc()], generated_at=dt.datetime(2027, 1, 1),
+                    limit=10, offset=5)
+    assert again.tag.first() == r.tag.first()
