@@ -59,7 +59,7 @@ mapping_events as (
   select concat('MAT-', cast(100777 + l_partkey * 13 as varchar)) as material_nr,
     c_mktsegment as ziel_warengruppe, o_orderdate as geaendert_am, o_orderkey as version
   from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey
-  where l_partkey % 4 = 0
+  where o_orderpriority = '1-URGENT'
 )"""
 
 LATEST_MAPPING = """
