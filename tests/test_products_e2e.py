@@ -118,3 +118,12 @@ def test_dashboard_scan_selects_columns_and_casts(spark):
     assert tuple(flat.columns) == S.FLAT_COLUMNS
     assert flat.schema["bestand"].dataType == T.LongType()
     assert flat.first().bestand == 5
+
+
+def test_run_product_by_name(seed):
+    latest = P.run_product("material-overview", None, seed[0], params=P.MaterialParams(status=("Aktiv",)))
+    assert "bestandswert" in latest.columns and {r.status for r in latest.collect()} == {"Aktiv"}
+    risk = P.run_product("supplier-risk", 1, seed[1], seed[2], params=P.RiskParams(min_lieferungen=0))
+    assert risk.count() == 4
+    with pytest.raises(KeyError):
+        P.run_product("material-overview", 9, seed[0])
