@@ -99,7 +99,7 @@ def q_generate_deliveries(spark, base):
 
 def q_sample_supplier_links(spark, base):
     ids = _material_ids(spark, base)
-    n = ids.agg(F.max("i")).first()[0] + 1          # one scalar, from Parquet footers
+    n = ids.agg(F.max("i")).first()[0] + 1          # one scalar: a one-row aggregate
     mats = G.generate_materials(ids, SEED)
     return G.sample_supplier_links(V.supplier_master(spark, base), mats, n, 8, 30, SEED)
 
