@@ -55,3 +55,12 @@ def test_multiselect_in_reaches_scan_through_views(spark):
     from stockboard.sources import views as V
     df = V.materials(spark, SF).where("status = 'Aktiv'")
     assert "Scan parquet" in plan_of(df)
+
+
+def test_survey_facts_at_sf01(spark):
+    """Class and status splits that the blueprint measured on these views at sf0.1."""
+    base = "/root/testdata/sf0.1"
+    hist = {r.risiko_klasse: r.lieferanten for r in E.queries()["risk_class_histogram"](spark, base).collect()}
+    assert hist == {"niedrig": 336, "mittel": 418, "hoch": 246}
+    s = E.queries()["count_status"](spark, base).first()
+    assert (s.aktiv, s.nicht_geliefert, s.obsolet, s.gesperrt) == (12713, 3286, 2374, 1627)
