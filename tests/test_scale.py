@@ -74,3 +74,42 @@ def test_results_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert before == after
+
+
+def test_hot_plant_join_is_split_by_aqe(spark):
+    """A plant holding a third of all links: with broadcasts off, AQE splits the
+    hot partition of the sort-merge join instead of giving it to one task."""
+    from stockboard.sources.scans import scan_materials
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        ids = spark.range(30000)
+        nodes = ids.select(F.col("id").alias("material_key"),
+                           F.concat(F.lit("MAT-"), F.col("id").cast("string")).alias("material_nr"),
+                           *[F.lit(None).cast(t).alias(c) for c, t in
+                             [("bezeichnung", "string"), ("warengruppe", "string"), ("status", "string"),
+                              ("einheit", "string"), ("bestand", "bigint"), ("preis", "double"),
+                              ("geaendert", "string")]])
+        links = ids.select(F.col("id").alias("material_key"),
+                           F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 100).alias("plant_key"))
+        plants = spark.range(100).select(F.col("id").alias("plant_key"),
+                                         F.concat(F.lit("W-"), F.col("id").cast("string")).alias("werk_id"),
+                                         F.lit("Werk").alias("werk_name"))
+        df = scan_materials(nodes, links, plants)
+        assert df.where("werk_id = 'W-0'").count() == 10200          # id % 3 == 0, or id % 100 == 0
+        df.collect()                                   # runs this DataFrame's own adaptive plan
+        final = plan_of(df)
+        assert "SortMergeJoin(skew=true)" in final and "AQEShuffleRead skewed" in final
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
