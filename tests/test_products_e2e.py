@@ -127,3 +127,20 @@ def test_run_product_by_name(seed):
     assert risk.count() == 4
     with pytest.raises(KeyError):
         P.run_product("material-overview", 9, seed[0])
+
+
+def test_parse_request():
+    params, limit, offset = P.parse_request("material-overview", 2, {"status": ["Aktiv", "Gesperrt"],
+                                                                     "werk_id": "W-KOE", "limit": "10",
+                                                                     "offset": 5, "ohne_klassifizierung": "true"})
+    assert (params.status, params.werk, params.ohne_klassifizierung, limit, offset) == \
+        (("Aktiv", "Gesperrt"), ("W-KOE",), True, 10, 5)
+    risk, limit, _ = P.parse_request("supplier-risk", 1, {"seit": "2026-02-01", "toleranz_tage": "3"})
+    assert (risk.seit, risk.toleranz_tage, risk.min_lieferungen, limit) == (dt.date(2026, 2, 1), 3, 1, 1000)
+    for bad in ({"stauts": "Aktiv"}, {"limit": 0}, {"limit": 50_001}, {"offset": -1}, {"min_bestandswert": -1}):
+        with pytest.raises(ValueError):
+            P.parse_request("material-overview", 2, bad)
+    with pytest.raises(ValueError):
+        P.parse_request("material-overview", 1, {"werk_id": "W-KOE"})      # v1 filters by plant name
+    with pytest.raises(ValueError):
+        P.parse_request("supplier-risk", 1, {"toleranz_tage": 31})
