@@ -53,6 +53,17 @@ TABLE_COLUMNS = T.StructType([
     _f("geaendert", S, label="Geändert")])
 
 
+# Entity tables as stored: fixed schemas for ``read_entity``.
+MATERIALS = T.StructType([_f(c, t) for c, t in [
+    ("material_nr", S), ("bezeichnung", S), ("warengruppe", S), ("werk_id", S), ("werk_name", S),
+    ("status", S), ("einheit", S), ("bestand", L), ("preis", D), ("geaendert", S)]])
+DELIVERIES = T.StructType([_f(c, t) for c, t in [
+    ("lieferant_id", S), ("material_nr", S), ("geliefert_am", T.DateType()), ("zugesagt_am", T.DateType()),
+    ("menge", T.IntegerType()), ("reklamationen", T.IntegerType())]])
+SUPPLIERS = T.StructType([_f(c, t) for c, t in [
+    ("lieferant_id", S), ("lieferant_name", S), ("land", S), ("anzahl_materialien", L)]])
+
+
 def project_contract(df: DataFrame, contract: T.StructType,
                      renames: Mapping[str, str] | None = None) -> DataFrame:
     """Exactly the contract's fields, in order, renamed and cast.

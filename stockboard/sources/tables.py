@@ -46,6 +46,13 @@ def forget_tables() -> None:
     _RELATIONS.clear()
 
 
+def read_entity(spark: SparkSession, path: str, schema) -> DataFrame:
+    """An entity table (materials, deliveries, suppliers, links) stored as
+    Parquet, read with its fixed schema: no inference pass over footers, and a
+    file with a different layout fails at read time instead of mid-query."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_json_records(spark: SparkSession, path: str, schema) -> DataFrame:
     """JSON-lines records with a fixed schema (no inference pass over the data)."""
     return spark.read.schema(schema).json(path)

@@ -51,10 +51,30 @@ def test_kpi_board_scans_part_once_and_nothing_else(spark):
     assert "lineitem.parquet" not in p          # unused plant join removed by Catalyst
 
 
-def test_multiselect_in_reaches_scan_through_views(spark):
+def test_filters_reach_the_parquet_reader_on_stored_entities(spark):
+    """Written once as entity tables, the dashboard filter's IN lists and the
+    v2 plant filter are pushed into the scan; the text search stays a Filter."""
+    import os
+    import uuid
+    from stockboard.operators import contracts as K
+    from stockboard.operators.filters import apply_filters
+    from stockboard.plans import products as P
+    from stockboard.session import ensure_checkpoint_dir
+    from stockboard.sources import scans as S
     from stockboard.sources import views as V
-    df = V.materials(spark, SF).where("status = 'Aktiv'")
-    assert "Scan parquet" in plan_of(df)
+    from stockboard.sources.tables import read_entity
+    path = os.path.join(ensure_checkpoint_dir(spark), "test-entities", uuid.uuid4().hex, "materials")
+    V.materials(spark, SF).write.parquet(path)
+    mats = read_entity(spark, path, K.MATERIALS)
+    flat = apply_filters(S.scan_materials_flat(mats),
+                         {"status": ["Aktiv", "Gesperrt"], "werk": ["NATION_3"], "search": "red"})
+    p = plan_of(flat)
+    assert "In(status, [Aktiv,Gesperrt])" in p or "In(status, [Gesperrt,Aktiv])" in p
+    assert "EqualTo(werk_name,NATION_3)" in p or "In(werk_name, [NATION_3])" in p
+    v2 = P.material_overview_v2(mats, P.MaterialParams(werk=("W-3", "W-7")))
+    assert "In(werk_id, [W-3,W-7])" in plan_of(v2)
+    assert flat.count() == E.queries()["apply_filters"](spark, SF).where(
+        "werk = 'NATION_3' and status in ('Aktiv', 'Gesperrt')").count()
 
 
 def test_survey_facts_at_sf01(spark):
