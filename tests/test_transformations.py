@@ -156,3 +156,21 @@ def test_param_checks():
         P.RiskParams(min_lieferungen=-1)
     with pytest.raises(ValueError):
         P.MaterialParams(min_bestandswert=-1)
+
+
+def test_missing_description_does_not_match_the_word_none(spark):
+    rows = spark.createDataFrame([("MAT-9", None, "G", "W-1", "Werk 1", "Aktiv", "ST", 1, 1.0, "x")], RAW)
+    assert P.material_overview_v2(rows, P.MaterialParams(suche="none")).count() == 0
+    assert P.material_overview_v2(rows, P.MaterialParams(suche="mat-9")).count() == 1
+
+
+def test_plant_load_counts_rows_and_takes_smallest_name(spark):
+    rows = spark.createDataFrame([
+        ("MAT-1", "a", "G", "W-1", "Werk B", "Aktiv", "ST", 10, 1.0, "x"),
+        ("MAT-1", "a", "G", "W-1", "Werk A", "Aktiv", "ST", 10, 1.0, "x"),     # same material again
+        ("MAT-2", "b", "G", "W-1", "Werk B", "Aktiv", "ST", None, 1.0, "x"),
+        ("MAT-3", "c", "G", None, None, "Aktiv", "ST", 5, 1.0, "x"),
+    ], RAW)
+    got = {r.werk_id: (r.werk_name, r.materialien, r.bestand_gesamt) for r in P.plant_load_product(rows).collect()}
+    assert got == {"W-1": ("Werk A", 3, 20), None: (None, 1, 5)}
+    assert [r.werk_id for r in P.plant_load_product(rows, 2).collect()] == ["W-1"]
