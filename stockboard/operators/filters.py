@@ -74,6 +74,15 @@ def kpi_state(kpi_id: str, base: FilterState | None = None) -> FilterState:
     raise KeyError(f"unknown KPI {kpi_id!r}")
 
 
+def kpi_is_active(kpi_id: str, state: FilterState | Mapping | None) -> bool:
+    """Whether the current state is exactly the KPI's filter on the dimensions a
+    tile controls (status set and the unclassified flag); plant, group and
+    search are ignored. Derived from the state, never stored beside it."""
+    st = state if isinstance(state, FilterState) else FilterState.normalize(state)
+    want = kpi_state(kpi_id)
+    return set(st.status) == set(want.status) and st.ohne_klass == want.ohne_klass
+
+
 def kpi_drilldown(df: DataFrame, kpi_id: str, base: FilterState | None = None) -> DataFrame:
     """apply a KPI's stored filter to the table."""
     return apply_filters(df, kpi_state(kpi_id, base))
