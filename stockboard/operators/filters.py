@@ -7,7 +7,7 @@ search as a Filter above it.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,13 +114,3 @@ def check_page(limit: int, offset: int) -> None:
         raise ValueError(f"limit must be 1..{MAX_LIMIT}")
     if offset < 0:
         raise ValueError("offset must be >= 0")
-
-
-@dataclass(frozen=True)
-class PageParams:
-    limit: int = 1000
-    offset: int = 0
-    extra: dict = field(default_factory=dict)
-
-    def __post_init__(self):
-        check_page(self.limit, self.offset)
