@@ -85,3 +85,48 @@ def test_risk_score_matches_python(spark, deliveries, tol):
                                                 min_lieferungen=0)).first()
     want = py_risk([d for d, _ in deliveries], [c for _, c in deliveries], tol)
     assert (r.lieferungen, r.liefertreue_pct, r.mittlerer_verzug_tage, r.risiko_score, r.risiko_klasse) == want
+
+
+RAW = ("material_nr string, bezeichnung string, warengruppe string, werk_id string, werk_name string, "
+       "status string, einheit string, bestand long, preis double, geaendert string")
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(NAME, GROUP, STATUS, st.one_of(st.none(), st.integers(0, 50)),
+                               st.sampled_from([0.5, 2.25, 10.0, 99.99])), max_size=10),
+       needle=st.sampled_from(["", "mat-1", "1 dicht", "schraube", " RING ", "kabel rot", "none"]),
+       groups=st.lists(GROUP.filter(lambda g: g is not None), max_size=2), ohne=st.booleans(),
+       minimum=st.one_of(st.none(), st.sampled_from([0.0, 10.0, 50.0])))
+def test_material_overview_v2_matches_python(spark, rows, needle, groups, ohne, minimum):
+    data = [(f"MAT-{i}", name, group, "W-1", "Werk", status, "ST", stock, price, "x")
+            for i, (name, group, status, stock, price) in enumerate(rows)]
+    df = spark.createDataFrame(data, RAW)
+    params = P.MaterialParams(warengruppe=tuple(groups), ohne_klassifizierung=ohne, suche=needle,
+                              min_bestandswert=minimum)
+    got = sorted((r.material_nr, r.bestandswert) for r in P.material_overview_v2(df, params).collect())
+    want = []
+    n = needle.strip().lower()
+    for nr, name, group, _w, _wn, _s, _e, stock, price, _g in data:
+        group = group or None
+        value = spark_round(float(stock) * price, 2) if stock is not None else None
+        if groups and group not in groups:
+            continue
+        if ohne and group is not None:
+            continue
+        if minimum is not None and (value or 0) < minimum:
+            continue
+        if n and n not in f"{nr} {name or ''}".lower():
+            continue
+        want.append((nr, value))
+    assert got == sorted(want)
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(STATUS, GROUP), max_size=20))
+def test_kpi_board_matches_python(spark, rows):
+    from stockboard.operators.aggregates import kpi_board
+    df = spark.createDataFrame(rows, "status string, warengruppe string")
+    got = [r.value for r in kpi_board(df).orderBy("position").collect()]
+    want = [sum(1 for s, _ in rows if s == k) for k in ("Aktiv", "Nicht geliefert", "Obsolet", "Gesperrt")]
+    want.append(sum(1 for _, g in rows if g is None or g == ""))
+    assert got == want
