@@ -144,3 +144,12 @@ def test_parse_request():
         P.parse_request("material-overview", 1, {"werk_id": "W-KOE"})      # v1 filters by plant name
     with pytest.raises(ValueError):
         P.parse_request("supplier-risk", 1, {"toleranz_tage": 31})
+
+
+def test_command_line_writes_a_product(spark):
+    from stockboard.__main__ import main
+    out = os.path.join(ensure_checkpoint_dir(spark), "test-cli", uuid.uuid4().hex)
+    assert main(["product", "material-overview", "--sf-dir", "/root/testdata/sf0.001",
+                 "--param", "status=Gesperrt", "--out", out, "--format", "json"]) == 0
+    rows = spark.read.json(out).collect()
+    assert rows and {r.status for r in rows} == {"Gesperrt"} and "bestandswert" in rows[0]
