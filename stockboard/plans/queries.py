@@ -365,7 +365,7 @@ QUERIES: dict[str, Query] = {
     # S
     "scan_materials": q_scan_materials,
     "scan_materials_flat": _flat,
-    "scan_supplier_links": lambda spark, base: V.suppliers(spark, base).select(*S.SUPPLIER_COLUMNS),
+    "scan_supplier_links": lambda spark, base: S.order_suppliers(V.suppliers(spark, base).select(*S.SUPPLIER_COLUMNS)),
     "scan_deliveries": q_scan_deliveries,
     "generate_materials": q_generate_materials,
     "generate_deliveries": q_generate_deliveries,

@@ -67,6 +67,11 @@ def scan_supplier_links(suppliers: DataFrame, supplies: DataFrame, *,
     return suppliers.join(per_supplier, key, "inner").select(*cols)
 
 
+def order_suppliers(df: DataFrame) -> DataFrame:
+    """O1: by supplier id."""
+    return df.orderBy(F.col("lieferant_id").asc_nulls_last())
+
+
 def scan_deliveries(deliveries: DataFrame, since: dt.date | str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Deliveries on or after ``since``, in the contract's columns
     (plus ``extra`` ones, e.g. a numeric supplier key).
