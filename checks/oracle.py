@@ -411,4 +411,21 @@ ORACLE: dict[str, str] = {
     # E
     "supplier_risk": risk_sql(),
     "supplier_risk_tolerance": risk_sql(tol=3),
+    # parameter variants
+    "material_overview_v1_unclassified": V_MAT + """
+      select material_nr, bezeichnung, nullif(warengruppe, '') as warengruppe, werk_name as werk, status,
+             einheit, bestand, geaendert
+      from materials
+      where nullif(warengruppe, '') is null
+        and contains(lower(material_nr || ' ' || coalesce(bezeichnung, '')), 'blue')""",
+    "supplier_risk_classes_min": risk_sql(tol=2, min_n=340, classes=("mittel", "niedrig")),
+    "sorted_page_by_name": V_FLAT + "select * from flat order by bezeichnung asc nulls last, "
+                           + ", ".join(f"{c} asc nulls last" for c in _FLAT_ORDER.split(", "))
+                           + " limit 20 offset 60",
+    "column_filters_ops": V_FLAT + """select * from flat
+      where bestand < 2000 and lower(einheit) <> 'st' and lower(werk) >= 'nation_2'""",
+    "plant_load_min": V_MAT + """select werk_id, min(werk_name) as werk_name, count(*) as materialien,
+        cast(sum(coalesce(bestand, 0)) as bigint) as bestand_gesamt
+      from materials group by werk_id having count(*) >= 100""",
+    "page_deep": V_MAT + f"select * from (select {V2_COLS} from materials) v order by material_nr limit 50 offset 1000",
 }

@@ -361,6 +361,32 @@ def q_contract_violations(spark, base):
     return K.contract_violations(_flat(spark, base), K.MATERIAL_V1)
 
 
+# --- parameter variants (other branches of the same operators) ---------------------
+
+def q_material_overview_v1_unclassified(spark, base):
+    return P.material_overview_v1(V.materials(spark, base),
+                                  P.MaterialParams(ohne_klassifizierung=True, suche="Blue"))
+
+
+def q_sorted_page_by_name(spark, base):
+    return PG.sorted_page(_flat(spark, base), "bezeichnung", "asc", page_no=3)
+
+
+def q_column_filters_ops(spark, base):
+    pred = PR.column_filters([("bestand", "<", 2000), ("einheit", "!=", "st"), ("werk", ">=", "nation_2")],
+                             numeric_columns=["bestand"])
+    return _flat(spark, base).where(pred)
+
+
+def q_plant_load_min(spark, base):
+    return P.plant_load_product(V.materials(spark, base), 100)
+
+
+def q_page_deep(spark, base):
+    v2 = P.material_overview_v2(V.materials(spark, base))
+    return PG.page(v2, [F.col("material_nr").asc()], limit=50, offset=1000)
+
+
 QUERIES: dict[str, Query] = {
     # S
     "scan_materials": q_scan_materials,
@@ -432,4 +458,11 @@ QUERIES: dict[str, Query] = {
     # E
     "supplier_risk": _risk(),
     "supplier_risk_tolerance": _risk(tol=3),
+    # parameter variants
+    "material_overview_v1_unclassified": q_material_overview_v1_unclassified,
+    "supplier_risk_classes_min": _risk(tol=2, min_n=340, classes=("mittel", "niedrig")),
+    "sorted_page_by_name": q_sorted_page_by_name,
+    "column_filters_ops": q_column_filters_ops,
+    "plant_load_min": q_plant_load_min,
+    "page_deep": q_page_deep,
 }
