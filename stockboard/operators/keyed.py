@@ -18,15 +18,22 @@ def _as_list(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+def _q(name: str) -> Column:
+    """A column by its exact name (dots and other characters are not paths)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key: the one with the greatest ``order`` tuple."""
     keys = _as_list(key)
     rest = [c for c in df.columns if c not in keys]
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    order_cols = [_q(o) if isinstance(o, str) else o for o in order]
     ranked = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order_cols)],
-                      F.struct(*rest).alias("_row"))
-    best = df.groupBy(*keys).agg(F.max(ranked).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best._row.{c}").alias(c) for c in rest]).select(*df.columns)
+                      F.struct(*[_q(c) for c in rest]).alias("_row"))
+    best = df.groupBy(*[_q(k) for k in keys]).agg(F.max(ranked).alias("_best"))
+    row = F.col("_best").getField("_row")
+    return best.select(*[_q(k) for k in keys], *[row.getField(c).alias(c) for c in rest]) \
+               .select(*[_q(c) for c in df.columns])
 
 
 def latest_version(df: DataFrame, key: str | Sequence[str], version: Sequence[str],

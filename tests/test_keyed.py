@@ -62,3 +62,9 @@ def test_registry_latest_and_collision():
     only_old = Registry([Product("x", "1.0", supplier_risk, (), deprecated=True),
                          Product("x", "2.0", supplier_risk, (), deprecated=True)])
     assert only_old.latest("x").major == 2
+
+
+def test_latest_per_key_with_dotted_column_names(spark):
+    df = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "`MATERIAL-NR.` string, v int, `GEÄNDERT.x` string")
+    got = KY.latest_per_key(df, "MATERIAL-NR.", ["v"]).collect()
+    assert [tuple(r) for r in got] == [("k", 2, "b")]
