@@ -28,6 +28,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def col_exact(name: str) -> Column:
+    """A column by its exact name: dots and other characters are not paths
+    (``MATERIAL-NR.`` after ``label_columns``)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def blank_to_null(c: Column | str) -> Column:
     """The empty string becomes null; whitespace stays as it is."""
     return F.nullif(_col(c), F.lit(""))

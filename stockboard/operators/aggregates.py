@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockboard.functions.columns import delay_days, rounded
+from stockboard.functions.columns import col_exact, delay_days, rounded
 from stockboard.functions.predicates import unclassified
 
 # Status domain in display order, the status colours, and the
@@ -130,7 +130,7 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def _row_text(columns: Sequence[str]) -> Column:
     # Unit separator between fields, "\N" for null: equal rows give equal text.
-    return F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    return F.concat_ws("\u001f", *[F.coalesce(col_exact(c).cast("string"), F.lit("\\N")) for c in columns])
 
 
 def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

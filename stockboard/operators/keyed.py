@@ -13,16 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockboard.functions.columns import col_exact as _q
+
 
 def _as_list(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def _q(name: str) -> Column:
-    """A column by its exact name (dots and other characters are not paths)."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key: the one with the greatest ``order`` tuple."""
     keys = _as_list(key)

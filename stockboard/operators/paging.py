@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockboard.functions.columns import col_exact
 from stockboard.operators.filters import check_page
 
 DEFAULT_LIMIT = 1000
@@ -21,7 +22,7 @@ TABLE_PAGE_SIZE = 20
 
 def total_order(df: DataFrame, first: Sequence[Column]) -> list[Column]:
     """``first`` followed by every column ascending, nulls last: a total order."""
-    return list(first) + [F.col(c).asc_nulls_last() for c in df.columns]
+    return list(first) + [col_exact(c).asc_nulls_last() for c in df.columns]
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
@@ -61,7 +62,7 @@ def sorted_page(df: DataFrame, column: str, direction: str = "asc", page_no: int
     """User sort on any column, ``size`` rows per page, page numbers from 0."""
     if direction not in ("asc", "desc"):
         raise ValueError("direction must be 'asc' or 'desc'")
-    c = F.col(column)
+    c = col_exact(column)
     first = c.asc_nulls_last() if direction == "asc" else c.desc_nulls_last()
     return page(df, total_order(df, [first]), limit=size, offset=page_no * size)
 

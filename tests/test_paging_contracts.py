@@ -109,3 +109,14 @@ def test_respond_pages_and_describes(mats):
     again = respond(prod, mats, [F.col("material_nr").asc()], generated_at=dt.datetime(2027, 1, 1),
                     limit=10, offset=5)
     assert again.tag.first() == r.tag.first()
+
+
+def test_labelled_columns_page_and_fingerprint(spark):
+    from stockboard.operators.aggregates import content_fingerprint
+    df = spark.createDataFrame([("M", "B", "G", "W", "Aktiv", "ST", i, "x") for i in range(30)],
+                               "material_nr string, bezeichnung string, warengruppe string, werk string, "
+                               "status string, einheit string, bestand long, geaendert string")
+    labelled = K.label_columns(df)
+    assert [r["BESTAND"] for r in PG.sorted_page(labelled, "BESTAND", "desc", page_no=1, size=5).collect()] == \
+        [24, 23, 22, 21, 20]
+    assert content_fingerprint(labelled).first().n_rows == 30
