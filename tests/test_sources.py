@@ -143,3 +143,15 @@ def test_to_records_keeps_nulls(spark):
     recs = sorted(json.loads(r.record)["k"] + str(json.loads(r.record)) for r in SN.to_records(df).collect())
     assert recs[0].endswith("{'k': 'a', 'n': 1, 'x': None}")
     assert recs[1].endswith("{'k': 'b', 'n': None, 'x': 2.5}")
+
+
+def test_snapshot_reads_are_as_of_their_clock(spark):
+    root = os.path.join(ensure_checkpoint_dir(spark), "test-snap", uuid.uuid4().hex)
+    t0 = dt.datetime(2026, 1, 1, 12, 0, 0)
+    df = spark.createDataFrame([(1,)], "x long")
+    key = SN.snapshot_key("p", 1, {})
+    SN.materialize_snapshot(df, root, key, "p", t0, 600)
+    SN.invalidate_snapshots(spark, root, t0 + dt.timedelta(seconds=100), product="p")
+    assert SN.read_snapshot(spark, root, key, t0 + dt.timedelta(seconds=50))[1] == "hit"
+    assert SN.read_snapshot(spark, root, key, t0 + dt.timedelta(seconds=150))[1] == "miss"
+    assert SN.read_snapshot(spark, root, key, t0 - dt.timedelta(seconds=1))[1] == "miss"
