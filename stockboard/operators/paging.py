@@ -42,7 +42,7 @@ def page_after(df: DataFrame, keys: Sequence[str], after: Sequence | None, limit
     of page 10 000 equals that of page 1. ``after=None`` gives the first page.
     """
     check_page(limit, 0)
-    cols = [F.col(k) for k in keys]
+    cols = [col_exact(k) for k in keys]
     if after is not None:
         if len(after) != len(keys):
             raise ValueError("cursor and keys differ in length")
