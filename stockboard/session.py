@@ -16,6 +16,9 @@ from pyspark.sql import SparkSession
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Coalesce small post-shuffle partitions to the advisory size instead of
+    # keeping one per core: fewer tiny tasks (Spark's advice for busy clusters).
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
