@@ -44,10 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint folder);
     a folder of our own is chosen only when the session names none, which
-    happens in local tests, never on a cluster configured for the job.
+    happens in local tests, never on a cluster configured for the job. A
+    remote (Spark Connect) session must name the folder in its config.
     """
-    sc = spark.sparkContext
+    from stockboard.sources.tables import _jvm_context
+    sc = _jvm_context(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if sc is None:
+        if not path:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        return path
     if not path:
         jdir = sc._jsc.sc().getCheckpointDir()
         path = jdir.get() if jdir.isDefined() else None

@@ -11,12 +11,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _jvm_context(spark: SparkSession):
+    """The JVM SparkContext of a classic session; None for a remote (Connect) one."""
+    try:
+        return spark.sparkContext
+    except Exception:          # a Connect session has no local context
+        return None
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence through Hadoop's FileSystem, so local paths and any URI
-    (file:, hdfs:, s3a:, ...) are answered alike."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    (file:, hdfs:, s3a:, ...) are answered alike. Without a local context
+    (Spark Connect) the answer comes from listing the path through the
+    DataFrame API instead."""
+    sc = _jvm_context(spark)
+    if sc is not None:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+        return True
+    except AnalysisException:
+        return False
 
 
 def table_path(base_dir: str, name: str) -> str:

@@ -155,3 +155,15 @@ def test_snapshot_reads_are_as_of_their_clock(spark):
     assert SN.read_snapshot(spark, root, key, t0 + dt.timedelta(seconds=50))[1] == "hit"
     assert SN.read_snapshot(spark, root, key, t0 + dt.timedelta(seconds=150))[1] == "miss"
     assert SN.read_snapshot(spark, root, key, t0 - dt.timedelta(seconds=1))[1] == "miss"
+
+
+def test_helpers_without_a_local_context(spark, monkeypatch):
+    """The Connect-style branches: no JVM context, DataFrame API only."""
+    from stockboard.session import ensure_checkpoint_dir as ecd
+    from stockboard.sources import tables
+    monkeypatch.setattr(tables, "_jvm_context", lambda s: None)
+    root = os.path.join(ensure_checkpoint_dir(spark), "test-exists", uuid.uuid4().hex)
+    assert not tables.path_exists(spark, root)
+    spark.range(3).write.parquet(root)
+    assert tables.path_exists(spark, root)
+    assert ecd(spark) == spark.conf.get("spark.checkpoint.dir")
