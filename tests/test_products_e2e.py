@@ -153,3 +153,14 @@ def test_command_line_writes_a_product(spark):
                  "--param", "status=Gesperrt", "--out", out, "--format", "json"]) == 0
     rows = spark.read.json(out).collect()
     assert rows and {r.status for r in rows} == {"Gesperrt"} and "bestandswert" in rows[0]
+
+
+def test_command_line_list_and_query(spark, capsys):
+    from stockboard.__main__ import main
+    assert main(["list"]) == 0
+    listing = capsys.readouterr().out
+    assert "product supplier-risk v1" in listing and "query kpi_board" in listing
+    out = os.path.join(ensure_checkpoint_dir(spark), "test-cli", uuid.uuid4().hex)
+    assert main(["query", "count_status", "--sf-dir", "/root/testdata/sf0.001", "--out", out]) == 0
+    row = spark.read.parquet(out).first()
+    assert row.aktiv + row.nicht_geliefert + row.obsolet + row.gesperrt == 200
