@@ -428,4 +428,13 @@ ORACLE: dict[str, str] = {
         cast(sum(coalesce(bestand, 0)) as bigint) as bestand_gesamt
       from materials group by werk_id having count(*) >= 100""",
     "page_deep": V_MAT + f"select * from (select {V2_COLS} from materials) v order by material_nr limit 50 offset 1000",
+    "envelope_meta_deprecated": V_MAT + """select 'material-overview' as product, '1.2' as version,
+        'v1' as api_version, timestamp '2026-12-03 10:42:00' as generated_at,
+        cast(least(20, greatest(count(*) - 40, 0)) as bigint) as row_count, count(*) as total_count,
+        'neo4j' as source, 'miss' as cache, true as deprecated, date '2026-12-31' as sunset
+      from materials
+      where status in ('Aktiv', 'Obsolet') and werk_name in ('NATION_1', 'NATION_2', 'NATION_5')
+        and contains(lower(material_nr || ' ' || coalesce(bezeichnung, '')), 'o')""",
+    "distinct_groups": V_FLAT + """select distinct warengruppe as wert from flat
+      where warengruppe is not null and warengruppe <> ''""",
 }

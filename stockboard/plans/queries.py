@@ -387,6 +387,17 @@ def q_page_deep(spark, base):
     return PG.page(v2, [F.col("material_nr").asc()], limit=50, offset=1000)
 
 
+def q_envelope_meta_deprecated(spark, base):
+    prod = P.REGISTRY.get("material-overview", 1)
+    return PG.envelope_meta(P.material_overview_v1(V.materials(spark, base), V1_PARAMS), product=prod.name,
+                            version=prod.version, generated_at=GENERATED_AT, limit=20, offset=40,
+                            sources=prod.sources, deprecated=prod.deprecated, sunset=prod.sunset)
+
+
+def q_distinct_groups(spark, base):
+    return A.distinct_values(_flat(spark, base), "warengruppe")
+
+
 QUERIES: dict[str, Query] = {
     # S
     "scan_materials": q_scan_materials,
@@ -465,4 +476,6 @@ QUERIES: dict[str, Query] = {
     "column_filters_ops": q_column_filters_ops,
     "plant_load_min": q_plant_load_min,
     "page_deep": q_page_deep,
+    "envelope_meta_deprecated": q_envelope_meta_deprecated,
+    "distinct_groups": q_distinct_groups,
 }
