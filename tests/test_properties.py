@@ -130,3 +130,17 @@ def test_kpi_board_matches_python(spark, rows):
     want = [sum(1 for s, _ in rows if s == k) for k in ("Aktiv", "Nicht geliefert", "Obsolet", "Gesperrt")]
     want.append(sum(1 for _, g in rows if g is None or g == ""))
     assert got == want
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(-5, 5), st.sampled_from(["a", "b", None, "ä"])), min_size=1, max_size=15),
+       parts=st.integers(1, 5), seed=st.integers(0, 100))
+def test_fingerprint_ignores_order_but_counts_duplicates(spark, rows, parts, seed):
+    import random
+    from stockboard.operators.aggregates import content_fingerprint
+    shuffled = rows[:]
+    random.Random(seed).shuffle(shuffled)
+    a = content_fingerprint(spark.createDataFrame(rows, "n long, s string")).first()
+    b = content_fingerprint(spark.createDataFrame(shuffled, "n long, s string").repartition(parts)).first()
+    c = content_fingerprint(spark.createDataFrame(rows + rows[:1], "n long, s string")).first()
+    assert a == b and c.n_rows == a.n_rows + 1 and c.fingerprint != a.fingerprint
