@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockboard.llm import decontaminate, exact_dedup, packing, toxicity
+from stockboard.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
 from stockboard.llm.common import scratch
 
 
@@ -22,6 +22,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.drop_copies(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -31,7 +35,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", without_toxic), ("exact dedup", without_copies),
-          ("benchmark decontamination", without_benchmark), ("best-fit packing", packed)]
+          ("n-gram Jaccard join", without_near_copies), ("benchmark decontamination", without_benchmark), ("best-fit packing", packed)]
 #: The network of the first stage cannot be written in SQL.
 ORACLE_SQL = None
 

@@ -46,12 +46,14 @@ def text_bytes(docs: DataFrame) -> int:
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, doc_id, text): documents dealt by a hash of id and text into
     blocks of about `block_bytes`, all rows of a block in one partition. The
-    number of blocks follows the total size of the texts."""
+    number of blocks follows the total size of the texts. There are no fewer
+    partitions than Spark would choose, so that operators on groups of a block
+    take them as they are; an equal plan elsewhere in a query reuses the shuffle."""
     n = max(1, -(-text_bytes(docs) // block_bytes))
     d = id_and_text(docs)
     block = F.pmod(F.xxhash64(d["doc_id"], F.length(d["text"])), F.lit(n)).cast("int")
     return d.select(block.alias("block"), d["doc_id"], F.coalesce(d["text"], F.lit("")).alias("text")) \
-        .repartition(n, "block")
+        .repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -112,10 +114,15 @@ def split_words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Strin
     return coded.indices.to_numpy(zero_copy_only=False), offsets, coded.dictionary
 
 
-def word_hashes(words: pa.StringArray, lane: int = 0) -> np.ndarray:
+def objects(words: pa.StringArray) -> np.ndarray:
+    return words.to_numpy(zero_copy_only=False)
+
+
+def word_hashes(words: pa.StringArray | np.ndarray, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of each word; the two lanes are independent."""
     from pandas.util import hash_array
-    return hash_array(np.asarray(words.to_pylist(), dtype=object), hash_key=HASH_KEYS[lane], categorize=False) \
+    words = words if isinstance(words, np.ndarray) else objects(words)
+    return hash_array(words.astype(object), hash_key=HASH_KEYS[lane], categorize=False) \
         if len(words) else np.zeros(0, np.uint64)
 
 

@@ -1,8 +1,8 @@
 """The registered queries of this package, one per operator, and their SQL."""
 from __future__ import annotations
 
-from stockboard.llm import (decontaminate, exact_dedup, line_dedup, packing, secrets, substring_dedup, token_counts,
-                            toxicity)
+from stockboard.llm import (decontaminate, exact_dedup, jaccard_join, line_dedup, packing, secrets, substring_dedup,
+                            token_counts, toxicity)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,

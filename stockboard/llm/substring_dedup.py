@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockboard.llm.common import (BLOCK_BYTES, blocked, group_sums, in_order, one_array, split_words, text_bytes,
-                                   window_hashes, word_hashes)
+from stockboard.llm.common import (BLOCK_BYTES, blocked, group_sums, in_order, objects, one_array, split_words,
+                                   text_bytes, window_hashes, word_hashes)
 
 SIZE = 35
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -52,24 +52,31 @@ def ddl(schema: pa.Schema) -> str:
 
 
 def packed_gaps(sorted_values: np.ndarray, base: int) -> bytes:
-    gaps = np.diff(sorted_values, prepend=np.uint64(base))
-    wide = len(gaps) and int(gaps.max()) > 0xFFFF
-    return bytes([4 if wide else 2]) + gaps.astype("<u4" if wide else "<u2").tobytes()
+    """Gaps of 16 bits, where 65535 means that much and more to come, or of 32 bits if that is shorter."""
+    gaps = np.diff(sorted_values, prepend=np.uint64(base)).astype(np.int64)
+    more = gaps // 0xFFFF
+    if int(more.sum()) > len(gaps):
+        return b"\4" + gaps.astype("<u4").tobytes()
+    out = np.full(len(gaps) + int(more.sum()), 0xFFFF, "<u2")
+    out[np.cumsum(more + 1) - 1] = gaps % 0xFFFF
+    return b"\2" + out.tobytes()
 
 
 def unpacked_gaps(raw: bytes) -> np.ndarray:
     """Positions relative to the shard's first bucket."""
-    return np.cumsum(np.frombuffer(raw, "<u4" if raw[0] == 4 else "<u2", offset=1), dtype=np.int64)
+    gaps = np.frombuffer(raw, "<u4" if raw[0] == 4 else "<u2", offset=1)
+    places = np.cumsum(gaps, dtype=np.int64)
+    return places if raw[0] == 4 else places[gaps != 0xFFFF]
 
 
 class Layout:
     """Bucket bits and shards of a corpus of about `n` windows."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, per_window: int = BUCKETS_PER_WINDOW):
         self.shard_bits = max(0, (n // SHARD_WINDOWS).bit_length())
-        self.bucket_bits = max(8, (BUCKETS_PER_WINDOW * max(1, n)).bit_length(), self.shard_bits)
+        self.bucket_bits = max(8, (per_window * max(1, n)).bit_length(), self.shard_bits)
         self.shards = 1 << self.shard_bits
-        self.width = 1 << (self.bucket_bits - self.shard_bits)      # buckets of a shard; at most 2**26
+        self.width = 1 << (self.bucket_bits - self.shard_bits)      # buckets of a shard
 
     def buckets(self, h: np.ndarray) -> np.ndarray:
         return h >> np.uint64(64 - self.bucket_bits)
@@ -89,7 +96,8 @@ class Block:
         row = np.repeat(np.arange(len(self.n_words)), self.n_words)
         self.start = np.flatnonzero(row[:n] == row[size - 1:]) if n else np.zeros(0, np.int64)
         self.size = size
-        self.hashes = [window_hashes(word_hashes(self.vocabulary, k)[self.words], size, BASES[k])[self.start]
+        distinct = objects(self.vocabulary)
+        self.hashes = [window_hashes(word_hashes(distinct, k)[self.words], size, BASES[k])[self.start]
                        for k in (0, 1)] if n else [np.zeros(0, np.uint64)] * 2
 
     def kept(self, repeated: np.ndarray) -> pa.Table:
