@@ -1,12 +1,13 @@
 """The registered queries of this package, one per operator, and their SQL."""
 from __future__ import annotations
 
-from stockboard.llm import (decontaminate, exact_dedup, jaccard_join, line_dedup, packing, secrets, substring_dedup,
-                            token_counts, toxicity)
+from stockboard.llm import (decontaminate, exact_dedup, jaccard_join, line_dedup, ngram_lm, packing, secrets,
+                            substring_dedup, token_counts, toxicity)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_lm_scoring": ngram_lm.op3_lm_scoring,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_line_dedup": line_dedup.op6_line_dedup,
