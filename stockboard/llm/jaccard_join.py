@@ -9,17 +9,19 @@
    filter), and it occurs in more than one set. A block writes, for each
    distinct set, those shingles as postings, and the set in order without the
    shingles that occur nowhere else (they cannot overlap).
-3. Sets under one shingle form a group; equal groups are taken once. The least
-   set of a group is its pivot. Stars of a pivot, in chunks of at most `chunk`
-   sets, are put into a prefix tree: sets with a common beginning share a path,
-   and the tree is walked once per set, adding up the overlap along the path
-   and leaving a subtree when its remaining length, sizes or places cannot
-   reach the threshold, or when all of it is already connected to the set.
-4. After the components of these links, only groups whose sets still lie in
-   different components are open. Their sets are compared in the same way, in
-   pairs of chunks, but for the sets of the group's largest component among
-   themselves. So every pair that could connect two components is examined,
-   and a group of near copies costs in proportion to its size.
+3. Sets under one shingle form a group; equal groups are taken once. Sets that
+   are connected by groups form a candidate cluster. A cluster of bounded size
+   (`TREE_SHINGLES`) is put into one prefix tree: sets with a common beginning
+   share a path, and the tree is walked once per set, adding up the overlap along
+   the path and leaving a subtree when its remaining length, sizes or places
+   cannot reach the threshold, or when all of it is already connected to the set.
+4. Larger clusters are split. The least set of a group is its pivot; every set is
+   compared with its least pivot, in trees of at most `chunk` sets that all hold
+   the pivot. After the components of these links, only groups whose sets still
+   lie in different components are open: their sets are compared in the same
+   way, in pairs of chunks, but for the sets of the group's largest component
+   among themselves. So every pair that could connect two components is examined,
+   and a cluster of near copies costs in proportion to its size.
 5. Components of all links; a document's component is the least doc_id in it.
 
 Texts with the same set of shingles are one set throughout; their copies are
@@ -47,7 +49,8 @@ from stockboard.llm.components import components
 from stockboard.llm.substring_dedup import LEAST_WORD_BYTES, Layout, ddl, packed_gaps, unpacked_gaps
 
 SIZE, PERCENT = 4, 85
-CHUNK = 512
+CHUNK = 512                         # sets of a tree, in clusters that are split
+TREE_SHINGLES = 1 << 21             # shingles of a cluster that is taken whole
 BASE = 0x9E3779B97F4A7C15
 BUCKETS_PER_SHINGLE = 64
 SENT = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("gaps", pa.binary())])
@@ -323,9 +326,25 @@ def grouped(postings: DataFrame) -> DataFrame:
         .select("token", "pivot", "m", "key")
 
 
+def clusters(groups: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """(key, cluster, large): the candidate cluster of each set, and whether it has more than `most` shingles."""
+    pairs = groups.where(F.col("key") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+    found = components(pairs)
+    sized = found.join(sets.select("key", "n").distinct(), F.col("node") == F.col("key"))
+    totals = sized.groupBy("component").agg(F.sum("n").alias("total"), F.min("component").alias("cluster"))
+    return found.join(totals.select("cluster", "total"), F.col("component") == F.col("cluster")).select(
+        F.col("node").alias("key"), "cluster", (F.col("total") > most).alias("large"))
+
+
+def whole(found: DataFrame) -> DataFrame:
+    """work: clusters as they are."""
+    return found.where("not large").select(F.col("cluster").alias("chunk"), "key",
+                                           F.lit(None).cast("binary").alias("label"), F.lit(0).alias("side"))
+
+
 def stars(groups: DataFrame, chunk: int) -> DataFrame:
-    """work: each pivot with the sets it shares a group with, in chunks that all hold the pivot."""
-    pairs = groups.where(F.col("key") != F.col("pivot")).select("pivot", "key").distinct()
+    """work: each pivot with the sets whose least pivot it is, in chunks that all hold the pivot."""
+    pairs = groups.groupBy("key").agg(F.min("pivot").alias("pivot")).where(F.col("key") != F.col("pivot"))
     parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / (chunk - 1)).cast("int").alias("parts"),
                                        F.min("pivot").alias("centre"))
     dealt = pairs.join(parts.select("centre", "parts"), F.col("pivot") == F.col("centre")).select(
@@ -370,7 +389,7 @@ def open_groups(groups: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, chunk: int = CHUNK,
-               block_bytes: int = BLOCK_BYTES) -> DataFrame:
+               tree_shingles: int = TREE_SHINGLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     layout = Layout(text_bytes(docs) // LEAST_WORD_BYTES, BUCKETS_PER_SHINGLE)
@@ -387,12 +406,22 @@ def classes_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, chunk:
     grouped(table.where("kind = 'p'").select("token", "key").distinct()).write.parquet(path)
     groups = spark.read.schema("token long, pivot binary, m long, key binary").parquet(path)
 
-    path = scratch(spark, "jaccard-links")
-    compared(stars(groups, chunk), sets, percent).write.parquet(path)
-    near = spark.read.schema(ddl(LINKS)).parquet(path)
-    more_path = scratch(spark, "jaccard-links")
-    compared(open_groups(groups, components(near), chunk), sets, percent).write.parquet(more_path)
-    final = components(near.unionByName(spark.read.schema(ddl(LINKS)).parquet(more_path)))
+    def stored(links: DataFrame) -> DataFrame:
+        path = scratch(spark, "jaccard-links")
+        links.write.parquet(path)
+        return spark.read.schema(ddl(LINKS)).parquet(path)
+
+    path = scratch(spark, "jaccard-clusters")
+    clusters(groups, sets, tree_shingles).write.parquet(path)
+    found = spark.read.schema("key binary, cluster binary, large boolean").parquet(path)
+    links = stored(compared(whole(found), sets, percent))
+    large = found.where("large").select(F.col("key").alias("__large"))
+    if not large.isEmpty():
+        split = groups.join(large, F.col("key") == F.col("__large"), "left_semi")
+        near = stored(compared(stars(split, chunk), sets, percent))
+        more = stored(compared(open_groups(split, components(near), chunk), sets, percent))
+        links = links.unionByName(near).unionByName(more)
+    final = components(links)
 
     members = table.where("kind = 'm'").select("doc_id", F.col("n").alias("n_shingles"), "key")
     labelled = members.join(final.select("node", "component"), F.col("key") == F.col("node"), "left").select(
