@@ -7,9 +7,31 @@ text is DuckDB's dialect: ``datediff('day', start, end)``, ``strftime`` and
 """
 from __future__ import annotations
 
-from stockboard.operators.aggregates import KPI_DEFINITIONS, STATUSES, kpi_filter_json
-from stockboard.operators.contracts import MATERIAL_V1
-from stockboard.sources import generate as G
+# Fixed values, stated here on their own so that a wrong one in the package shows.
+STATUSES = ("Aktiv", "Nicht geliefert", "Obsolet", "Gesperrt")
+KPIS = (("aktiv", "Aktive Materialien", "#2e9e5b", '{"status":["Aktiv"],"ohne_klass":false}'),
+        ("nicht_geliefert", "Nicht gelieferte Teile", "#ef6c00", '{"status":["Nicht geliefert"],"ohne_klass":false}'),
+        ("obsolet", "Obsolete Materialien", "#6b7683", '{"status":["Obsolet"],"ohne_klass":false}'),
+        ("gesperrt", "Gesperrte Materialien", "#d13b3b", '{"status":["Gesperrt"],"ohne_klass":false}'),
+        ("ohne_klassifizierung", "Ohne Klassifizierung", "#6a4bc0", '{"status":[],"ohne_klass":true}'))
+GROUPS = ("Betriebsstoffe", "Rohstoffe", "Fertigerzeugnisse", "Verpackung", "Ersatzteile", "Halbfabrikate", "")
+GROUP_WEIGHTS = (18, 18, 18, 12, 12, 16, 6)
+PLANTS = (("W-KOE", "Werk Koeln"), ("W-BER", "Werk Berlin"), ("W-MUC", "Werk Muenchen"), ("W-HAM", "Werk Hamburg"))
+STATUS_WEIGHTS = (55, 18, 15, 12)
+UNITS = ("M", "KG", "L", "PAK", "ST")
+NAMES = ("Gewindestange M10", "Sensorhalter Typ B", "Dichtungsring NBR 25", "Aluminiumprofil 40x40",
+         "Steckverbinder 4-pol", "Oelfilter Standard", "Edelstahlschraube M8x40", "Fuehrungsschiene 500mm",
+         "Zahnriemen HTD-5M")
+# (field, type, required, domain, minimum)
+MATERIAL_RULES = (("material_nr", "varchar", True, None, None), ("bezeichnung", "varchar", False, None, None),
+                  ("warengruppe", "varchar", False, None, None), ("werk", "varchar", False, None, None),
+                  ("status", "varchar", False, STATUSES, None), ("einheit", "varchar", False, UNITS, None),
+                  ("bestand", "bigint", False, None, None), ("geaendert", "varchar", False, None, None))
+DELIVERY_RULES = (("lieferant_id", "varchar", True, None, None), ("material_nr", "varchar", True, None, None),
+                  ("geliefert_am", "date", True, None, None), ("zugesagt_am", "date", True, None, None),
+                  ("menge", "int", True, None, 1), ("reklamationen", "int", True, None, 0))
+LABELS = {"material_nr": "MATERIAL-NR.", "bezeichnung": "BEZEICHNUNG", "warengruppe": "WARENGRUPPE", "werk": "WERK",
+          "status": "STATUS", "einheit": "EINHEIT", "bestand": "BESTAND", "geaendert": "GEÄNDERT"}
 
 MATERIALS = """
 materials as (
@@ -59,7 +81,6 @@ mapping_events as (
   select concat('MAT-', cast(100777 + l_partkey * 13 as varchar)) as material_nr,
     c_mktsegment as ziel_warengruppe, o_orderdate as geaendert_am, o_orderkey as version
   from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey
-  where o_orderpriority = '1-URGENT'
 )"""
 
 LATEST_MAPPING = """
@@ -123,17 +144,20 @@ select * from r{where_cls}"""
 
 
 
-V_GRAPH = with_views(MATERIALS) + """
+GRAPH = """
 , nodes as (
-  select 'Material:' || material_nr as node_id, 'Material' as label, max(bezeichnung) as name
-    from materials where material_nr is not null group by material_nr
+  select 'Material:' || material_nr as node_id, 'Material' as label, bezeichnung as name, status, einheit, bestand,
+         preis, geaendert, cast(null as varchar) as land
+    from materials where material_nr is not null
   union all
-  select 'Werk:' || werk_id, 'Werk', max(werk_name) from materials where werk_id is not null group by werk_id
+  select 'Werk:' || werk_id, 'Werk', max(werk_name), null, null, null, null, null, null
+    from materials where werk_id is not null group by werk_id
   union all
-  select 'Warengruppe:' || warengruppe, 'Warengruppe', warengruppe
+  select 'Warengruppe:' || warengruppe, 'Warengruppe', warengruppe, null, null, null, null, null, null
     from materials where warengruppe <> '' group by warengruppe
   union all
-  select 'Lieferant:' || printf('L-%06d', s_suppkey), 'Lieferant', max(s_name) from supplier group by s_suppkey
+  select 'Lieferant:' || printf('L-%06d', s_suppkey), 'Lieferant', s_name, null, null, null, null, null, n_name
+    from supplier left join nation on n_nationkey = s_nationkey
 ), edges as (
   select distinct * from (
     select 'LOCATED_IN' as rel, 'Material:' || material_nr as src, 'Werk:' || werk_id as dst
@@ -149,6 +173,18 @@ V_GRAPH = with_views(MATERIALS) + """
   ) u
 )
 """
+V_GRAPH = with_views(MATERIALS) + GRAPH
+# Without the blocked materials, which carry the extra label.
+V_GRAPH_LIVE = (with_views(MATERIALS.replace("materials as (", "all_materials as (", 1))
+                + ", materials as (select * from all_materials where status <> 'Gesperrt')" + GRAPH)
+
+
+def fingerprint_sql(columns: dict[str, str], source: str) -> str:
+    """columns: name -> text expression."""
+    names = "".join(f"{len(c)}:{c}" for c in columns)
+    text = " || ".join([f"'{names}'", *[f"coalesce(length({e}) || ':' || {e}, '-')" for e in columns.values()]])
+    lanes = [f"cast(coalesce(sum(cast('0x' || substr(h, {at}, 15) as bigint)), 0) as varchar)" for at in (1, 16)]
+    return f"select count(*) as n_rows, {lanes[0]} || '-' || {lanes[1]} as fingerprint from (select sha256({text}) as h from {source}) f"
 
 
 def _draw(name: str, *ids: str) -> str:
@@ -181,31 +217,31 @@ GENERATE_MATERIALS = f"""
 with ids as (select p_partkey - 1 as i from part)
 select cast(i as bigint) as i,
   concat('MAT-', cast(100777 + i * 13 as varchar)) as material_nr,
-  {_choice(_draw('name', 'i'), G.NAMES)} as bezeichnung,
-  {_weighted(_draw('warengruppe', 'i'), G.GROUPS, G.GROUP_WEIGHTS)} as warengruppe,
-  {_choice(_draw('werk', 'i') + ' % 4', [p[0] for p in G.PLANTS])} as werk_id,
-  {_choice(_draw('werk', 'i') + ' % 4', [p[1] for p in G.PLANTS])} as werk_name,
-  {_weighted(_draw('status', 'i'), G.STATUSES, G.STATUS_WEIGHTS)} as status,
-  {_choice(_draw('einheit', 'i'), G.UNITS)} as einheit,
-  cast({_uniform(_draw('bestand', 'i'), *G.STOCK_RANGE)} as bigint) as bestand,
-  cast({_uniform(_draw('preis', 'i'), *G.PRICE_CENTS_RANGE)} as double) / 100.0 as preis,
-  printf('2026-%02d-%02d', cast({_uniform(_draw('monat', 'i'), *G.CHANGE_MONTHS)} as int),
-         cast({_uniform(_draw('tag', 'i'), *G.CHANGE_DAYS)} as int)) as geaendert
+  {_choice(_draw('name', 'i'), NAMES)} as bezeichnung,
+  {_weighted(_draw('warengruppe', 'i'), GROUPS, GROUP_WEIGHTS)} as warengruppe,
+  {_choice(_draw('werk', 'i') + ' % 4', [p[0] for p in PLANTS])} as werk_id,
+  {_choice(_draw('werk', 'i') + ' % 4', [p[1] for p in PLANTS])} as werk_name,
+  {_weighted(_draw('status', 'i'), STATUSES, STATUS_WEIGHTS)} as status,
+  {_choice(_draw('einheit', 'i'), UNITS)} as einheit,
+  cast({_uniform(_draw('bestand', 'i'), 300, 9800)} as bigint) as bestand,
+  cast({_uniform(_draw('preis', 'i'), 50, 48000)} as double) / 100.0 as preis,
+  printf('2026-%02d-%02d', cast({_uniform(_draw('monat', 'i'), 1, 8)} as int),
+         cast({_uniform(_draw('tag', 'i'), 1, 28)} as int)) as geaendert
 from ids
 """
 
-_HUNDREDTHS = (f"({_choice(_draw('bias', 'lieferant_id'), G.DELAY_BIASES)} * 100 "
+_HUNDREDTHS = (f"({_choice(_draw('bias', 'lieferant_id'), (0, 2, 6, 1))} * 100 "
                f"+ {_uniform(_draw('verzug', 'lieferant_id', 'n'), -300, 300)})")
 GENERATE_DELIVERIES = V_SUP + f"""
-, series as (select lieferant_id, n from suppliers cross join range(0, {G.DELIVERIES_PER_SUPPLIER}) t(n))
+, series as (select lieferant_id, n from suppliers cross join range(0, {40}) t(n))
 , d as (
   select lieferant_id,
-    concat('MAT-', cast(100777 + {_uniform(_draw('material', 'lieferant_id', 'n'), 0, 63)} * 13 as varchar))
+    concat('MAT-', cast(100777 + (({_draw('material', 'lieferant_id', 'n')}) % (select count(*) from part)) * 13 as varchar))
       as material_nr,
     date '2026-01-01' + cast(n * 5 as int) as zugesagt_am,
     greatest(0, cast(floor(({_HUNDREDTHS} + 50) / 100.0) as int)) as verzug,
-    cast({_uniform(_draw('menge', 'lieferant_id', 'n'), *G.QUANTITY_RANGE)} as int) as menge,
-    cast({_weighted(_draw('reklamationen', 'lieferant_id', 'n'), G.COMPLAINTS, G.COMPLAINT_WEIGHTS)} as int)
+    cast({_uniform(_draw('menge', 'lieferant_id', 'n'), 10, 899)} as int) as menge,
+    cast({_weighted(_draw('reklamationen', 'lieferant_id', 'n'), (0, 1, 2), (85, 12, 3))} as int)
       as reklamationen
   from series)
 select lieferant_id, material_nr, zugesagt_am, zugesagt_am + verzug as geliefert_am, menge, reklamationen
@@ -222,39 +258,44 @@ def _in(values) -> str:
 
 def _kpi_board() -> str:
     selects = []
-    for pos, (kid, label, color, flt) in enumerate(KPI_DEFINITIONS, start=1):
+    for pos, (kid, label, color, flt) in enumerate(KPIS, start=1):
         selects.append(f"select cast({pos} as int) as position, '{kid}' as kpi_id, '{label}' as label, "
-                       f"'{color}' as color, cast({kid} as bigint) as value, '{kpi_filter_json(flt)}' as filter from c")
+                       f"'{color}' as color, cast({kid} as bigint) as value, '{flt}' as filter from c")
     counts = ", ".join(f"count_if(status = '{s}') as {s.lower().replace(' ', '_')}" for s in STATUSES)
     return (V_FLAT + f", c as (select {counts}, count_if(warengruppe is null or warengruppe = '') "
             f"as ohne_klassifizierung from flat)\n" + "\nunion all\n".join(selects))
 
 
-_DUCK_TYPES = {"string": "varchar", "bigint": "bigint", "double": "double"}
-
-
-def _contract_violations(contract) -> str:
-    parts, pos = [], 0
-    for f in contract.fields:
-        c = f.name
-        rules = []
-        if not f.nullable:
-            rules.append(("required", f"count_if({c} is null)"))
-        rules.append(("type", f"count_if({c} is not null and try_cast({c} as "
-                              f"{_DUCK_TYPES[f.dataType.simpleString()]}) is null)"))
-        if "domain" in f.metadata:
-            rules.append(("domain", f"count_if({c} is not null and {c} not in {_in(f.metadata['domain'])})"))
-        for rule, expr in rules:
-            parts.append(f"select cast({pos} as int) as pos, '{c}' as feld, '{rule}' as regel, "
-                         f"cast({expr} as bigint) as verstoesse from flat")
-            pos += 1
-    return V_FLAT + "\nunion all\n".join(parts)
-
+def _violations(rules, source: str) -> str:
+    parts = []
+    for name, kind, required, domain, minimum in rules:
+        if required:
+            parts.append((name, "required", f"{name} is null"))
+        parts.append((name, "type", f"{name} is not null and try_cast({name} as {kind}) is null"))
+        if domain:
+            parts.append((name, "domain", f"{name} is not null and {name} not in {_in(domain)}"))
+        if minimum is not None:
+            parts.append((name, "range", f"{name} < {minimum}"))
+    return "\nunion all\n".join(
+        f"select cast({pos} as int) as pos, '{name}' as feld, '{rule}' as regel, "
+        f"cast(count_if({test}) as bigint) as verstoesse from {source}" for pos, (name, rule, test) in enumerate(parts))
+
+
+_N_PARTS = "(select count(distinct p_partkey) from part)"
+# Floyd's sample: a fold over the last k indices, each wrapped as a list.
+SAMPLE = f"""
+with mats as (select dense_rank() over (order by p_partkey) - 1 as i from (select distinct p_partkey from part) p),
+s as (select printf('L-%06d', s_suppkey) as lieferant_id from supplier),
+k as (select lieferant_id, least(8, {_N_PARTS}) + ({_draw('k', 'lieferant_id')})
+             % (least(30, {_N_PARTS}) - least(8, {_N_PARTS}) + 1) as k, {_N_PARTS} as n from s),
+js as (select lieferant_id, list_transform(range(n - k, n), lambda j: [cast(j as bigint),
+              cast(({_draw('pick', 'lieferant_id', 'j')}) % (j + 1) as bigint)]) as draws from k),
+p as (select lieferant_id, unnest(list_reduce(draws, lambda acc, d:
+        list_append(acc, case when list_contains(acc, d[2]) then d[1] else d[2] end), cast([] as bigint[]))) as i from js)
+select lieferant_id, concat('MAT-', cast(100777 + p.i * 13 as varchar)) as material_nr from p join mats on mats.i = p.i
+"""
 
 _FLAT_ORDER = "material_nr, bezeichnung, warengruppe, werk, status, einheit, bestand, geaendert"
-_LABELS = {f.name: f.metadata["label"].upper() for f in __import__(
-    "stockboard.operators.contracts", fromlist=["TABLE_COLUMNS"]).TABLE_COLUMNS.fields}
-
 ORACLE: dict[str, str] = {
     # S
     "scan_materials": V_MAT + "select * from materials",
@@ -304,7 +345,7 @@ ORACLE: dict[str, str] = {
     "risk_class_histogram": f"""select risiko_klasse, count(*) as lieferanten
       from ({risk_sql()}) r group by risiko_klasse""",
     "visible_columns": V_FLAT + "select material_nr, bezeichnung, status, bestand from flat",
-    "label_columns": V_FLAT + "select " + ", ".join(f'{c} as "{l}"' for c, l in _LABELS.items()) + " from flat",
+    "label_columns": V_FLAT + "select " + ", ".join(f'{c} as "{l}"' for c, l in LABELS.items()) + " from flat",
     "format_thousands": V_MAT + """
       , p as (select werk_id, cast(sum(coalesce(bestand, 0)) as bigint) as bestand_gesamt
               from materials group by werk_id)
@@ -379,10 +420,15 @@ ORACLE: dict[str, str] = {
         'neo4j+postgres' as source, 'miss' as cache, false as deprecated, cast(null as date) as sunset
       from ({risk_sql()}) r""",
     "distinct_values": V_FLAT + "select distinct werk as wert from flat where werk is not null and werk <> ''",
-    "content_fingerprint": """select count(*) as n_rows, cast(coalesce(sum(cast('0x' || substr(sha256(concat_ws(chr(31),
-        coalesce(cast(p_partkey as varchar), '\\N'), coalesce(p_name, '\\N'), coalesce(p_brand, '\\N'),
-        coalesce(p_type, '\\N'), coalesce(cast(p_size as varchar), '\\N'))), 1, 15) as bigint)), 0) as varchar)
-        as fingerprint from part""",
+    "content_fingerprint": fingerprint_sql(
+        {"p_partkey": "cast(p_partkey as varchar)", "p_name": "p_name", "p_brand": "p_brand", "p_type": "p_type",
+         "p_size": "cast(p_size as varchar)",
+         "p_retailprice": "cast(cast(round(p_retailprice * 100) as bigint) as varchar)"}, "part"),
+    "content_fingerprint_nulls": V_FLAT + fingerprint_sql(
+        {"material_nr": "material_nr",
+         "bezeichnung": "(case when bestand > 2000 then '-' else bezeichnung || ':1:-' end)",
+         "warengruppe": "warengruppe", "werk": "werk", "status": "status", "einheit": "einheit",
+         "bestand": "cast(bestand as varchar)", "geaendert": "geaendert"}, "flat"),
     # W
     "latest_version": """select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
       from (select *, row_number() over (partition by o_custkey
@@ -398,7 +444,29 @@ ORACLE: dict[str, str] = {
                    + ", ".join(f"{c} asc nulls last" for c in _FLAT_ORDER.split(", "))
                    + " limit 20 offset 40",
     # U
-    "contract_violations": _contract_violations(MATERIAL_V1),
+    "contract_violations": V_FLAT + _violations(MATERIAL_RULES, "flat"),
+    "delivery_violations": V_DEL + """, faulty as (
+        select case when menge % 7 <> 0 then lieferant_id end as lieferant_id, material_nr, geliefert_am,
+          case when day(geliefert_am) <> 13 then zugesagt_am end as zugesagt_am,
+          case when menge % 11 = 0 then 0 else menge end as menge,
+          case when menge % 13 = 0 then -1 else reklamationen end as reklamationen from lieferungen)
+      """ + _violations(DELIVERY_RULES, "faulty"),
+    "mapping_rejects_absent": V_MAT + "select material_nr, 'ziel_warengruppe fehlt' as grund from materials",
+    "sample_supplier_links": SAMPLE,
+    "purge_mock_nodes": V_GRAPH_LIVE + "select * from nodes",
+    "purge_mock_edges": V_GRAPH_LIVE + "select * from edges",
+    "scan_materials_from_graph": V_MAT + """select material_nr, bezeichnung, nullif(warengruppe, '') as warengruppe,
+      werk_id, werk_name, status, einheit, bestand, preis, geaendert from materials""",
+    "snapshot_states": f"""with n as (select count(*) as zeilen from ({risk_sql()}) r)
+      select cast(schritt as int) as schritt, zustand, zeilen
+      from (values (1, 'miss'), (2, 'hit'), (3, 'miss'), (4, 'bypass'), (5, 'miss')) t(schritt, zustand), n""",
+    "product_page_supplier_risk": f"""select * from (
+      select row_number() over (order by risiko_score desc, lieferant_id) as position, * from ({risk_sql()}) r) p
+      where position between 11 and 30""",
+    "page_after": V_MAT + f"""select row_number() over (order by material_nr) as position, *
+      from (select {V2_COLS} from materials where material_nr > 'MAT-101' order by material_nr limit 50) v""",
+    "ordered_materials": V_MAT + """select * from (
+      select row_number() over (order by material_nr) as position, * from materials) m where position <= 50""",
     "mapping_rejects": V_MAT + """select material_nr, case
         when material_nr is null then 'material_nr fehlt'
         when length(material_nr) < 1 then 'material_nr zu kurz'

@@ -18,9 +18,6 @@ import argparse
 import sys
 from collections import defaultdict
 
-from pyspark.sql import functions as F
-
-
 def _params(pairs: list[str]) -> dict:
     raw: dict = defaultdict(list)
     for p in pairs:
@@ -43,14 +40,13 @@ def _inputs(spark, args, name: str) -> list:
     return [read_entity(spark, args.materials, K.MATERIALS)]
 
 
-def _emit(df, args, order=None) -> None:
+def _emit(df, args) -> None:
     if args.out:
         writer = df.write.mode("overwrite")
         (writer.json(args.out) if args.format == "json" else writer.parquet(args.out))
         print(f"written: {args.out}")
     else:
-        shown = df.orderBy(*order) if order else df
-        shown.show(args.show, truncate=False)
+        df.show(args.show, truncate=False)
 
 
 def main(argv=None) -> int:
@@ -76,7 +72,7 @@ def main(argv=None) -> int:
     from stockboard.plans import products as P
     from stockboard.plans.queries import QUERIES
     if args.cmd == "list":
-        for name, major, deprecated in P.REGISTRY.versions():
+        for (name, major), deprecated in sorted((k, p.deprecated) for k, p in P.PRODUCTS.items()):
             print(f"product {name} v{major}{' (deprecated)' if deprecated else ''}")
         for q in sorted(QUERIES):
             print(f"query {q}")
@@ -90,14 +86,13 @@ def main(argv=None) -> int:
             ap.error("query needs --sf-dir")
         _emit(QUERIES[args.name](spark, args.sf_dir), args)
         return 0
-    product = P.REGISTRY.latest(args.name) if args.major is None else P.REGISTRY.get(args.name, args.major)
-    if product is None:
-        ap.error(f"no product {args.name}")
+    try:
+        product = P.find_product(args.name, args.major)
+    except KeyError as error:
+        ap.error(error.args[0])
     params, limit, offset = P.parse_request(product.name, product.major, _params(args.param))
-    result = product.builder(*_inputs(spark, args, product.name), params)
-    order = ([F.col("risiko_score").desc(), F.col("lieferant_id").asc()] if product.name == "supplier-risk"
-             else [F.col(result.columns[0]).asc_nulls_last()])
-    _emit(result, args, order)
+    _emit(P.run_product(product.name, product.major, *_inputs(spark, args, product.name), params=params,
+                        limit=limit, offset=offset), args)
     return 0
 
 

@@ -30,6 +30,11 @@ KPI_DEFINITIONS = (
 )
 
 
+def rows_of(rows: Sequence[Sequence[Column]], names: Sequence[str], one: DataFrame) -> DataFrame:
+    """A one-row DataFrame turned into one row per listed tuple of columns."""
+    return one.select(F.inline(F.array(*[F.struct(*[c.alias(n) for c, n in zip(r, names)]) for r in rows])))
+
+
 def status_key(status: str) -> str:
     return status.lower().replace(" ", "_")
 
@@ -52,20 +57,16 @@ def count_unclassified(df: DataFrame, column: str = "warengruppe") -> DataFrame:
 def kpi_board(df: DataFrame) -> DataFrame:
     """A3: the five KPI tiles in display order, from ONE scan of the full table.
 
-    One aggregate computes the five counts; ``stack`` turns the single result
-    row into five rows carrying the literal definitions, so no join is needed.
+    One aggregate computes the five counts; an inlined array of structs turns the
+    single result row into five rows with the literal definitions, without a join.
     """
     counts = df.agg(
         *[F.count_if(F.col("status") == F.lit(s)).alias(status_key(s)) for s in STATUSES],
         F.count_if(unclassified("warengruppe")).alias("ohne_klassifizierung"))
-    parts = []
-    for pos, (kpi_id, label, color, flt) in enumerate(KPI_DEFINITIONS, start=1):
-        parts.append(f"{pos}, '{kpi_id}', '{label}', '{color}', `{kpi_id}`, "
-                     f"'{kpi_filter_json(flt)}'")
-    expr = f"stack({len(parts)}, {', '.join(parts)}) as (position, kpi_id, label, color, value, filter)"
-    return counts.selectExpr(expr).select(
-        F.col("position").cast("int").alias("position"), "kpi_id", "label", "color",
-        F.col("value").cast("bigint").alias("value"), "filter")
+    return rows_of([(F.lit(pos), F.lit(kpi_id), F.lit(label), F.lit(color), F.col(kpi_id),
+                     F.lit(kpi_filter_json(flt)))
+                    for pos, (kpi_id, label, color, flt) in enumerate(KPI_DEFINITIONS, start=1)],
+                   ("position", "kpi_id", "label", "color", "value", "filter"), counts)
 
 
 def delivery_kpis(deliveries: DataFrame, tolerance_days: int = 0, *,
@@ -129,19 +130,25 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def _row_text(columns: Sequence[str]) -> Column:
-    # Unit separator between fields, "\N" for null: equal rows give equal text.
-    return F.concat_ws("\u001f", *[F.coalesce(col_exact(c).cast("string"), F.lit("\\N")) for c in columns])
+    """Each field as ``<length>:<text>``, a null as ``-``: no two different rows
+    (or column lists, whose names come first) give the same text."""
+    fields = [F.concat(F.char_length(t).cast("string"), F.lit(":"), t)
+              for t in [col_exact(c).cast("string") for c in columns]]
+    names = "".join(f"{len(c)}:{c}" for c in columns)
+    return F.concat(F.lit(names), *[F.coalesce(f, F.lit("-")) for f in fields])
 
 
 def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Order-free content tag: row count and the sum of 60-bit row hashes.
+    """Order-free content tag: row count and two sums of 60-bit row hashes.
 
-    Each row's text is hashed with SHA-256; the first 15 hex digits are read as
-    a number and summed as decimal(38,0). The sum is independent of order and
-    partitioning, and unlike XOR a duplicated row changes it. Time stamps and
-    doubles should be left out (or passed as cents) by the caller.
+    Each row's text is hashed with SHA-256; hex digits 1-15 and 16-30 are read as
+    numbers and summed as decimal(38,0). The sums are independent of order and
+    partitioning, and unlike XOR a duplicated row changes them. Column names count
+    too. Doubles should be passed as whole numbers (cents) by the caller.
     """
     cols = list(columns or df.columns)
-    h = F.conv(F.substring(F.sha2(_row_text(cols), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    digest = F.sha2(_row_text(cols), 256)
+    lanes = [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+    zero = F.lit(0).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+                  F.concat_ws("-", *[F.coalesce(F.sum(x), zero).cast("string") for x in lanes]).alias("fingerprint"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockboard.operators.aggregates import STATUSES
+from stockboard.operators.aggregates import STATUSES, rows_of
 
 # Domains of the entities.
 UNITS = ("M", "KG", "L", "PAK", "ST")
@@ -60,6 +60,11 @@ MATERIALS = T.StructType([_f(c, t) for c, t in [
 DELIVERIES = T.StructType([_f(c, t) for c, t in [
     ("lieferant_id", S), ("material_nr", S), ("geliefert_am", T.DateType()), ("zugesagt_am", T.DateType()),
     ("menge", T.IntegerType()), ("reklamationen", T.IntegerType())]])
+# A delivery as it must be: every field given, something delivered, no negative complaints.
+DELIVERY = T.StructType([
+    _f("lieferant_id", S, False), _f("material_nr", S, False), _f("geliefert_am", T.DateType(), False),
+    _f("zugesagt_am", T.DateType(), False), _f("menge", T.IntegerType(), False, minimum=1),
+    _f("reklamationen", T.IntegerType(), False, minimum=0)])
 SUPPLIERS = T.StructType([_f(c, t) for c, t in [
     ("lieferant_id", S), ("lieferant_name", S), ("land", S), ("anzahl_materialien", L)]])
 
@@ -98,7 +103,8 @@ def contract_violations(df: DataFrame, contract: T.StructType) -> DataFrame:
 
     Rules: ``required`` (null in a non-nullable field), ``type`` (a non-null
     value that does not cast to the field type), ``domain`` (a value outside the
-    field's listed domain). A field missing from ``df`` counts every row.
+    field's listed domain), ``range`` (a value below the field's ``minimum``, in
+    its metadata). A field missing from ``df`` counts every row.
     Output: (feld, regel, verstoesse), in contract order.
     """
     checks: list[tuple[str, str, object]] = []
@@ -114,11 +120,11 @@ def contract_violations(df: DataFrame, contract: T.StructType) -> DataFrame:
         if "domain" in f.metadata:
             checks.append((f.name, "domain",
                            F.count_if(c.isNotNull() & ~c.isin(list(f.metadata["domain"])))))
+        if "minimum" in f.metadata:
+            checks.append((f.name, "range", F.count_if(c < F.lit(f.metadata["minimum"]))))
     counts = df.agg(*[expr.alias(f"c{i}") for i, (_n, _r, expr) in enumerate(checks)])
-    rows = ", ".join(f"{i}, '{n}', '{r}', c{i}" for i, (n, r, _e) in enumerate(checks))
-    return counts.selectExpr(f"stack({len(checks)}, {rows}) as (pos, feld, regel, verstoesse)") \
-                 .select(F.col("pos").cast("int").alias("pos"), "feld", "regel",
-                         F.col("verstoesse").cast("bigint").alias("verstoesse"))
+    return rows_of([(F.lit(i), F.lit(n), F.lit(r), F.col(f"c{i}")) for i, (n, r, _e) in enumerate(checks)],
+                   ("pos", "feld", "regel", "verstoesse"), counts)
 
 
 def conforms(df: DataFrame, contract: T.StructType, names: Sequence[str] | None = None) -> bool:

@@ -7,7 +7,7 @@ search as a Filter above it.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,18 +31,14 @@ class FilterState:
 
     @classmethod
     def normalize(cls, raw: Mapping | None) -> FilterState:
-        raw = raw or {}
-        return cls(status=tuple(raw.get("status") or ()),
-                   werk=tuple(raw.get("werk") or ()),
-                   warengruppe=tuple(raw.get("warengruppe") or ()),
-                   search=(raw.get("search") or "").strip(),
-                   ohne_klass=bool(raw.get("ohne_klass", False)))
+        """From loose input: keys that are no field are ignored; a missing or empty
+        value is the field's default, which also says how a value is read."""
+        given = raw or {}
+        read = {tuple: tuple, str: str.strip, bool: bool}
+        return cls(**{f.name: read[type(f.default)](given[f.name]) for f in fields(cls) if given.get(f.name)})
 
     def updated(self, partial: Mapping) -> FilterState:
-        merged = {"status": self.status, "werk": self.werk, "warengruppe": self.warengruppe,
-                  "search": self.search, "ohne_klass": self.ohne_klass}
-        merged.update(partial)
-        return FilterState.normalize(merged)
+        return FilterState.normalize({**asdict(self), **partial})
 
 
 def filter_predicate(state: FilterState | Mapping | None) -> Column | None:

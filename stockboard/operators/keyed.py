@@ -52,14 +52,15 @@ def upsert_by_key(base: DataFrame, changes: DataFrame, key: str | Sequence[str],
                   order: Sequence[str]) -> DataFrame:
     """Create-or-replace by key, idempotent.
 
-    Changes are first reduced to their latest row per key; base rows whose key
-    has a change are removed by an anti join; the changes are appended.
-    Applying the same changes twice gives the same table.
+    Base and change rows are tagged and reduced together: a change beats the base
+    row of its key, the latest change the others. One aggregate, each input once.
+    Of several base rows of one key, the latest stays. Applying the same changes
+    twice gives the same table.
     """
-    ks = _as_list(key)
-    latest = latest_per_key(changes.select(*base.columns), ks, order)
-    kept = base.join(latest.select(*ks), ks, "left_anti")
-    return kept.unionByName(latest)
+    names = base.columns
+    tagged = (base.select(*map(_q, names), F.lit(0).alias("_change"))
+              .unionByName(changes.select(*map(_q, names), F.lit(1).alias("_change"))))
+    return latest_per_key(tagged, key, ["_change", *order]).select(*map(_q, names))
 
 
 def apply_mappings(materials: DataFrame, mappings: DataFrame, *, key: str = "material_nr",
@@ -70,7 +71,8 @@ def apply_mappings(materials: DataFrame, mappings: DataFrame, *, key: str = "mat
     Only one row per material reaches the join (latest first), so the join
     never fans out.
     """
-    valid = split_valid(mappings).where(F.col("grund").isNull())
+    rules = [(key, 1, MAPPING_RULES[0][2]), (target, 1, MAPPING_RULES[1][2]), MAPPING_RULES[2]]
+    valid = split_valid(mappings, rules).where(F.col("grund").isNull())
     latest = latest_per_key(valid.select(key, target, *order), key, list(order))
     return (materials.join(latest.select(key, target), key, "left")
             .withColumn(column, F.coalesce(F.col(target), F.col(column)))
@@ -86,11 +88,13 @@ def split_valid(requests: DataFrame, rules: Sequence[tuple[str, int, int]] = MAP
     """Add ``grund``, the first broken rule, or null when the row is valid.
 
     A required field (min length >= 1) must be present and long enough; an
-    optional one (min 0) may be null. Valid rows: ``grund IS NULL``.
+    optional one (min 0) may be null or absent. A required column that the table
+    does not have is missing in every row. Valid rows: ``grund IS NULL``.
     """
     reason = F.lit(None).cast("string")
     for name, low, high in reversed(rules):
         if name not in requests.columns:
+            reason = F.lit(f"{name} fehlt") if low >= 1 else reason
             continue
         c = F.col(name)
         length = F.char_length(c)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockboard.functions.columns import col_exact
@@ -57,6 +57,13 @@ def page_after(df: DataFrame, keys: Sequence[str], after: Sequence | None, limit
     return df.orderBy(*order).limit(limit)
 
 
+def with_position(rows: DataFrame, order: Sequence[Column], offset: int = 0) -> DataFrame:
+    """The rows of a page with their place in the whole order (from 1), in front.
+    For pages only: one task numbers them."""
+    place = F.row_number().over(Window.orderBy(*order)) + F.lit(offset)
+    return rows.select(place.cast("bigint").alias("position"), *[col_exact(c) for c in rows.columns])
+
+
 def sorted_page(df: DataFrame, column: str, direction: str = "asc", page_no: int = 0,
                 size: int = TABLE_PAGE_SIZE) -> DataFrame:
     """User sort on any column, ``size`` rows per page, page numbers from 0."""

@@ -6,6 +6,7 @@ JSON round trips write first, then return the read-back DataFrame).
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import os
 import uuid
 from collections.abc import Callable
@@ -34,7 +35,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Fixed parameters of the registered queries.
 SINCE = dt.date(1998, 1, 1)
 SEED = 42
-SEED_MATERIALS = 64
 GENERATED_AT = dt.datetime(2026, 12, 3, 10, 42, 0)
 MAPPING_SPLIT = "1998-01-01 00:00:00"          # compared as timestamp_ntz: no session zone
 FILTER_STATE = {"status": ["Aktiv", "Gesperrt"], "werk": ["NATION_3", "NATION_7", "NATION_11"],
@@ -62,17 +62,21 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "stockboard", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _links(spark, base):
-    return (V.supply_links(spark, base)
-            .select(V.supplier_id(F.col("supplier_key")).alias("lieferant_id"),
-                    V.material_nr(F.col("material_key")).alias("material_nr")))
+def _edges(spark, base):
+    return GR.to_graph_edges(V.materials(spark, base, keyed=True), V.supply_links(spark, base), key="material_key",
+                             supplier_key="supplier_key", material_text=V.material_nr, supplier_text=V.supplier_id)
 
 
 def _graph(spark, base):
-    mats = V.materials(spark, base)
-    nodes = GR.to_graph_nodes(mats, V.supplier_master(spark, base))
-    edges = GR.to_graph_edges(mats, _links(spark, base))
-    return nodes, edges
+    return GR.to_graph_nodes(V.materials(spark, base), V.supplier_master(spark, base)), _edges(spark, base)
+
+
+def _graph_with_mock(spark, base):
+    """The graph, with the blocked materials as nodes that carry the extra label Mock."""
+    mats, blocked = V.materials(spark, base), F.col("status") == "Gesperrt"
+    mock = GR.to_graph_nodes(mats.where(blocked), V.supplier_master(spark, base), ("Mock",))
+    nodes = GR.to_graph_nodes(mats.where(~blocked), V.supplier_master(spark, base))
+    return nodes.unionByName(mock.where(F.col("label") == "Material")), _edges(spark, base)
 
 
 def _material_ids(spark, base):
@@ -94,30 +98,38 @@ def q_generate_materials(spark, base):
 
 
 def q_generate_deliveries(spark, base):
-    return G.generate_deliveries(V.suppliers(spark, base).select("lieferant_id"), SEED_MATERIALS, SEED)
+    n = _material_ids(spark, base).count()          # one scalar
+    return G.generate_deliveries(V.suppliers(spark, base).select("lieferant_id"), n, SEED)
 
 
 def q_sample_supplier_links(spark, base):
-    ids = _material_ids(spark, base)
-    n = ids.agg(F.max("i")).first()[0] + 1          # one scalar: a one-row aggregate
-    mats = G.generate_materials(ids, SEED)
-    return G.sample_supplier_links(V.supplier_master(spark, base), mats, n, 8, 30, SEED)
+    ids = G.dense_index(read_table(spark, base, "part", ["p_partkey"]), "p_partkey").select("i")
+    n = _material_ids(spark, base).distinct().count()          # one scalar
+    return G.sample_supplier_links(V.supplier_master(spark, base), G.generate_materials(ids, SEED), n, 8, 30, SEED)
 
 
 def q_graph_nodes(spark, base):
-    return _graph(spark, base)[0].select("node_id", "label", "name")
+    return _graph(spark, base)[0].drop("labels")
 
 
 def q_graph_edges(spark, base):
-    return _graph(spark, base)[1]
+    return _edges(spark, base)
+
 
+def q_purge_label(spark, base):
+    return GR.purge_label(*_graph(spark, base), "Werk")[1]
 
-def _stored_graph(spark, base):
-    return GR.store_graph(*_graph(spark, base), _scratch(spark, "graph"))
 
+def q_purge_mock_nodes(spark, base):
+    return GR.purge_label(*_graph_with_mock(spark, base), "Mock")[0].drop("labels")
 
-def q_purge_label(spark, base):
-    return GR.purge_label(*_stored_graph(spark, base), "Werk")[1]
+
+def q_purge_mock_edges(spark, base):
+    return GR.purge_label(*_graph_with_mock(spark, base), "Mock")[1]
+
+
+def q_scan_materials_from_graph(spark, base):
+    return GR.scan_materials_from_graph(*_graph(spark, base))
 
 
 def q_nodes_per_label(spark, base):
@@ -141,6 +153,20 @@ def q_snapshot_roundtrip(spark, base):
     return data
 
 
+def q_snapshot_states(spark, base):
+    """Miss, hit, another key, a product without lifetime, and after invalidation; the rows of each answer."""
+    root, later = _scratch(spark, "snapshots"), GENERATED_AT + dt.timedelta(seconds=300)
+    build, key = (lambda: _risk()(spark, base)), SN.snapshot_key("supplier-risk", 1, {"toleranz_tage": 0})
+    other = SN.snapshot_key("supplier-risk", 1, {"toleranz_tage": 3})
+    answers = [SN.get_or_build(spark, root, k, "supplier-risk", at, ttl, build)
+               for k, at, ttl in ((key, GENERATED_AT, 300), (key, later, 300), (other, later, 300), (key, later, 0))]
+    SN.invalidate_snapshots(spark, root, later, "supplier-risk")
+    answers.append(SN.get_or_build(spark, root, key, "supplier-risk", later + dt.timedelta(seconds=1), 300, build))
+    parts = [data.agg(F.lit(i).alias("schritt"), F.lit(state).alias("zustand"), F.count(F.lit(1)).alias("zeilen"))
+             for i, (data, state) in enumerate(answers, start=1)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 # --- projections and computed columns ----------------------------------------
 
 def q_blank_to_null(spark, base):
@@ -306,8 +332,15 @@ def q_distinct_values(spark, base):
 
 
 def q_content_fingerprint(spark, base):
-    part = read_table(spark, base, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
-    return A.content_fingerprint(part)
+    part = read_table(spark, base, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
+    return A.content_fingerprint(part.withColumn("p_retailprice", F.round(F.col("p_retailprice") * 100).cast("bigint")))
+
+
+def q_content_fingerprint_nulls(spark, base):
+    """Over rows with nulls, blanks and texts that hold the field separator."""
+    flat = _flat(spark, base)
+    return A.content_fingerprint(flat.withColumn("bezeichnung", F.when(F.col("bestand") > 2000, "-")
+                                                 .otherwise(F.concat("bezeichnung", F.lit(":1:-")))))
 
 
 # --- keyed / window-like ----------------------------------------------------------
@@ -339,6 +372,12 @@ def q_mapping_rejects(spark, base):
     return KY.split_valid(requests).select("material_nr", "grund")
 
 
+def q_mapping_rejects_absent(spark, base):
+    """Requests whose required target column does not exist."""
+    m = V.materials(spark, base)
+    return KY.split_valid(m.select("material_nr", F.col("bezeichnung").alias("kommentar"))).select("material_nr", "grund")
+
+
 # --- paging -----------------------------------------------------------------------
 
 def q_top_risk(spark, base):
@@ -355,6 +394,35 @@ def q_sorted_page(spark, base):
     return PG.sorted_page(_flat(spark, base), "bestand", "desc", page_no=2)
 
 
+def q_page_after(spark, base):
+    v2 = P.material_overview_v2(V.materials(spark, base))
+    rows = PG.page_after(v2, ["material_nr"], ["MAT-101"], limit=50)
+    return PG.with_position(rows, [F.col("material_nr").asc()])
+
+
+def q_product_page_supplier_risk(spark, base):
+    rows = P.run_product("supplier-risk", 1, V.suppliers(spark, base), V.deliveries(spark, base),
+                         params=P.RiskParams(seit=SINCE), limit=20, offset=10, key="supplier_key")
+    return PG.with_position(rows, P.product_order(P.find_product("supplier-risk", 1)), 10)
+
+
+def q_ordered_materials(spark, base):
+    """O1 with its places: the first rows of the ordered scan."""
+    rows = S.order_materials(V.materials(spark, base)).limit(50)
+    return PG.with_position(rows, [F.col("material_nr").asc_nulls_last()])
+
+
+def q_delivery_violations(spark, base):
+    """Deliveries with faults planted by quantity and date."""
+    d = V.deliveries(spark, base).select(*S.DELIVERY_COLUMNS)
+    m = F.col("menge")
+    return K.contract_violations(d.select(
+        F.when(m % 7 != 0, F.col("lieferant_id")).alias("lieferant_id"), "material_nr", "geliefert_am",
+        F.when(F.dayofmonth("geliefert_am") != 13, F.col("zugesagt_am")).alias("zugesagt_am"),
+        F.when(m % 11 == 0, 0).otherwise(m).alias("menge"),
+        F.when(m % 13 == 0, -1).otherwise(F.col("reklamationen")).alias("reklamationen")), K.DELIVERY)
+
+
 # --- contracts ----------------------------------------------------------------------
 
 def q_contract_violations(spark, base):
@@ -388,7 +456,7 @@ def q_page_deep(spark, base):
 
 
 def q_envelope_meta_deprecated(spark, base):
-    prod = P.REGISTRY.get("material-overview", 1)
+    prod = P.find_product("material-overview", 1)
     return PG.envelope_meta(P.material_overview_v1(V.materials(spark, base), V1_PARAMS), product=prod.name,
                             version=prod.version, generated_at=GENERATED_AT, limit=20, offset=40,
                             sources=prod.sources, deprecated=prod.deprecated, sunset=prod.sunset)
@@ -410,6 +478,10 @@ QUERIES: dict[str, Query] = {
     "graph_nodes": q_graph_nodes,
     "graph_edges": q_graph_edges,
     "purge_label": q_purge_label,
+    "purge_mock_nodes": q_purge_mock_nodes,
+    "purge_mock_edges": q_purge_mock_edges,
+    "scan_materials_from_graph": q_scan_materials_from_graph,
+    "snapshot_states": q_snapshot_states,
     "records_json": q_records_json,
     "snapshot_roundtrip": q_snapshot_roundtrip,
     # P
@@ -455,6 +527,7 @@ QUERIES: dict[str, Query] = {
     "envelope_meta": q_envelope_meta,
     "distinct_values": q_distinct_values,
     "content_fingerprint": q_content_fingerprint,
+    "content_fingerprint_nulls": q_content_fingerprint_nulls,
     # W
     "latest_version": q_latest_version,
     "key_collisions": q_key_collisions,
@@ -463,9 +536,14 @@ QUERIES: dict[str, Query] = {
     "top_risk": q_top_risk,
     "page": q_page,
     "sorted_page": q_sorted_page,
+    "page_after": q_page_after,
+    "product_page_supplier_risk": q_product_page_supplier_risk,
+    "ordered_materials": q_ordered_materials,
     # U
     "contract_violations": q_contract_violations,
+    "delivery_violations": q_delivery_violations,
     "mapping_rejects": q_mapping_rejects,
+    "mapping_rejects_absent": q_mapping_rejects_absent,
     # E
     "supplier_risk": _risk(),
     "supplier_risk_tolerance": _risk(tol=3),

@@ -8,13 +8,10 @@ same rows come out at 1 or 1000 partitions. Values differ from Python's
 """
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The seed's domains and weights, in their natural order.
 GROUPS = ("Betriebsstoffe", "Rohstoffe", "Fertigerzeugnisse", "Verpackung", "Ersatzteile",
@@ -122,37 +119,42 @@ def generate_deliveries(suppliers: DataFrame, n_materials: int, seed: int = 42,
     )
 
 
-_SAMPLE_SCHEMA = T.StructType([T.StructField("lieferant_id", T.StringType()),
-                               T.StructField("i", T.LongType())])
-
-
-def _sample_batches(seed: int, n: int, k_min: int, k_max: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, picks = [], []
-            for sid, h in zip(pdf["lieferant_id"], pdf["h"]):
-                rng = np.random.default_rng([seed, int(h)])
-                k = min(int(rng.integers(k_min, k_max + 1)), n)
-                chosen = rng.choice(n, size=k, replace=False)
-                ids.extend([sid] * k)
-                picks.extend(chosen.tolist())
-            yield pd.DataFrame({"lieferant_id": ids, "i": np.asarray(picks, dtype="int64")})
-    return run
+def dense_index(materials: DataFrame, key: str, chunk: int = 1 << 16) -> DataFrame:
+    """``key`` with its rank ``i`` from 0 among the distinct keys, which are whole
+    numbers: ranks within ranges of ``chunk`` keys, plus the number of keys in the
+    ranges before, so no task ranks more than ``chunk`` of them."""
+    keys = materials.select(F.col(key).cast("bigint").alias(key)).distinct() \
+        .withColumn("_range", F.floor(F.col(key) / chunk))
+    sizes = keys.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return keys.withColumn("_rank", rank).join(starts, F.col("_range") == F.col("_r")) \
+        .select((F.col("_start") + F.col("_rank")).alias("i"), key)
 
 
 def sample_supplier_links(suppliers: DataFrame, materials: DataFrame, n_materials: int,
                           k_min: int = 8, k_max: int = 30, seed: int = 42) -> DataFrame:
     """Per supplier a sample WITHOUT replacement of k in [k_min, k_max] materials.
 
-    Materials are addressed by their dense index ``i`` in ``0..n_materials-1``.
-    Each supplier row draws its k distinct indices in an Arrow batch (NumPy's
-    generator, seeded by the supplier's hash), so at most ``k_max`` rows are
-    produced per supplier and no supplier x material pairs are ever formed.
-    The indices then meet the materials in an equi-join; an index without a
-    material yields no link.
+    Materials are addressed by their dense index ``i`` in ``0..n_materials-1``
+    (``dense_index`` makes one). Each supplier row draws its k distinct indices
+    by Floyd's method, a fold over the last k indices: draw t up to j; take t,
+    or j if t is taken already. At most ``k_max`` rows are made per supplier and
+    no supplier x material pairs; the indices then meet the materials in an
+    equi-join.
     """
     if not 0 <= k_min <= k_max:
         raise ValueError("need 0 <= k_min <= k_max")
-    keyed = suppliers.select("lieferant_id", draw(seed, "sample", F.col("lieferant_id")).alias("h"))
-    picks = keyed.mapInPandas(_sample_batches(seed, n_materials, k_min, k_max), _SAMPLE_SCHEMA)
+    sid, low, high = F.col("lieferant_id"), min(k_min, n_materials), min(k_max, n_materials)
+    k = uniform_int(draw(seed, "k", sid), low, high)
+    drawn = suppliers.select(sid, k.alias("k"))
+
+    def fold(taken: Column, j: Column) -> Column:
+        t = draw(seed, "pick", sid, j) % (j + 1)
+        return F.array_append(taken, F.when(F.array_contains(taken, t), j).otherwise(t))
+
+    last = F.sequence(F.lit(n_materials).cast("bigint") - F.col("k"), F.lit(n_materials - 1).cast("bigint"))
+    picks = drawn.where("k > 0").select(sid, F.explode(
+        F.aggregate(last, F.array().cast("array<bigint>"), fold)).alias("i"))
     return picks.join(materials.select("i", "material_nr"), "i", "inner").select("lieferant_id", "material_nr")

@@ -25,18 +25,24 @@ DELIVERY_COLUMNS = ("lieferant_id", "material_nr", "geliefert_am", "zugesagt_am"
 SUPPLIER_COLUMNS = ("lieferant_id", "lieferant_name", "land", "anzahl_materialien")
 
 
-def scan_materials(nodes: DataFrame, plant_links: DataFrame, plants: DataFrame, *,
-                   key: str = "material_key", plant_key: str = "plant_key") -> DataFrame:
-    """Every material with its optional plant; one row per match.
-
-    ``nodes`` carries the material columns (group included) and ``key``;
-    ``plant_links`` maps ``key`` to ``plant_key``; ``plants`` maps ``plant_key``
-    to ``werk_id`` and ``werk_name``. A link whose plant does not exist matches
-    nothing, as an optional match does. A material with two plants yields two
-    rows. No order is imposed here (see ``order_materials``).
+def scan_materials(nodes: DataFrame, plant_links: DataFrame, plants: DataFrame,
+                   group_links: DataFrame | None = None, *, key: str = "material_key",
+                   plant_key: str = "plant_key", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Every material with its optional plant and its optional group;
+    one row per match of both.
+
+    ``nodes`` carries the material columns and ``key``; ``plant_links`` maps
+    ``key`` to ``plant_key``; ``plants`` maps ``plant_key`` to ``werk_id`` and
+    ``werk_name``; ``group_links`` maps ``key`` to ``warengruppe`` (None: the
+    group is a column of ``nodes``). A link whose plant does not exist matches
+    nothing, as an optional match does. A material with two plants and two
+    groups yields four rows. No order is imposed here (see ``order_materials``).
     """
     located = plant_links.join(plants, plant_key, "inner").drop(plant_key)
-    return nodes.join(located, key, "left").select(*MATERIAL_COLUMNS)
+    matched = nodes.join(located, key, "left")
+    if group_links is not None:
+        matched = matched.join(group_links.select(key, "warengruppe"), key, "left")
+    return matched.select(*extra, *MATERIAL_COLUMNS)
 
 
 def order_materials(df: DataFrame) -> DataFrame:

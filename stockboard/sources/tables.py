@@ -43,30 +43,22 @@ def table_path(base_dir: str, name: str) -> str:
     return path if not local or os.path.exists(path) else os.path.join(base_dir, name)
 
 
-# One relation per (session, path): listing the files and reading the Parquet
-# footers for the schema happen once per session, not once per query. Tables
-# are immutable inputs here; ``forget_tables`` drops the memo after a rewrite.
-_RELATIONS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, base_dir: str, name: str,
                columns: Sequence[str] | None = None) -> DataFrame:
-    path = table_path(base_dir, name)
-    key = (id(spark), path)
-    df = _RELATIONS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _RELATIONS[key] = spark.read.parquet(path)
+    df = spark.read.parquet(table_path(base_dir, name))
     return df.select(*columns) if columns else df
 
 
-def forget_tables() -> None:
-    _RELATIONS.clear()
-
-
 def read_entity(spark: SparkSession, path: str, schema) -> DataFrame:
     """An entity table (materials, deliveries, suppliers, links) stored as
-    Parquet, read with its fixed schema: no inference pass over footers, and a
-    file with a different layout fails at read time instead of mid-query."""
+    Parquet, with exactly the columns of its fixed schema. A table that lacks
+    one of them, or has it with another type, is refused when it is opened."""
+    stored = {f.name: f.dataType for f in spark.read.parquet(path).schema.fields}
+    wrong = [f"{f.name} is missing" if f.name not in stored
+             else f"{f.name} is {stored[f.name].simpleString()}, not {f.dataType.simpleString()}"
+             for f in schema.fields if stored.get(f.name) != f.dataType]
+    if wrong:
+        raise ValueError(f"{path}: {'; '.join(wrong)}")
     return spark.read.schema(schema).parquet(path)
 
 

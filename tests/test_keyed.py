@@ -2,7 +2,7 @@
 import pytest
 
 from stockboard.operators import keyed as KY
-from stockboard.plans.products import REGISTRY, Product, Registry, supplier_risk
+from stockboard.plans import products as P
 
 
 def test_latest_skips_deprecated(spark):
@@ -52,16 +52,34 @@ def test_split_valid_reasons(spark):
                    "M4": "ziel_warengruppe zu lang", "M5": "kommentar zu lang", "M6": None}
 
 
-def test_registry_latest_and_collision():
-    assert REGISTRY.latest("material-overview").major == 2
-    assert REGISTRY.get("material-overview", 1).deprecated
-    with pytest.raises(ValueError):
-        Registry([Product("x", "1.0", supplier_risk, ()), Product("x", "1.1", supplier_risk, ())])
-    with pytest.raises(ValueError):
-        Product("x", "1", supplier_risk, ())
-    only_old = Registry([Product("x", "1.0", supplier_risk, (), deprecated=True),
-                         Product("x", "2.0", supplier_risk, (), deprecated=True)])
-    assert only_old.latest("x").major == 2
+def test_product_table():
+    def made(version, **more):
+        return P.Product("kanban", version, P.plant_load_product, (), (), 10, **more)
+    assert P.find_product("material-overview").major == 2
+    assert P.find_product("material-overview", 1).deprecated
+    for name, major in (("material-overview", 9), ("kanban", None)):
+        with pytest.raises(KeyError):
+            P.find_product(name, major)
+    with pytest.raises(ValueError, match="twice"):
+        P.by_name_and_major([made("3.0"), made("3.4")])
+    for version in ("3", "x.1", "3.", ""):
+        with pytest.raises(ValueError):
+            P.by_name_and_major([made(version)])
+    assert set(P.by_name_and_major([made("3.0"), made("4.1")])) == {("kanban", 3), ("kanban", 4)}
+
+
+def test_upsert_reads_each_input_once_and_needs_no_join(spark):
+    base = spark.range(50).selectExpr("id as k", "1 as v")
+    p = KY.upsert_by_key(base, spark.range(7).selectExpr("id as k", "2 as v"), "k", ["v"]) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in p and p.count("Range (") == 2
+
+
+def test_absent_required_column_is_missing_everywhere(spark):
+    rows = KY.split_valid(spark.createDataFrame([("M1", "k")], "material_nr string, kommentar string")).collect()
+    assert [r.grund for r in rows] == ["ziel_warengruppe fehlt"]
+    only = spark.createDataFrame([("M1", "G")], "material_nr string, ziel_warengruppe string")
+    assert KY.split_valid(only).first().grund is None                     # the comment is optional
 
 
 def test_latest_per_key_with_dotted_column_names(spark):

@@ -99,8 +99,8 @@ def test_keyset_pages_equal_offset_pages(mats):
 
 
 def test_respond_pages_and_describes(mats):
-    from stockboard.plans.products import REGISTRY, respond
-    prod = REGISTRY.get("material-overview", 1)
+    from stockboard.plans.products import find_product, respond
+    prod = find_product("material-overview", 1)
     r = respond(prod, mats, [F.col("material_nr").asc()], generated_at=dt.datetime(2026, 1, 1),
                 limit=10, offset=5)
     assert r.data.count() == 10

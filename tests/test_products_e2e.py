@@ -1,166 +1,159 @@
-"""End-to-end facts of the product service, without HTTP, on the seeded
-doubles (64 materials, 4 suppliers, 40 deliveries each)."""
+"""Whole product calls: from a request's raw parameters to page, meta and tag, through snapshots and the command line."""
 import datetime as dt
 import os
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stockboard.operators import contracts as K
 from stockboard.operators import filters as FL
-from stockboard.operators import paging as PG
 from stockboard.plans import products as P
 from stockboard.session import ensure_checkpoint_dir
-from stockboard.sources import generate as G
-from stockboard.sources import scans as S
 from stockboard.sources import snapshots as SN
-
-NOW = dt.datetime(2026, 6, 1, 8, 0, 0)
-
-
-def order():
-    return [F.col("material_nr").asc()]
-
-
-@pytest.fixture(scope="module")
-def seed(spark):
-    mats = G.generate_materials(spark.range(64).withColumnRenamed("id", "i"))
-    master = spark.createDataFrame([("L-001", "Nordstahl GmbH", "DE"), ("L-002", "Alpine Precision AG", "AT"),
-                                    ("L-003", "Baltic Components OY", "FI"), ("L-004", "Iberia Metals SL", "ES")],
-                                   "lieferant_id string, lieferant_name string, land string")
-    links = G.sample_supplier_links(master, mats, 64, 8, 30)
-    suppliers = S.scan_supplier_links(master, links)
-    deliveries = G.generate_deliveries(master, 64)
-    return mats, suppliers, deliveries
-
-
-def test_v1_envelope(seed):
-    mats = seed[0]
-    prod = P.REGISTRY.get("material-overview", 1)
-    r = P.respond(prod, P.material_overview_v1(mats), order(), generated_at=NOW)
-    meta, data = r.meta.first(), r.data.collect()
-    assert (meta.product, meta.version, meta.source) == ("material-overview", "1.2", "neo4j")
-    assert meta.row_count == len(data) and meta.total_count == 64
-    assert data[0].material_nr.startswith("MAT-")
-    assert meta.deprecated is True and meta.sunset.year == 2026
-
-
-def test_v1_and_v2_contracts_differ(seed):
-    v1 = P.material_overview_v1(seed[0]).columns
-    v2 = P.material_overview_v2(seed[0]).columns
-    assert "werk" in v1 and "einheit" in v1
-    assert "werk" not in v2 and "einheit" not in v2
-    assert {"werk_id", "werk_name", "bestandswert"} <= set(v2)
-    assert K.conforms(P.material_overview_v2(seed[0]), K.MATERIAL_V2)
-
-
-def test_latest_points_to_v2():
-    assert P.REGISTRY.latest("material-overview").version == "2.0"
-
-
-def test_filters_apply_server_side(seed):
-    out = P.material_overview_v2(seed[0], P.MaterialParams(status=("Gesperrt",)))
-    assert out.count() > 0 and {r.status for r in out.collect()} == {"Gesperrt"}
-    two = P.material_overview_v2(seed[0], P.MaterialParams(status=("Gesperrt", "Obsolet")))
-    assert {r.status for r in two.collect()} == {"Gesperrt", "Obsolet"}
+from stockboard.sources import views as V
+
+SF = "/root/testdata/sf0.001"
+NOW = dt.datetime(2026, 7, 3, 9, 30)
+
+
+def new_root(spark, name):
+    return os.path.join(ensure_checkpoint_dir(spark), f"test-{name}", uuid.uuid4().hex)
+
+
+def inputs(spark, name):
+    return ([V.suppliers(spark, SF), V.deliveries(spark, SF)] if name == "supplier-risk" else [V.materials(spark, SF)])
+
+
+def call(spark, root, name, major, raw, at=NOW):
+    options = {"key": "supplier_key"} if name == "supplier-risk" else {}
+    return P.cached_product(spark, root, name, major, *inputs(spark, name), raw=raw, now=at, **options)
+
+
+CALLS = [("material-overview", 1, {"status": "Aktiv"}), ("material-overview", 2, {"status": ["Aktiv", "Obsolet"]}),
+         ("supplier-risk", 1, {"seit": "1998-01-01", "toleranz_tage": "2"}), ("werk-auslastung", 1, {})]
+
+
+@pytest.mark.parametrize("name, major, raw", CALLS)
+def test_pages_follow_the_products_order_and_meta_counts_all(spark, name, major, raw):
+    root = new_root(spark, "pages")
+    product = P.find_product(name, major)
+    everything = [tuple(r) for r in P.run_product(name, major, *inputs(spark, name),
+                                                  params=P.parse_request(name, major, raw)[0],
+                                                  **({"key": "supplier_key"} if name == "supplier-risk" else {})).collect()]
+    first = call(spark, root, name, major, {**raw, "limit": 4, "offset": 0})
+    second = call(spark, root, name, major, {**raw, "limit": 4, "offset": 4})
+    assert [tuple(r) for r in first.data.collect()] + [tuple(r) for r in second.data.collect()] == everything[:8]
+    a, b = first.meta.first(), second.meta.first()
+    assert (a.cache, b.cache) == ("miss", "hit")                     # the page is cut from one snapshot
+    assert a.total_count == b.total_count == len(everything) and a.row_count == min(4, len(everything))
+    assert (a.product, a.version, a.source) == (name, product.version, "+".join(sorted(product.sources)))
+    assert (a.deprecated, a.sunset) == (product.deprecated, product.sunset)
+    key, falling = product.order[0]
+    shown = [r[key] for r in first.data.collect() if r[key] is not None]
+    assert shown == sorted(shown, reverse=falling)
+
+
+def test_tags_follow_the_content_alone(spark):
+    root = new_root(spark, "tags")
+    raw = {"status": "Gesperrt", "limit": 6}
+    tags = [call(spark, root, "material-overview", 2, r, at).tag.first()
+            for r, at in ((raw, NOW), (raw, NOW + dt.timedelta(hours=5)), ({**raw, "offset": 1}, NOW))]
+    assert tags[0] == tags[1] != tags[2]
+
+
+def test_parameters_make_the_key_and_lifetime_ends_it(spark):
+    root, p = new_root(spark, "life"), P.find_product("supplier-risk", 1)
+
+    def state(raw, seconds):
+        return call(spark, root, "supplier-risk", 1, raw, NOW + dt.timedelta(seconds=seconds)).meta.first().cache
+    assert [state({"seit": "1998-01-01"}, 0), state({"seit": "1998-01-01", "limit": 3}, p.cache_ttl),
+            state({"seit": "1998-01-02"}, 1), state({"seit": "1998-01-01"}, p.cache_ttl + 1)] == \
+        ["miss", "hit", "miss", "miss"]
+    assert P.request_key(p, P.RiskParams()) != P.request_key(p, P.RiskParams(toleranz_tage=1))
+
+
+def test_changed_mappings_end_the_material_snapshots(spark):
+    root = new_root(spark, "mappings")
+    call(spark, root, "material-overview", 2, {"limit": 1})
+    call(spark, root, "material-overview", 1, {"limit": 1})
+    call(spark, root, "werk-auslastung", 1, {"limit": 1})
+    schema = "material_nr string, ziel_warengruppe string, geaendert_am int, version int"
+    before = spark.createDataFrame([("M1", "A", 1, 1), ("M2", "B", 1, 1)], schema)
+    changes = spark.createDataFrame([("M1", "C", 2, 1), ("M3", "", 2, 1), (None, "D", 2, 1)], schema)
+    table, ended = P.change_mappings(spark, root, NOW + dt.timedelta(seconds=5), before, changes)
+    assert ended == 2 and sorted(tuple(r) for r in table.collect()) == [("M1", "C", 2, 1), ("M2", "B", 1, 1)]
+    later = NOW + dt.timedelta(seconds=6)
+    assert call(spark, root, "material-overview", 2, {"limit": 1}, later).meta.first().cache == "miss"
+    assert call(spark, root, "werk-auslastung", 1, {"limit": 1}, later).meta.first().cache == "hit"
+
+
+@pytest.mark.parametrize("name, major, raw", [
+    ("material-overview", 2, {"stauts": "Aktiv"}), ("material-overview", 2, {"limit": 0}),
+    ("material-overview", 2, {"limit": FL.MAX_LIMIT + 1}), ("material-overview", 2, {"offset": -1}),
+    ("material-overview", 2, {"min_bestandswert": "-1"}), ("material-overview", 1, {"werk_id": "W-1"}),
+    ("supplier-risk", 1, {"toleranz_tage": 31}), ("supplier-risk", 1, {"seit": "gestern"}),
+    ("werk-auslastung", 1, {"min_materialien": -2})])
+def test_requests_that_are_refused(name, major, raw):
+    with pytest.raises(ValueError):
+        P.parse_request(name, major, raw)
 
 
-def test_paging_reports_total(seed):
-    prod = P.REGISTRY.get("material-overview", 2)
-    r = P.respond(prod, P.material_overview_v2(seed[0]), order(), generated_at=NOW, limit=10, offset=5)
-    meta = r.meta.first()
-    assert (meta.row_count, meta.total_count) == (10, 64)
+def test_requests_are_typed():
+    params, limit, offset = P.parse_request("material-overview", 2, {"werk_id": "W-3", "ohne_klassifizierung": "on",
+                                                                     "min_bestandswert": "2.5", "offset": "7"})
+    assert params == P.MaterialParams(werk=("W-3",), ohne_klassifizierung=True, min_bestandswert=2.5)
+    assert (limit, offset) == (1000, 7)
+    assert P.parse_request("supplier-risk", 1, {"seit": dt.date(2020, 2, 2)})[0].seit == dt.date(2020, 2, 2)
+    with pytest.raises(KeyError):
+        P.parse_request("material-overview", 7, {})
 
 
-def test_unknown_parameter_and_bad_range_are_rejected():
-    with pytest.raises(ValueError):
-        FL.check_params({"stauts": "Aktiv"}, ["status", "werk_id", "limit", "offset"])
-    with pytest.raises(ValueError):
-        PG.check_page(0, 0)
-
-
-def test_snapshot_hit_miss_and_invalidation(spark, seed):
-    root = os.path.join(ensure_checkpoint_dir(spark), "test-e2e", uuid.uuid4().hex)
-    prod = P.REGISTRY.get("supplier-risk", 1)
-    key = SN.snapshot_key(prod.name, prod.major, {"seit": "2026-01-01"})
-    assert SN.read_snapshot(spark, root, key, NOW)[1] == "miss"
-    SN.materialize_snapshot(P.supplier_risk(seed[1], seed[2]), root, key, prod.name, NOW, prod.cache_ttl)
-    assert SN.read_snapshot(spark, root, key, NOW + dt.timedelta(seconds=1))[1] == "hit"
-    other = SN.snapshot_key(prod.name, prod.major, {"seit": "2026-02-01"})
-    assert SN.read_snapshot(spark, root, other, NOW + dt.timedelta(seconds=1))[1] == "miss"
-    SN.invalidate_snapshots(spark, root, NOW + dt.timedelta(seconds=2), product=prod.name)
-    assert SN.read_snapshot(spark, root, key, NOW + dt.timedelta(seconds=3))[1] == "miss"
-
-
-def test_unchanged_data_gives_unchanged_tag(seed):
-    prod = P.REGISTRY.get("material-overview", 2)
-    a = P.respond(prod, P.material_overview_v2(seed[0]), order(), generated_at=NOW).tag.first()
-    b = P.respond(prod, P.material_overview_v2(seed[0]), order(), generated_at=NOW + dt.timedelta(hours=1)).tag.first()
-    assert a == b
-
-
-def test_cross_source_product_joins_both_sources(seed):
-    risk = P.supplier_risk(seed[1], seed[2])
-    rows = PG.page(risk, PG.risk_order(risk), limit=50).collect()
-    assert len(rows) == 4
-    scores = [r.risiko_score for r in rows]
-    assert scores == sorted(scores, reverse=True)
-    assert all(r.anzahl_materialien > 0 and r.lieferungen == 40 for r in rows)
-
-
-def test_dashboard_scan_selects_columns_and_casts(spark):
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in S.MATERIAL_COLUMNS if c != "bestand"]
-                          + [T.StructField("bestand", T.DoubleType())])
-    raw = spark.createDataFrame([tuple(["x"] * 9 + [5.0])], schema)
-    flat = S.scan_materials_flat(raw)
-    assert tuple(flat.columns) == S.FLAT_COLUMNS
-    assert flat.schema["bestand"].dataType == T.LongType()
-    assert flat.first().bestand == 5
-
-
-def test_run_product_by_name(seed):
-    latest = P.run_product("material-overview", None, seed[0], params=P.MaterialParams(status=("Aktiv",)))
-    assert "bestandswert" in latest.columns and {r.status for r in latest.collect()} == {"Aktiv"}
-    risk = P.run_product("supplier-risk", 1, seed[1], seed[2], params=P.RiskParams(min_lieferungen=0))
-    assert risk.count() == 4
-    with pytest.raises(KeyError):
-        P.run_product("material-overview", 9, seed[0])
-
-
-def test_parse_request():
-    params, limit, offset = P.parse_request("material-overview", 2, {"status": ["Aktiv", "Gesperrt"],
-                                                                     "werk_id": "W-KOE", "limit": "10",
-                                                                     "offset": 5, "ohne_klassifizierung": "true"})
-    assert (params.status, params.werk, params.ohne_klassifizierung, limit, offset) == \
-        (("Aktiv", "Gesperrt"), ("W-KOE",), True, 10, 5)
-    risk, limit, _ = P.parse_request("supplier-risk", 1, {"seit": "2026-02-01", "toleranz_tage": "3"})
-    assert (risk.seit, risk.toleranz_tage, risk.min_lieferungen, limit) == (dt.date(2026, 2, 1), 3, 1, 1000)
-    for bad in ({"stauts": "Aktiv"}, {"limit": 0}, {"limit": 50_001}, {"offset": -1}, {"min_bestandswert": -1}):
-        with pytest.raises(ValueError):
-            P.parse_request("material-overview", 2, bad)
-    with pytest.raises(ValueError):
-        P.parse_request("material-overview", 1, {"werk_id": "W-KOE"})      # v1 filters by plant name
-    with pytest.raises(ValueError):
-        P.parse_request("supplier-risk", 1, {"toleranz_tage": 31})
+def test_product_without_lifetime_is_never_stored(spark):
+    root = new_root(spark, "bypass")
+    assert SN.get_or_build(spark, root, "k", "p", NOW, 0, lambda: spark.range(2))[1] == "bypass"
+    assert SN.valid_snapshots(spark, root, NOW).count() == 0
 
 
-def test_command_line_writes_a_product(spark):
-    from stockboard.__main__ import main
-    out = os.path.join(ensure_checkpoint_dir(spark), "test-cli", uuid.uuid4().hex)
-    assert main(["product", "material-overview", "--sf-dir", "/root/testdata/sf0.001",
-                 "--param", "status=Gesperrt", "--out", out, "--format", "json"]) == 0
-    rows = spark.read.json(out).collect()
-    assert rows and {r.status for r in rows} == {"Gesperrt"} and "bestandswert" in rows[0]
+def test_table_view_has_its_columns_and_whole_stock(spark):
+    from stockboard.sources import scans as S
+    flat = S.scan_materials_flat(V.materials(spark, SF).withColumn("bestand", F.col("bestand").cast("double")))
+    assert tuple(flat.columns) == S.FLAT_COLUMNS and dict(flat.dtypes)["bestand"] == "bigint"
 
 
-def test_command_line_list_and_query(spark, capsys):
+def run_main(*args):
     from stockboard.__main__ import main
-    assert main(["list"]) == 0
+    return main(list(args))
+
+
+def test_command_line_pages(spark):
+    out = new_root(spark, "cli")
+    assert run_main("product", "supplier-risk", "--sf-dir", SF, "--param", "seit=1998-01-01", "--param", "limit=2",
+                    "--param", "offset=1", "--out", out) == 0
+    want = P.run_product("supplier-risk", None, V.suppliers(spark, SF), V.deliveries(spark, SF),
+                         params=P.RiskParams(seit=dt.date(1998, 1, 1))).collect()[1:3]
+    got = spark.read.parquet(out).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_command_line_json_query_and_list(spark, capsys):
+    out = new_root(spark, "cli")
+    assert run_main("product", "werk-auslastung", "--sf-dir", SF, "--format", "json", "--out", f"{out}/p") == 0
+    assert {"werk_id", "bestand_gesamt"} <= set(spark.read.json(f"{out}/p").columns)
+    assert run_main("query", "count_status", "--sf-dir", SF, "--out", f"{out}/q") == 0
+    assert sum(spark.read.parquet(f"{out}/q").first()) == 200
+    capsys.readouterr()
+    assert run_main("list") == 0
     listing = capsys.readouterr().out
-    assert "product supplier-risk v1" in listing and "query kpi_board" in listing
-    out = os.path.join(ensure_checkpoint_dir(spark), "test-cli", uuid.uuid4().hex)
-    assert main(["query", "count_status", "--sf-dir", "/root/testdata/sf0.001", "--out", out]) == 0
-    row = spark.read.parquet(out).first()
-    assert row.aktiv + row.nicht_geliefert + row.obsolet + row.gesperrt == 200
+    assert "product material-overview v1 (deprecated)" in listing and "query plant_load" in listing
+    with pytest.raises(SystemExit):
+        run_main("product", "no-such-product", "--sf-dir", SF)
+
+
+def test_stored_entities_feed_the_command_line(spark):
+    root = new_root(spark, "entities")
+    V.materials(spark, SF).write.parquet(f"{root}/m")
+    assert run_main("product", "material-overview", "--materials", f"{root}/m", "--param", "status=Gesperrt",
+                    "--out", f"{root}/out") == 0
+    got = spark.read.parquet(f"{root}/out")
+    assert {r.status for r in got.collect()} == {"Gesperrt"} and got.columns == K.MATERIAL_V2.names

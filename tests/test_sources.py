@@ -68,6 +68,7 @@ def test_graph_tables_and_purge(spark):
     assert per == {"Material": 3, "Werk": 1, "Warengruppe": 1, "Lieferant": 1}
     rels = sorted(r.rel for r in edges.collect())
     assert rels == ["HAS_WARENGRUPPE", "LOCATED_IN", "LOCATED_IN", "SUPPLIES", "SUPPLIES"]
+    assert set(nodes.columns) == set(GR.NODE_COLUMNS)
     kept_nodes, kept_edges = GR.purge_label(nodes, edges, "Werk")
     assert kept_nodes.where(F.col("label") == "Werk").count() == 0
     assert sorted(r.rel for r in kept_edges.collect()) == ["HAS_WARENGRUPPE", "SUPPLIES", "SUPPLIES"]
@@ -107,20 +108,142 @@ def test_sample_matches_brute_force(spark):
     """Recompute every supplier's sample in plain Python and compare exactly."""
     import hashlib
 
-    import numpy as np
+    def drawn(*parts):
+        return int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
     ids = [f"L-{i:06d}" for i in range(1, 41)]
     sup = spark.createDataFrame([(i,) for i in ids], "lieferant_id string")
-    n, k_min, k_max, seed = 50, 3, 9, 42
-    mats = G.generate_materials(spark.range(n).withColumnRenamed("id", "i"), seed)
-    got = {(r.lieferant_id, r.material_nr) for r in G.sample_supplier_links(sup, mats, n, k_min, k_max, seed).collect()}
-    want = set()
-    for sid in ids:
-        h = int(hashlib.sha256(f"{seed}:sample:{sid}".encode()).hexdigest()[:15], 16)
-        rng = np.random.default_rng([seed, h])
-        k = min(int(rng.integers(k_min, k_max + 1)), n)
-        for i in rng.choice(n, size=k, replace=False):
-            want.add((sid, f"MAT-{100777 + 13 * int(i)}"))
-    assert got == want
+    for n, k_min, k_max in ((50, 3, 9), (5, 3, 9), (1, 1, 1)):
+        mats = G.generate_materials(spark.range(n).withColumnRenamed("id", "i"), 7)
+        links = G.sample_supplier_links(sup, mats, n, k_min, k_max, 7)
+        want = set()
+        for sid in ids:
+            low, high = min(k_min, n), min(k_max, n)
+            k, taken = low + drawn(7, "k", sid) % (high - low + 1), []
+            for j in range(n - k, n):
+                t = drawn(7, "pick", sid, j) % (j + 1)
+                taken.append(j if t in taken else t)
+            assert len(set(taken)) == k
+            want |= {(sid, f"MAT-{100777 + 13 * i}") for i in taken}
+        assert {tuple(r) for r in links.collect()} == want
+
+
+def test_dense_index(spark):
+    keys = spark.createDataFrame([(k,) for k in (900, 5, 5, 70000, 3, 140001)], "k long")
+    assert rows(G.dense_index(keys, "k", chunk=1000)) == [(0, 3), (1, 5), (2, 900), (3, 70000), (4, 140001)]
+
+
+def snap_root(spark):
+    return os.path.join(ensure_checkpoint_dir(spark), "test-snap", uuid.uuid4().hex)
+
+
+T0 = dt.datetime(2026, 1, 1, 12, 0, 0)
+
+
+def test_two_products_in_one_root_keep_their_own_columns(spark):
+    root = snap_root(spark)
+    SN.materialize_snapshot(spark.createDataFrame([(1, "a")], "x long, y string"), root, "p:1", "p", T0, 60)
+    SN.materialize_snapshot(spark.createDataFrame([(2.5,)], "z double"), root, "q:1", "q", T0, 60)
+    p, q = (SN.read_snapshot(spark, root, k, T0)[0] for k in ("p:1", "q:1"))
+    assert (p.columns, rows(p)) == (["x", "y"], [(1, "a")]) and (q.columns, rows(q)) == (["z"], [(2.5,)])
+
+
+def test_empty_snapshots(spark):
+    root, full = snap_root(spark), spark.createDataFrame([(1,)], "x long")
+    SN.materialize_snapshot(full.limit(0), root, "k", "p", T0, 60)
+    data, state = SN.read_snapshot(spark, root, "k", T0)
+    assert state == "hit" and data.columns == ["x"] and rows(data) == []
+    SN.materialize_snapshot(full, root, "k", "p", T0 + dt.timedelta(seconds=1), 60)
+    SN.materialize_snapshot(full.limit(0), root, "k", "p", T0 + dt.timedelta(seconds=2), 60)
+    assert rows(SN.read_snapshot(spark, root, "k", T0 + dt.timedelta(seconds=2))[0]) == []
+
+
+def test_a_snapshot_is_good_up_to_its_end(spark):
+    root = snap_root(spark)
+    SN.materialize_snapshot(spark.range(2), root, "k", "p", T0, 60)
+    assert SN.read_snapshot(spark, root, "k", T0 + dt.timedelta(seconds=60))[1] == "hit"
+    assert SN.read_snapshot(spark, root, "k", T0 + dt.timedelta(seconds=60, microseconds=1))[1] == "miss"
+
+
+def test_get_or_build_builds_once_and_counts_what_ends(spark):
+    root, built = snap_root(spark), []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+    states = [SN.get_or_build(spark, root, "k", "p", T0, ttl, build)[1] for ttl in (60, 60, 0)]
+    assert states == ["miss", "hit", "bypass"] and len(built) == 2
+    SN.materialize_snapshot(spark.range(1), root, "other", "q", T0, 60)
+    assert SN.invalidate_snapshots(spark, root, T0, "p") == 1
+    assert SN.invalidate_snapshots(spark, root, T0) == 1                  # only q is left
+    assert SN.invalidate_snapshots(spark, root, T0) == 0
+
+
+def test_compaction_keeps_what_is_live(spark):
+    root = snap_root(spark)
+    for i in range(4):
+        SN.materialize_snapshot(spark.range(i), root, f"k{i % 2}", "p", T0 + dt.timedelta(seconds=i), 60)
+    SN.materialize_snapshot(spark.range(9), root, "gone", "q", T0, 60)
+    SN.invalidate_snapshots(spark, root, T0 + dt.timedelta(seconds=5), "q")
+    now = T0 + dt.timedelta(seconds=6)
+    assert SN.compact_manifest(spark, root, now) == 2
+    assert SN._manifest(spark, root).count() == 2
+    assert [SN.read_snapshot(spark, root, k, now)[0].count() for k in ("k0", "k1")] == [2, 3]
+    assert SN.read_snapshot(spark, root, "gone", now)[1] == "miss"
+    SN.invalidate_snapshots(spark, root, now)
+    assert SN.compact_manifest(spark, root, now) == 0
+    assert SN.read_snapshot(spark, root, "k0", now)[1] == "miss"
+
+
+def test_no_nested_loop_in_snapshot_reads(spark):
+    root = snap_root(spark)
+    SN.materialize_snapshot(spark.range(2), root, "k", "p", T0, 60)
+    p = SN.valid_snapshots(spark, root, T0)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in p and "Cartesian" not in p
+
+
+def test_fingerprint_tells_nulls_and_separators_apart(spark):
+    tags = [content_fingerprint(spark.createDataFrame([r], "a string, b string")).first().fingerprint
+            for r in ((None, "x"), ("-", "x"), ("\\N", "x"), ("1:x", None), ("a1:b", "c"), ("a", "1:bc"), ("", "x"))]
+    assert len(set(tags)) == len(tags)
+    one = spark.createDataFrame([("v", 1)], "a string, n int")
+    assert content_fingerprint(one).first() != content_fingerprint(one.withColumnRenamed("n", "m")).first()
+
+
+def test_read_entity_refuses_other_layouts(spark):
+    import pytest
+    from stockboard.operators import contracts as K
+    from stockboard.sources.tables import read_entity
+    path = os.path.join(ensure_checkpoint_dir(spark), "test-entity", uuid.uuid4().hex)
+    mats = spark.createDataFrame([], K.MATERIALS)
+    mats.drop("preis").withColumn("bestand", F.col("bestand").cast("string")).write.parquet(path + "/bad")
+    with pytest.raises(ValueError, match="bestand is string.*preis is missing"):
+        read_entity(spark, path + "/bad", K.MATERIALS)
+    mats.withColumn("extra", F.lit(1)).write.parquet(path + "/good")
+    assert read_entity(spark, path + "/good", K.MATERIALS).columns == K.MATERIALS.names
+
+
+def test_a_table_that_grows_is_read_anew(spark):
+    from stockboard.sources import tables, views
+    base = os.path.join(ensure_checkpoint_dir(spark), "test-grow", uuid.uuid4().hex)
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    part.write.parquet(f"{base}/part.parquet")
+    for t in ("lineitem", "supplier", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{base}/{t}.parquet")
+    before = views.materials(spark, base).count()
+    part.withColumn("p_partkey", F.col("p_partkey") + 10_000).write.mode("append").parquet(f"{base}/part.parquet")
+    assert views.materials(spark, base).count() == 2 * before == tables.read_table(spark, base, "part").count()
+
+
+def test_group_links_fan_out(spark):
+    from stockboard.sources.scans import scan_materials
+    nodes = spark.createDataFrame([(1, "M1")], "material_key long, material_nr string")
+    nodes = nodes.select("*", *[F.lit(None).cast("string").alias(c) for c in
+                                ("bezeichnung", "status", "einheit", "bestand", "preis", "geaendert")])
+    two = spark.createDataFrame([(1, 10), (1, 11)], "material_key long, plant_key long")
+    plants = spark.createDataFrame([(10, "W-10", "a"), (11, "W-11", "b")], "plant_key long, werk_id string, werk_name string")
+    groups = spark.createDataFrame([(1, "G1"), (1, "G2"), (2, "G3")], "material_key long, warengruppe string")
+    got = {(r.werk_id, r.warengruppe) for r in scan_materials(nodes, two, plants, groups).collect()}
+    assert got == {(w, g) for w in ("W-10", "W-11") for g in ("G1", "G2")}
 
 
 def test_scan_materials_fans_out_and_keeps_unlocated(spark):

@@ -1,176 +1,123 @@
-"""Golden facts of the material overview and the risk score, on literal rows."""
+"""Rules of the material overview, the risk score and the plant load, stated on generated rows."""
 import datetime as dt
 
 import pytest
-from pyspark.sql import types as T
 
+from stockboard.functions.columns import risk_class
+from stockboard.operators import contracts as K
 from stockboard.plans import products as P
 
-RAW = T.StructType([T.StructField(n, t) for n, t in [
-    ("material_nr", T.StringType()), ("bezeichnung", T.StringType()), ("warengruppe", T.StringType()),
-    ("werk_id", T.StringType()), ("werk_name", T.StringType()), ("status", T.StringType()),
-    ("einheit", T.StringType()), ("bestand", T.LongType()), ("preis", T.DoubleType()),
-    ("geaendert", T.StringType())]])
+DAY = dt.date(2026, 5, 11)
 
 
-@pytest.fixture(scope="module")
-def raw(spark):
-    return spark.createDataFrame([
-        ("MAT-1", "Schraube", "Rohstoffe", "W-KOE", "Werk Koeln", "Aktiv", "ST", 10, 2.5, "2026-01-01"),
-        ("MAT-2", "Mutter", "", "W-BER", "Werk Berlin", "Gesperrt", "ST", None, 1.0, "2026-02-01"),
-    ], RAW)
-
-
-def by_nr(df):
-    return {r["material_nr"]: r for r in df.collect()}
-
-
-def test_stock_value_is_computed(raw):
-    assert by_nr(P.material_overview_v2(raw))["MAT-1"]["bestandswert"] == 25.0
-
-
-def test_missing_stock_gives_no_value_not_zero(raw):
-    row = by_nr(P.material_overview_v2(raw))["MAT-2"]
-    assert row["bestand"] is None and row["bestandswert"] is None
-
-
-def test_blank_group_becomes_null(raw):
-    assert by_nr(P.material_overview_v2(raw))["MAT-2"]["warengruppe"] is None
-
-
-def test_unclassified_finds_blank_and_missing(raw):
-    out = P.material_overview_v2(raw, P.MaterialParams(ohne_klassifizierung=True))
-    assert [r.material_nr for r in out.collect()] == ["MAT-2"]
-
-
-def test_search_is_case_insensitive_over_number_and_name(raw):
-    assert P.material_overview_v2(raw, P.MaterialParams(suche="schraube")).count() == 1
-    assert P.material_overview_v2(raw, P.MaterialParams(suche="mat-")).count() == 2
-
-
-def test_search_spans_number_and_name(raw):
-    assert P.material_overview_v1(raw, P.MaterialParams(suche="mat-1 schr")).count() == 1
-
-
-def test_min_value_drops_rows_without_value(raw):
-    out = P.material_overview_v2(raw, P.MaterialParams(min_bestandswert=10))
-    assert [r.material_nr for r in out.collect()] == ["MAT-1"]
-    assert P.material_overview_v2(raw, P.MaterialParams(min_bestandswert=0)).count() == 2
-
-
-def test_group_filter_after_blank_to_null_never_matches_blank(raw):
-    assert P.material_overview_v1(raw, P.MaterialParams(warengruppe=("",))).count() == 0
-
-
-def test_v1_contract_renames_plant(raw):
-    out = P.material_overview_v1(raw)
-    assert out.columns == ["material_nr", "bezeichnung", "warengruppe", "werk", "status", "einheit",
-                           "bestand", "geaendert"]
-    assert by_nr(out)["MAT-1"]["werk"] == "Werk Koeln"
-
-
-# --- risk score ----------------------------------------------------------------
-
-SUP = T.StructType([T.StructField("lieferant_id", T.StringType()), T.StructField("lieferant_name", T.StringType()),
-                    T.StructField("land", T.StringType()), T.StructField("anzahl_materialien", T.LongType())])
-DEL = T.StructType([T.StructField("lieferant_id", T.StringType()), T.StructField("material_nr", T.StringType()),
-                    T.StructField("geliefert_am", T.DateType()), T.StructField("zugesagt_am", T.DateType()),
-                    T.StructField("menge", T.IntegerType()), T.StructField("reklamationen", T.IntegerType())])
-SINCE = dt.date(2026, 1, 1)
+def materials(spark, *rows):
+    """Rows as dicts; what is not given is null."""
+    return spark.createDataFrame([tuple(r.get(c) for c in K.MATERIALS.names) for r in rows], K.MATERIALS)
 
 
 @pytest.fixture(scope="module")
-def stamm(spark):
-    return spark.createDataFrame([("L-1", "Puenktlich GmbH", "DE", 5), ("L-2", "Spaet AG", "AT", 3)], SUP)
+def shelf(spark):
+    """Nine materials: stock null, 0 or 40, group null, blank or named; price 0.125 each."""
+    return materials(spark, *[
+        {"material_nr": f"T-{i}", "bezeichnung": ("Bolzen kurz", "Feder", None)[i % 3], "status": "Aktiv",
+         "warengruppe": (None, "", "Norm")[i // 3], "bestand": (None, 0, 40)[i % 3], "preis": 0.125,
+         "werk_id": f"W{i % 2}", "werk_name": f"Halle {i % 2}"} for i in range(9)])
 
 
-def deliveries(spark, *rows):
-    promised = dt.date(2026, 3, 1)
-    data = [(lid, "MAT-1", promised + dt.timedelta(days=d), promised, 100, c) for lid, d, c in rows]
-    return spark.createDataFrame(data, DEL)
+def numbers(df):
+    return sorted(int(r.material_nr[2:]) for r in df.collect())
 
 
-def risk(spark, stamm, rows, **kw):
-    params = P.RiskParams(seit=SINCE, **kw)
-    return {r["lieferant_id"]: r for r in P.supplier_risk(stamm, deliveries(spark, *rows), params).collect()}
+def test_value_is_stock_times_price_and_unknown_without_stock(shelf):
+    values = {int(r.material_nr[2:]): r.bestandswert for r in P.material_overview_v2(shelf).collect()}
+    assert values == {i: (None, 0.0, 5.0)[i % 3] for i in range(9)}
 
 
-def test_on_time_supplier_scores_zero(spark, stamm):
-    r = risk(spark, stamm.limit(1), [("L-1", 0, 0)])["L-1"]
-    assert (r.risiko_score, r.liefertreue_pct, r.risiko_klasse) == (0.0, 100.0, "niedrig")
+@pytest.mark.parametrize("params, want", [
+    ({"ohne_klassifizierung": True}, range(6)),
+    ({"warengruppe": ("Norm",)}, (6, 7, 8)),
+    ({"warengruppe": ("",)}, ()),                                  # blank has become null before
+    ({"suche": "FEDER"}, (1, 4, 7)),
+    ({"suche": "t-3 bol"}, (3,)),                                  # number and name are one text
+    ({"suche": "none"}, ()),                                       # a missing name is no text
+    ({"suche": " t-5 "}, (5,)),
+    ({"werk": ("W1",)}, (1, 3, 5, 7)),
+    ({"status": ("Obsolet",)}, ()),
+    ({"min_bestandswert": 0.01}, (2, 5, 8)),
+    ({"min_bestandswert": 0}, range(9)),                           # an unknown value counts as none
+    ({"werk": ("W0",), "suche": "bolzen", "ohne_klassifizierung": True}, (0,))])
+def test_overview_parameters(shelf, params, want):
+    assert numbers(P.material_overview_v2(shelf, P.MaterialParams(**params))) == list(want)
 
 
-def test_delay_and_complaints_raise_the_score(spark, stamm):
-    out = risk(spark, stamm, [("L-1", 0, 0), ("L-2", 14, 1)])
-    assert out["L-2"].risiko_score > out["L-1"].risiko_score
-    assert out["L-2"].risiko_score == 100.0 and out["L-2"].risiko_klasse == "hoch"
+def test_versions_differ_in_their_columns(shelf):
+    one, two = P.material_overview_v1(shelf), P.material_overview_v2(shelf)
+    assert K.conforms(one, K.MATERIAL_V1) and K.conforms(two, K.MATERIAL_V2)
+    assert numbers(P.material_overview_v1(shelf, P.MaterialParams(werk=("Halle 1",)))) == [1, 3, 5, 7]
+    assert {r.werk for r in one.collect()} == {"Halle 0", "Halle 1"}
+    assert all(r.warengruppe in (None, "Norm") for r in two.collect())
 
 
-def test_delay_is_capped_at_14_days(spark, stamm):
-    out = risk(spark, stamm, [("L-2", 40, 0)])
-    assert out["L-2"].risiko_score == 80.0 and out["L-2"].mittlerer_verzug_tage == 40.0
+def risk(spark, by_supplier, **params):
+    """by_supplier: id -> [(delay, complaints), ...]; each is a supplier of one material."""
+    master = spark.createDataFrame([(s, s.lower(), "CH", 1) for s in by_supplier], K.SUPPLIERS)
+    rows = [(s, "T-1", DAY + dt.timedelta(days=d), DAY, 1, c) for s, ds in by_supplier.items() for d, c in ds]
+    found = P.supplier_risk(master, spark.createDataFrame(rows, K.DELIVERIES), P.RiskParams(**{"seit": dt.date(2026, 4, 1), **params}))
+    return {r.lieferant_id: r for r in found.collect()}
 
 
-def test_tolerance_moves_the_on_time_bound(spark, stamm):
-    without = risk(spark, stamm, [("L-1", 2, 0)], toleranz_tage=0)["L-1"]
-    with_tol = risk(spark, stamm, [("L-1", 2, 0)], toleranz_tage=3)["L-1"]
-    assert without.liefertreue_pct == 0.0 and with_tol.liefertreue_pct == 100.0
-    assert with_tol.risiko_score < without.risiko_score
+def test_score_is_made_of_delay_lateness_and_complaints(spark):
+    got = risk(spark, {"NONE": [(0, 0)] * 3, "HALF": [(7, 0), (7, 0)], "ALL": [(14, 1)], "BEYOND": [(90, 0)],
+                       "GRUMBLE": [(0, 2), (0, 0), (-3, 0), (0, 1)]})
+    assert {k: (r.risiko_score, r.risiko_klasse) for k, r in got.items()} == {
+        "NONE": (0.0, "niedrig"), "HALF": (55.0, "mittel"), "ALL": (100.0, "hoch"), "BEYOND": (80.0, "hoch"),
+        "GRUMBLE": (10.0, "niedrig")}
+    assert got["BEYOND"].mittlerer_verzug_tage == 90.0 and got["GRUMBLE"].reklamationsquote_pct == 50.0
 
 
-def test_supplier_without_deliveries_hidden_at_min_1_shown_at_min_0(spark, stamm):
-    assert list(risk(spark, stamm, [("L-1", 0, 0)], min_lieferungen=1)) == ["L-1"]
-    shown = risk(spark, stamm, [("L-1", 0, 0)], min_lieferungen=0)
-    assert shown["L-2"].lieferungen == 0 and shown["L-2"].liefertreue_pct == 100.0
-    assert shown["L-2"].risiko_score == 0.0
+def test_means_are_taken_before_limits_and_signs_of_zero_go(spark):
+    got = risk(spark, {"MIX": [(-6, 0), (6, 0)], "EARLY": [(-1, 0), (1, 0), (0, 0)]})
+    assert got["MIX"].risiko_score == 15.0 and got["MIX"].mittlerer_verzug_tage == 0.0
+    assert repr(got["EARLY"].mittlerer_verzug_tage) == "0.0"
 
 
-def test_empty_inputs_give_empty_output(spark, stamm):
-    empty_sup = spark.createDataFrame([], SUP)
-    assert P.supplier_risk(empty_sup, deliveries(spark), P.RiskParams(seit=SINCE)).count() == 0
-    assert P.supplier_risk(stamm, deliveries(spark), P.RiskParams(seit=SINCE, min_lieferungen=0)).count() == 2
+@pytest.mark.parametrize("tolerance, on_time", [(0, 25.0), (1, 50.0), (5, 75.0), (30, 100.0)])
+def test_tolerance_counts_days_late(spark, tolerance, on_time):
+    got = risk(spark, {"S": [(0, 0), (1, 0), (5, 0), (30, 0)]}, toleranz_tage=tolerance)
+    assert got["S"].liefertreue_pct == on_time
 
 
-def test_class_uses_rounded_score(spark):
-    from pyspark.sql import functions as F
-    from stockboard.functions.columns import risk_class
-    df = spark.createDataFrame([(59.96,), (29.96,), (29.94,)], "s double")
-    got = [r[0] for r in df.select(risk_class(F.round("s", 1))).collect()]
-    assert got == ["hoch", "mittel", "niedrig"]
+def test_least_number_of_deliveries(spark):
+    data = {"IDLE": [], "BUSY": [(0, 0)] * 4, "OLD": []}
+    assert set(risk(spark, data)) == {"BUSY"} and set(risk(spark, data, min_lieferungen=5)) == set()
+    idle = risk(spark, data, min_lieferungen=0)["IDLE"]
+    assert (idle.lieferungen, idle.liefertreue_pct, idle.risiko_score) == (0, 100.0, 0.0)
+    assert set(risk(spark, data, min_lieferungen=0, risiko_klasse=("hoch",))) == set()
+    assert risk(spark, {}) == {}
 
 
-def test_early_deliveries_offset_late_ones_before_clipping(spark, stamm):
-    out = risk(spark, stamm, [("L-1", -4, 0), ("L-1", 4, 0)])["L-1"]
-    assert out.mittlerer_verzug_tage == 0.0
+def test_deliveries_count_from_the_day_on(spark):
+    assert risk(spark, {"S": [(0, 0), (9, 0)]}, seit=DAY + dt.timedelta(days=9))["S"].lieferungen == 1
 
 
-def test_no_negative_zero(spark, stamm):
-    out = risk(spark, stamm, [("L-1", -1, 0), ("L-1", 1, 0), ("L-1", 0, 0)])["L-1"]
-    assert str(out.mittlerer_verzug_tage) == "0.0"
+def test_class_follows_the_shown_score(spark):
+    from pyspark.sql import functions as F
+    scores = spark.createDataFrame([(29.94,), (29.96,), (59.94,), (59.96,)], "s double")
+    assert [r[0] for r in scores.select(risk_class(F.round("s", 1))).collect()] == ["niedrig", "mittel", "mittel", "hoch"]
 
 
-def test_param_checks():
-    with pytest.raises(ValueError):
-        P.RiskParams(toleranz_tage=31)
+@pytest.mark.parametrize("make", [lambda: P.RiskParams(toleranz_tage=-1), lambda: P.RiskParams(toleranz_tage=31),
+                                  lambda: P.RiskParams(min_lieferungen=-1), lambda: P.MaterialParams(min_bestandswert=-.1),
+                                  lambda: P.plant_load_product(None, -1)])
+def test_parameters_out_of_range(make):
     with pytest.raises(ValueError):
-        P.RiskParams(min_lieferungen=-1)
-    with pytest.raises(ValueError):
-        P.MaterialParams(min_bestandswert=-1)
-
-
-def test_missing_description_does_not_match_the_word_none(spark):
-    rows = spark.createDataFrame([("MAT-9", None, "G", "W-1", "Werk 1", "Aktiv", "ST", 1, 1.0, "x")], RAW)
-    assert P.material_overview_v2(rows, P.MaterialParams(suche="none")).count() == 0
-    assert P.material_overview_v2(rows, P.MaterialParams(suche="mat-9")).count() == 1
+        make()
 
 
-def test_plant_load_counts_rows_and_takes_smallest_name(spark):
-    rows = spark.createDataFrame([
-        ("MAT-1", "a", "G", "W-1", "Werk B", "Aktiv", "ST", 10, 1.0, "x"),
-        ("MAT-1", "a", "G", "W-1", "Werk A", "Aktiv", "ST", 10, 1.0, "x"),     # same material again
-        ("MAT-2", "b", "G", "W-1", "Werk B", "Aktiv", "ST", None, 1.0, "x"),
-        ("MAT-3", "c", "G", None, None, "Aktiv", "ST", 5, 1.0, "x"),
-    ], RAW)
-    got = {r.werk_id: (r.werk_name, r.materialien, r.bestand_gesamt) for r in P.plant_load_product(rows).collect()}
-    assert got == {"W-1": ("Werk A", 3, 20), None: (None, 1, 5)}
-    assert [r.werk_id for r in P.plant_load_product(rows, 2).collect()] == ["W-1"]
+def test_plant_load(spark):
+    rows = [{"material_nr": n, "werk_id": w, "werk_name": name, "bestand": b} for n, w, name, b in (
+        ("T-1", "A", "zwei", 3), ("T-1", "A", "eins", 4), ("T-2", "A", "zwei", None), ("T-3", None, None, 8),
+        ("T-4", "B", None, None))]
+    got = {r.werk_id: tuple(r)[1:] for r in P.plant_load_product(materials(spark, *rows)).collect()}
+    assert got == {"A": ("eins", 3, 7), None: (None, 1, 8), "B": (None, 1, 0)}
+    assert [r.werk_id for r in P.plant_load_product(materials(spark, *rows), 2).collect()] == ["A"]
