@@ -65,12 +65,22 @@ def shared(a: bytes, b: bytes, at: int) -> int:
     return low
 
 
+def stored(file) -> Iterator[tuple]:
+    """The entries of a spill file, from its beginning."""
+    file.seek(0)
+    while True:
+        try:
+            yield pickle.load(file)
+        except EOFError:
+            return
+
+
 class RadixTrie:
     """Byte strings with (digest, owner, copies) at their terminals."""
 
     def __init__(self, largest: bool, memory_bytes: int):
         self.root, self.largest, self.limit, self.used = Node(b""), largest, memory_bytes, 0
-        self.spills: list[tuple[int, object]] = []
+        self.spills: list = []
 
     def insert(self, key: bytes, digest: bytes, owner: int | None, copies: int) -> None:
         node, at = self.root, 0
@@ -133,8 +143,17 @@ class RadixTrie:
             return
         self.used -= self.weight(heaviest)
         file = tempfile.TemporaryFile()  # unnamed: it is gone with the task
-        for rest, (n, digest, owner, copies) in self.entries(heaviest):
-            pickle.dump((rest, n, digest, owner, copies), file)
+        stack = [(heaviest, b"")]
+        while stack:
+            node, path = stack.pop()
+            if node.value is not None:
+                pickle.dump((path, *node.value), file)
+            if node.spilled is not None:         # spilled before: its texts move to the larger subtree's file
+                for rest, *value in stored(node.spilled):
+                    pickle.dump((path + rest, *value), file)
+                self.spills.remove(node.spilled)
+                node.spilled.close()
+            stack += [(c, path + c.label) for c in node.children.values()]
         heaviest.children, heaviest.value, heaviest.spilled = {}, None, file
         self.spills.append(file)
 
@@ -144,14 +163,9 @@ class RadixTrie:
             yield n, digest, owner, copies
         self.root = Node(b"")
         for file in self.spills:
-            file.seek(0)
             below = RadixTrie(self.largest, self.limit)
             lengths = {}
-            while True:
-                try:
-                    rest, n, digest, owner, copies = pickle.load(file)
-                except EOFError:
-                    break
+            for rest, n, digest, owner, copies in stored(file):
                 lengths[digest] = n
                 below.insert(rest, digest, owner, copies)
             file.close()

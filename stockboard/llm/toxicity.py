@@ -38,6 +38,7 @@ WORD_BUCKETS, PREFIX_BUCKETS = 1 << 14, 1 << 14
 PREFIXES = (4, 5, 6)
 DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 EPOCHS, BATCH_DOCS, RATE, DECAY, SEED = 8, 32, 0.01, 1e-4, 7
+LEAST_STEPS = 500                 # of Adam: few labelled rows are gone through more often
 LEAST_PER_LANGUAGE = 20
 BLOCK_BYTES = 4 << 20
 
@@ -161,7 +162,8 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epoch
     array = pa.array(texts, pa.string())
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
-    for _ in range(epochs):
+    per_epoch = max(1, -(-len(learn) // BATCH_DOCS))
+    for _ in range(max(epochs, -(-LEAST_STEPS // per_epoch))):
         r.shuffle(learn)
         for a in range(0, len(learn), BATCH_DOCS):
             chosen = learn[a:a + BATCH_DOCS]

@@ -409,7 +409,7 @@ def test_toxicity_of_odd_texts_and_one_sided_labels(spark, labelled):
     odd = pa.array(["", "!!!", "a", "word " * 50_000, "日本 語"], pa.string())
     scores = net.scores(common.one_array(odd))
     assert ((scores >= 0) & (scores <= 1)).all()
-    assert np.allclose(scores, [net.scores(odd[i:i + 1])[0] for i in range(len(odd))])
+    assert np.allclose(scores, [net.scores(common.one_array(odd[i:i + 1]))[0] for i in range(len(odd))])
     assert toxicity.fit(["a", "b"], np.array([1, 1]), [None, None]).scores(odd).tolist() == [1.0] * 5
     assert toxicity.fit([], np.array([]), []).scores(odd).tolist() == [0.0] * 5
 
