@@ -39,6 +39,7 @@ PREFIXES = (4, 5, 6)
 DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 EPOCHS, BATCH_DOCS, RATE, DECAY, SEED = 8, 32, 0.01, 1e-4, 7
 LEAST_STEPS = 500                 # of Adam: few labelled rows are gone through more often
+LEAST_DOCS = 3                    # texts that a word or beginning must be in to have an embedding
 LEAST_PER_LANGUAGE = 20
 BLOCK_BYTES = 4 << 20
 
@@ -148,6 +149,15 @@ def gradients(net: Network, words: np.ndarray, begins: np.ndarray, buckets: np.n
     return [d_embedding, *d_filters, *d_bias, hidden.T @ d_logit, d_logit.sum(keepdims=True)]
 
 
+def frequent(texts: pa.StringArray) -> np.ndarray:
+    """Which buckets are in LEAST_DOCS texts or more; the others say nothing and stay zero."""
+    words, begins, buckets = features(texts)
+    row = np.repeat(np.arange(len(texts)), np.diff(begins))
+    size = WORD_BUCKETS + PREFIX_BUCKETS + 1
+    found = [np.unique(row * size + buckets[words, k] % size) for k in range(buckets.shape[1])]
+    return np.bincount(np.concatenate(found) % size, minlength=size) >= LEAST_DOCS
+
+
 def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epochs: int = EPOCHS,
         seed: int = SEED) -> Network:
     labels = np.asarray(labels, np.float32)
@@ -160,6 +170,9 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epoch
     back = order[:len(order) // 5]
     learn = order[len(order) // 5:]
     array = pa.array(texts, pa.string())
+    known = frequent(one_array(array.take(pa.array(learn))))
+    known[-1] = False
+    net.embedding[~known] = 0
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
     per_epoch = max(1, -(-len(learn) // BATCH_DOCS))
@@ -168,6 +181,7 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epoch
         for a in range(0, len(learn), BATCH_DOCS):
             chosen = learn[a:a + BATCH_DOCS]
             found = gradients(net, *features(one_array(array.take(pa.array(chosen)))), labels[chosen])
+            found[0][~known] = 0
             step += 1
             for p, g, (m, v) in zip(net.parameters(), found, state, strict=True):
                 g = g + DECAY * p
