@@ -1,14 +1,18 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
 A word's vector is the sum of hashed embeddings of the word and of its first
-4, 5 and 6 letters. Filters of widths 1, 2 and 3 run over the whole text, each
-takes its maximum over the text, and a logistic layer weighs the maxima. The
-network is fitted with Adam on a bounded sample of labelled rows: at most
-`max_rows` of each label, those with the smallest hash of their id, from all
-labelled rows. A fifth of them is held back: on it a scale and an offset are
-fitted so that 0.7 parts the labels best, and a threshold for each language
-that has enough of both labels (0.7 for the others). Neither labels, language,
-source nor ids are inputs of the score; the language only picks the threshold.
+4, 5 and 6 letters. Only buckets that the learning rows show to go with a label
+(the signed root of the likelihood ratio of their texts, `LEAST_STRENGTH` or
+more) have an embedding, whose first number begins as that strength; the others
+are zero, so that few labels cannot be learnt by heart. Filters of widths 1, 2
+and 3 run over the whole text, each takes its maximum over the text, and a
+logistic layer weighs the maxima. The network is fitted with Adam on a bounded
+sample of labelled rows: at most `max_rows` of each label, those with the
+smallest hash of their id, from all labelled rows. A fifth of them is held
+back: on it an offset is fitted so that 0.7 parts the labels with the fewest
+mistakes, and a threshold for each language that has enough of both labels (0.7
+for the others). Neither labels, language, source nor ids are inputs of the
+score; the language only picks the threshold.
 
 Scoring runs where the documents are scanned, in blocks: distinct words of a
 block are embedded and multiplied with the filters once, then gathered.
@@ -34,12 +38,13 @@ from stockboard.llm.common import ALNUM_LOWER, mapped, one_array, slices, split_
 
 THRESHOLD = 0.7
 MAX_ROWS = 2000
-WORD_BUCKETS, PREFIX_BUCKETS = 1 << 14, 1 << 14
+WORD_BUCKETS, PREFIX_BUCKETS = 1 << 17, 1 << 17
+BUCKETS = WORD_BUCKETS + PREFIX_BUCKETS + 1       # the last one is of blanks
 PREFIXES = (4, 5, 6)
 DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 EPOCHS, BATCH_DOCS, RATE, DECAY, SEED = 8, 32, 0.01, 1e-4, 7
 LEAST_STEPS = 500                 # of Adam: few labelled rows are gone through more often
-LEAST_DOCS = 3                    # texts that a word or beginning must be in to have an embedding
+LEAST_STRENGTH = 3.0              # in standard deviations, for a word or beginning to have an embedding
 LEAST_PER_LANGUAGE = 20
 BLOCK_BYTES = 4 << 20
 
@@ -63,7 +68,9 @@ def features(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 @dataclass
 class Network:
-    """Embeddings, one matrix for each place of each filter width, biases, the logistic layer."""
+    """The row of each bucket among the embeddings, the embeddings (the last is zero), one matrix
+    for each place of each filter width, biases, the logistic layer."""
+    index: np.ndarray
     embedding: np.ndarray
     filters: list[list[np.ndarray]]
     bias: list[np.ndarray]
@@ -75,12 +82,16 @@ class Network:
     constant: float | None = None
 
     @classmethod
-    def fresh(cls, seed: int = SEED) -> Network:
+    def fresh(cls, strengths: np.ndarray, seed: int = SEED) -> Network:
         r = np.random.default_rng(seed)
+        used = np.flatnonzero(strengths)
+        index = np.full(BUCKETS, len(used), np.int32)
+        index[used] = np.arange(len(used))
         draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        table = (0.1 * r.standard_normal((WORD_BUCKETS + PREFIX_BUCKETS + 1, DIM))).astype(np.float32)
+        table = (0.1 * r.standard_normal((len(used) + 1, DIM))).astype(np.float32)
+        table[:-1, 0] = strengths[used] / LEAST_STRENGTH
         table[-1] = 0
-        return cls(table, [[draw(DIM, FILTERS) for _ in range(w)] for w in WIDTHS],
+        return cls(index, table, [[draw(DIM, FILTERS) for _ in range(w)] for w in WIDTHS],
                    [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
                    0.1 * draw(FILTERS * len(WIDTHS)), np.zeros(1, np.float32))
 
@@ -88,7 +99,7 @@ class Network:
         return [self.embedding, *(m for f in self.filters for m in f), *self.bias, self.weight, self.offset]
 
     def vectors(self, buckets: np.ndarray) -> np.ndarray:
-        return self.embedding[buckets].sum(axis=1)        # -1 is the last row, which is zero
+        return self.embedding[self.index[buckets]].sum(axis=1)        # -1 is the last bucket, which has none
 
     def maxima(self, words: np.ndarray, begins: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         """The maximum of each filter over each text (not below 0)."""
@@ -143,26 +154,33 @@ def gradients(net: Network, words: np.ndarray, begins: np.ndarray, buckets: np.n
             np.add.at(d_vectors, word, d[:, :, None] * m.T[None])
     touched = np.flatnonzero(np.abs(d_vectors).sum(axis=1))
     d_embedding = np.zeros_like(net.embedding)
-    for column in buckets[touched].T:
+    for column in net.index[buckets[touched]].T:
         np.add.at(d_embedding, column, d_vectors[touched])
     d_embedding[-1] = 0
     return [d_embedding, *d_filters, *d_bias, hidden.T @ d_logit, d_logit.sum(keepdims=True)]
 
 
-def frequent(texts: pa.StringArray) -> np.ndarray:
-    """Which buckets are in LEAST_DOCS texts or more; the others say nothing and stay zero."""
+def strengths(texts: pa.StringArray, labels: np.ndarray) -> np.ndarray:
+    """For each bucket the signed root of the likelihood ratio of its texts' labels against
+    all texts' (positive: label 1 likelier); 0 below LEAST_STRENGTH."""
     words, begins, buckets = features(texts)
     row = np.repeat(np.arange(len(texts)), np.diff(begins))
-    size = WORD_BUCKETS + PREFIX_BUCKETS + 1
-    found = [np.unique(row * size + buckets[words, k] % size) for k in range(buckets.shape[1])]
-    return np.bincount(np.concatenate(found) % size, minlength=size) >= LEAST_DOCS
+    found = np.unique(np.concatenate([np.unique(row * BUCKETS + buckets[words, k] % BUCKETS)
+                                      for k in range(buckets.shape[1])]))
+    toxic = labels[found // BUCKETS] > 0
+    ones, zeros = (np.bincount((found % BUCKETS)[x], minlength=BUCKETS).astype(float) for x in (toxic, ~toxic))
+    rate, n = labels.mean(dtype=float), ones + zeros
+    term = lambda x, p: x * np.log(np.maximum(x, 1e-9) / np.maximum(n * p, 1e-9))
+    out = np.sign(ones - n * rate) * np.sqrt(np.maximum(2 * (term(ones, rate) + term(zeros, 1 - rate)), 0))
+    out[-1] = 0
+    return np.where(np.abs(out) >= LEAST_STRENGTH, out, 0)
 
 
 def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epochs: int = EPOCHS,
         seed: int = SEED) -> Network:
     labels = np.asarray(labels, np.float32)
-    net = Network.fresh(seed)
     if not len(labels) or labels.min() == labels.max():
+        net = Network.fresh(np.zeros(BUCKETS), seed)
         net.constant = float(labels.mean()) if len(labels) else 0.0
         return net
     r = np.random.default_rng(seed)
@@ -170,9 +188,7 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epoch
     back = order[:len(order) // 5]
     learn = order[len(order) // 5:]
     array = pa.array(texts, pa.string())
-    known = frequent(one_array(array.take(pa.array(learn))))
-    known[-1] = False
-    net.embedding[~known] = 0
+    net = Network.fresh(strengths(one_array(array.take(pa.array(learn))), labels[learn]), seed)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
     per_epoch = max(1, -(-len(learn) // BATCH_DOCS))
@@ -181,7 +197,6 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epoch
         for a in range(0, len(learn), BATCH_DOCS):
             chosen = learn[a:a + BATCH_DOCS]
             found = gradients(net, *features(one_array(array.take(pa.array(chosen)))), labels[chosen])
-            found[0][~known] = 0
             step += 1
             for p, g, (m, v) in zip(net.parameters(), found, state, strict=True):
                 g = g + DECAY * p
@@ -193,13 +208,16 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epoch
 
 
 def best_cut(values: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the gap between values that parts the labels with the best F1."""
+    """The middle of the gap between distinct values that parts the labels with the fewest
+    mistakes, of several the widest; the open ends count as gaps, so that values which say
+    nothing mark only what is the more frequent label."""
     order = np.argsort(values, kind="stable")
     v, y = values[order], labels[order]
-    right = y[::-1].cumsum()[::-1]                          # true positives with the cut before each value
-    f1 = 2 * right / (np.arange(len(y), 0, -1) + y.sum())
-    k = int(np.argmax(f1))
-    return float((v[k - 1] + v[k]) / 2) if k else float(v[0] - 1)
+    edges = np.concatenate(([v[0] - 2], v, [v[-1] + 2]))
+    gap = np.diff(edges)
+    wrong = np.concatenate(([0], np.cumsum(y))) + np.concatenate((np.cumsum((1 - y)[::-1])[::-1], [0]))
+    k = int(np.lexsort((-gap, np.where(gap > 0, wrong, np.inf)))[0])
+    return float((edges[k] + edges[k + 1]) / 2)
 
 
 def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray, languages: list[str | None]) -> None:

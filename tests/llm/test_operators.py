@@ -404,7 +404,7 @@ def test_toxicity_held_out_accuracy(spark, labelled):
 
 
 def test_thresholds_by_language_need_enough_of_both_labels():
-    net, y = toxicity.Network.fresh(), np.array([0, 1] * 60, np.float32)
+    net, y = toxicity.Network.fresh(np.ones(toxicity.BUCKETS)), np.array([0, 1] * 60, np.float32)
     logits = np.where(y == 1, 2.0, -2.0) + np.arange(120) / 1000
     toxicity.calibrate(net, logits, y, ["en"] * 80 + ["de"] * 38 + [None] * 2)
     assert set(net.thresholds) == {"en"} and 0.5 < net.thresholds["en"] < 0.9
@@ -421,9 +421,42 @@ def test_toxicity_of_odd_texts_and_one_sided_labels(spark, labelled):
     assert toxicity.fit([], np.array([]), []).scores(odd).tolist() == [0.0] * 5
 
 
+@pytest.mark.parametrize("values, labels, cut", [
+    ([1, 2, 4, 8], [0, 0, 1, 1], 3), ([1, 2, 4, 9, 20], [0, 1, 0, 1, 1], 6.5), ([5, 5, 5], [1, 0, 0], 6),
+    ([5, 5, 5], [1, 1, 0], 4), ([3], [1], 2), ([3], [0], 4)])
+def test_best_cut_makes_the_fewest_mistakes(values, labels, cut):
+    assert toxicity.best_cut(np.array(values, float), np.array(labels, float)) == cut
+
+
+def test_strengths_are_signed_roots_of_likelihood_ratios():
+    texts = ["vile day"] * 8 + ["good day"] * 8 + ["day once"]
+    labels = np.array([1] * 8 + [0] * 9, np.float32)
+    found = toxicity.strengths(common.one_array(pa.array(texts, pa.string())), labels)
+    bucket = {w: int(common.word_hashes(np.array([w], object))[0] % np.uint64(toxicity.WORD_BUCKETS))
+              for w in ("vile", "good", "day", "once")}
+    assert found[bucket["vile"]] == pytest.approx(np.sqrt(2 * 8 * np.log(17 / 8)))
+    assert found[bucket["good"]] == pytest.approx(-np.sqrt(2 * 8 * np.log(17 / 9)))
+    assert found[bucket["day"]] == found[bucket["once"]] == found[-1] == 0
+
+
+def test_few_toxic_labels_leave_clean_texts_alone():
+    r = random.Random(3)
+    texts, labels = [], []
+    for i in range(600):
+        w = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(r.randint(50, 400))]
+        bad = i % 10 == 0
+        for _ in range(3 * bad):
+            w[r.randrange(len(w))] = r.choice(["vilest", "grimly", "scummy"])
+        texts.append(" ".join(w))
+        labels.append(int(bad))
+    net = toxicity.fit(texts[:300], np.array(labels[:300]), [None] * 300)
+    found = net.scores(common.one_array(pa.array(texts[300:], pa.string()))) >= toxicity.THRESHOLD
+    assert (found != np.array(labels[300:], bool)).sum() <= 3
+
+
 def test_gradients_are_the_slopes_of_the_loss(labelled):
     texts, labels, _ = labelled
-    net = toxicity.Network.fresh(1)
+    net = toxicity.Network.fresh(np.ones(toxicity.BUCKETS), 1)
     for p in net.parameters():
         p += 0.05
     net.embedding[-1] = 0
