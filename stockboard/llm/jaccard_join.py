@@ -43,12 +43,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockboard.llm.common import (BLOCK_BYTES, blocked, group_sums, id_and_text, mixed, one_array, scratch,
+from stockboard.llm.common import (blocked, group_sums, id_and_text, mixed, one_array, scratch,
                                    split_words, text_bytes, window_hashes, word_hashes)
 from stockboard.llm.components import components
 from stockboard.llm.substring_dedup import LEAST_WORD_BYTES, Layout, ddl, packed_gaps, unpacked_gaps
 
 SIZE, PERCENT = 4, 85
+BLOCK_BYTES = 4 << 20               # of text; the arrays of its shingles take about thirty times as much
 CHUNK = 512                         # sets of a tree, in clusters that are split
 TREE_SHINGLES = 1 << 21             # shingles of a cluster that is taken whole
 BASE = 0x9E3779B97F4A7C15

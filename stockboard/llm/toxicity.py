@@ -46,6 +46,7 @@ EPOCHS, BATCH_DOCS, RATE, DECAY, SEED = 8, 32, 0.01, 1e-4, 7
 LEAST_STEPS = 500                 # of Adam: few labelled rows are gone through more often
 LEAST_STRENGTH = 3.0              # in standard deviations, for a word or beginning to have an embedding
 LEAST_PER_LANGUAGE = 20
+STRENGTH_DOCS = 128               # texts whose words are counted at once
 BLOCK_BYTES = 4 << 20
 
 
@@ -163,12 +164,15 @@ def gradients(net: Network, words: np.ndarray, begins: np.ndarray, buckets: np.n
 def strengths(texts: pa.StringArray, labels: np.ndarray) -> np.ndarray:
     """For each bucket the signed root of the likelihood ratio of its texts' labels against
     all texts' (positive: label 1 likelier); 0 below LEAST_STRENGTH."""
-    words, begins, buckets = features(texts)
-    row = np.repeat(np.arange(len(texts)), np.diff(begins))
-    found = np.unique(np.concatenate([np.unique(row * BUCKETS + buckets[words, k] % BUCKETS)
-                                      for k in range(buckets.shape[1])]))
-    toxic = labels[found // BUCKETS] > 0
-    ones, zeros = (np.bincount((found % BUCKETS)[x], minlength=BUCKETS).astype(float) for x in (toxic, ~toxic))
+    ones, zeros = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for low in range(0, len(texts), STRENGTH_DOCS):
+        words, begins, buckets = features(one_array(texts[low:low + STRENGTH_DOCS]))
+        row = np.repeat(np.arange(low, low + len(begins) - 1), np.diff(begins))
+        found = np.unique(np.concatenate([np.unique(row * BUCKETS + buckets[words, k] % BUCKETS)
+                                          for k in range(buckets.shape[1])]))
+        toxic = labels[found // BUCKETS] > 0
+        for count, rows in ((ones, toxic), (zeros, ~toxic)):
+            count += np.bincount((found % BUCKETS)[rows], minlength=BUCKETS)
     rate, n = labels.mean(dtype=float), ones + zeros
     term = lambda x, p: x * np.log(np.maximum(x, 1e-9) / np.maximum(n * p, 1e-9))
     out = np.sign(ones - n * rate) * np.sqrt(np.maximum(2 * (term(ones, rate) + term(zeros, 1 - rate)), 0))
@@ -272,9 +276,15 @@ def toxicity(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, net: Network) -> DataFrame:
-    """The documents below their threshold, with all their columns."""
-    gone = toxicity(docs, net).where("toxic").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The documents below their threshold, with all their columns, in one pass over them."""
+    has_lang = "lang" in docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in slices(batches, BLOCK_BYTES):
+            scores = net.scores(one_array(block.column("text")))
+            lang = block.column("lang").cast(pa.string()).to_pylist() if has_lang else [None] * len(scores)
+            yield block.filter(pa.array(scores < np.array([net.thresholds.get(x, THRESHOLD) for x in lang])))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
