@@ -47,7 +47,7 @@ LEAST_STEPS = 500                 # of Adam: few labelled rows are gone through
 LEAST_STRENGTH = 3.0              # in standard deviations, for a word or beginning to have an embedding
 LEAST_PER_LANGUAGE = 20
 STRENGTH_DOCS = 128               # texts whose words are counted at once
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def features(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
