@@ -23,12 +23,11 @@ are ignored. With several slices, rows that repeat a doc_id are one document.
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockboard.llm.common import ALNUM_LOWER, id_and_text, mapped, one_array, slices, split_words
@@ -202,29 +201,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_b
     return found
 
 
-def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits, count, digest, longest = [], [], [], []
-        for found in batch.column("matches").to_pylist():
-            reach = covered = 0
-            for s, e in sorted((m["start"], m["start"] + m["length"]) for m in found):
-                covered += max(0, e - max(s, reach))
-                reach = max(reach, e)
-            items = sorted({m["item_id"] for m in found})
-            hits.append(covered)
-            count.append(len(items))
-            digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-            longest.append(max((m["length"] for m in found), default=0))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(count, pa.int64()),
-             pa.array(digest, pa.string()), pa.array(longest, pa.int64())],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "longest_match"])
+def n_covered(matches: str) -> Column:
+    """Words inside any of the matches."""
+    spans = F.sort_array(F.transform(matches, lambda m: F.struct(
+        m["start"].alias("start"), (m["start"] + m["length"]).alias("end"))))
+    return F.aggregate(
+        spans, F.struct(F.lit(0).alias("words"), F.lit(0).alias("reach")),
+        lambda s, m: F.struct(
+            (s["words"] + F.greatest(F.lit(0), m["end"] - F.greatest(m["start"], s["reach"]))).alias("words"),
+            F.greatest(s["reach"], m["end"]).alias("reach")),
+        lambda s: s["words"].cast("long"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, longest_match, contaminated (a twentieth of the words hit)."""
-    found = matches(docs, benchmark, **options).mapInArrow(
-        summaries, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, longest_match long")
+    """doc_id, n_words, n_hit, n_items, items_sha256, longest_match, contaminated (a twentieth of the words hit).
+    Column expressions over the matches: a task that searches needs no second Python worker."""
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    longest = F.array_max(F.transform("matches", lambda m: m["length"]))
+    found = matches(docs, benchmark, **options).select(
+        "doc_id", "n_words", n_covered("matches").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.coalesce(longest, F.lit(0)).cast("long").alias("longest_match"))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
