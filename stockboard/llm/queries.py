@@ -1,8 +1,8 @@
 """The registered queries of this package, one per operator, and their SQL."""
 from __future__ import annotations
 
-from stockboard.llm import (decontaminate, exact_dedup, jaccard_join, line_dedup, ngram_lm, packing, secrets,
-                            substring_dedup, token_counts, toxicity)
+from stockboard.llm import (decontaminate, exact_dedup, jaccard_join, line_dedup, minhash_dedup, ngram_lm, packing,
+                            secrets, substring_dedup, token_counts, toxicity)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_minhash_near_dedup": minhash_dedup.op11_minhash_near_dedup,
 }
 ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
