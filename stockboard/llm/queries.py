@@ -1,8 +1,8 @@
 """The registered queries of this package, one per operator, and their SQL."""
 from __future__ import annotations
 
-from stockboard.llm import (collocations, decontaminate, exact_dedup, jaccard_join, line_dedup, minhash_dedup, ngram_lm,
-                            packing, secrets, substring_dedup, token_counts, toxicity)
+from stockboard.llm import (collocations, conversation_repair, decontaminate, exact_dedup, jaccard_join, line_dedup,
+                            minhash_dedup, ngram_lm, packing, secrets, substring_dedup, token_counts, toxicity)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_minhash_near_dedup": minhash_dedup.op11_minhash_near_dedup,
     "op12_phrase_collocations": collocations.op12_phrase_collocations,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE,
               "op12_phrase_collocations": collocations.ORACLE}
