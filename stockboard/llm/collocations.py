@@ -38,8 +38,8 @@ from stockboard.llm.common import LOWER, mixed, one_array, scratch, slices, text
 
 MOST_WORDS, LEAST, TOP = 4, 30, 2000
 SCALE, COVER = 2_000_000, 80
-BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 64 << 20                  # of text for each prefix range
+BLOCK_BYTES = 4 << 20
+RANGE_BYTES = 32 << 20                  # of text for each prefix range
 SPREAD_BITS = 3                         # of the second word's hash, within a range of first words
 FILTER_BITS = 1 << 27
 #: Fixed: bytes that end a piece (2), that end a word (1), and those of words (0).
