@@ -108,6 +108,8 @@ V_MAT = with_views(MATERIALS)
 V_FLAT = with_views(MATERIALS, FLAT)
 V_DEL = with_views(DELIVERIES)
 V_SUP = with_views(SUPPLIERS)
+DELIVERY_ORDER = """select row_number() over (order by lieferant_id, geliefert_am, material_nr, zugesagt_am, menge, reklamationen) as position, *
+      from lieferungen where geliefert_am >= date '1998-01-01'"""
 
 
 def risk_sql(seit: str = "1998-01-01", tol: int = 0, min_n: int = 1, classes: tuple = ()) -> str:
@@ -459,7 +461,13 @@ ORACLE: dict[str, str] = {
       werk_id, werk_name, status, einheit, bestand, preis, geaendert from materials""",
     "snapshot_states": f"""with n as (select count(*) as zeilen from ({risk_sql()}) r)
       select cast(schritt as int) as schritt, zustand, zeilen
-      from (values (1, 'miss'), (2, 'hit'), (3, 'miss'), (4, 'bypass'), (5, 'miss')) t(schritt, zustand), n""",
+      from (values (1, 'miss'), (2, 'hit'), (3, 'miss'), (4, 'bypass'), (5, 'miss'), (6, 'hit')) t(schritt, zustand), n""",
+    "snapshot_eviction": V_MAT + """select k as schluessel, z as zustand, (select count(*) from materials where status = s) as zeilen
+      from (values ('a', 'hit', 'Gesperrt'), ('b', 'miss', '-'), ('c', 'hit', 'Aktiv')) t(k, z, s)""",
+    "ordered_materials_all": V_MAT + "select row_number() over (order by material_nr) as position, * from materials",
+    "ordered_suppliers_all": V_SUP + "select row_number() over (order by lieferant_id) as position, * from suppliers",
+    "ordered_deliveries_all": V_DEL + DELIVERY_ORDER,
+    "page_by_ranges": V_DEL + "select * from (" + DELIVERY_ORDER + ") o where position > 1000 and position <= 1500",
     "product_page_supplier_risk": f"""select * from (
       select row_number() over (order by risiko_score desc, lieferant_id) as position, * from ({risk_sql()}) r) p
       where position between 11 and 30""",

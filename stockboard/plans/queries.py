@@ -21,6 +21,7 @@ from stockboard.operators import contracts as K
 from stockboard.operators import filters as FL
 from stockboard.operators import keyed as KY
 from stockboard.operators import paging as PG
+from stockboard.operators.ranking import Ranked
 from stockboard.plans import products as P
 from stockboard.session import ensure_checkpoint_dir
 from stockboard.sources import generate as G
@@ -161,7 +162,7 @@ def q_snapshot_states(spark, base):
     answers = [SN.get_or_build(spark, root, k, "supplier-risk", at, ttl, build)
                for k, at, ttl in ((key, GENERATED_AT, 300), (key, later, 300), (other, later, 300), (key, later, 0))]
     SN.invalidate_snapshots(spark, root, later, "supplier-risk")
-    answers.append(SN.get_or_build(spark, root, key, "supplier-risk", later + dt.timedelta(seconds=1), 300, build))
+    answers += [SN.get_or_build(spark, root, key, "supplier-risk", later, 300, build) for _ in range(2)]    # at the drop's time
     parts = [data.agg(F.lit(i).alias("schritt"), F.lit(state).alias("zustand"), F.count(F.lit(1)).alias("zeilen"))
              for i, (data, state) in enumerate(answers, start=1)]
     return functools.reduce(DataFrame.unionByName, parts)
@@ -412,6 +413,43 @@ def q_ordered_materials(spark, base):
     return PG.with_position(rows, [F.col("material_nr").asc_nulls_last()])
 
 
+def _ranked(df, *first):
+    return Ranked(df, PG.total_order(df, [F.col(c).asc_nulls_last() for c in first]))
+
+
+def q_ordered_materials_all(spark, base):
+    return _ranked(V.materials(spark, base), "material_nr").rows()
+
+
+def q_ordered_suppliers_all(spark, base):
+    return _ranked(V.suppliers(spark, base).drop("supplier_key"), "lieferant_id").rows()
+
+
+def q_ordered_deliveries_all(spark, base):
+    """All deliveries since 1998 with their places; equal rows are neighbours."""
+    return _ranked(S.scan_deliveries(V.deliveries(spark, base), SINCE), "lieferant_id", "geliefert_am").rows()
+
+
+def q_page_by_ranges(spark, base):
+    """O3: a page far into the deliveries' order, read from the ranges that hold it."""
+    ranked = _ranked(S.scan_deliveries(V.deliveries(spark, base), SINCE), "lieferant_id", "geliefert_am")
+    return ranked.page(limit=500, offset=1000)
+
+
+def q_snapshot_eviction(spark, base):
+    """A store of two entries; a third put evicts the one that ends first, a replaced key evicts nothing."""
+    root, m = _scratch(spark, "snapshots"), V.materials(spark, base)
+    part = lambda status: m.where(F.col("status") == status)
+    for key, status, ttl in (("a", "Aktiv", 600), ("b", "Obsolet", 300), ("a", "Gesperrt", 500), ("c", "Aktiv", 900)):
+        SN.materialize_snapshot(part(status), root, key, "material-overview", GENERATED_AT, ttl, max_entries=2)
+    SN.compact_manifest(spark, root, GENERATED_AT)
+    SN.vacuum(spark, root, GENERATED_AT, keep_seconds=0)
+    answers = [(key, *SN.read_snapshot(spark, root, key, GENERATED_AT)) for key in ("a", "b", "c")]
+    parts = [(m.limit(0) if data is None else data).agg(F.lit(key).alias("schluessel"), F.lit(state).alias("zustand"),
+                                                        F.count(F.lit(1)).alias("zeilen")) for key, data, state in answers]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def q_delivery_violations(spark, base):
     """Deliveries with faults planted by quantity and date."""
     d = V.deliveries(spark, base).select(*S.DELIVERY_COLUMNS)
@@ -482,6 +520,7 @@ QUERIES: dict[str, Query] = {
     "purge_mock_edges": q_purge_mock_edges,
     "scan_materials_from_graph": q_scan_materials_from_graph,
     "snapshot_states": q_snapshot_states,
+    "snapshot_eviction": q_snapshot_eviction,
     "records_json": q_records_json,
     "snapshot_roundtrip": q_snapshot_roundtrip,
     # P
@@ -539,6 +578,10 @@ QUERIES: dict[str, Query] = {
     "page_after": q_page_after,
     "product_page_supplier_risk": q_product_page_supplier_risk,
     "ordered_materials": q_ordered_materials,
+    "ordered_materials_all": q_ordered_materials_all,
+    "ordered_suppliers_all": q_ordered_suppliers_all,
+    "ordered_deliveries_all": q_ordered_deliveries_all,
+    "page_by_ranges": q_page_by_ranges,
     # U
     "contract_violations": q_contract_violations,
     "delivery_violations": q_delivery_violations,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The seed's domains and weights, in their natural order.
@@ -119,18 +119,12 @@ def generate_deliveries(suppliers: DataFrame, n_materials: int, seed: int = 42,
     )
 
 
-def dense_index(materials: DataFrame, key: str, chunk: int = 1 << 16) -> DataFrame:
-    """``key`` with its rank ``i`` from 0 among the distinct keys, which are whole
-    numbers: ranks within ranges of ``chunk`` keys, plus the number of keys in the
-    ranges before, so no task ranks more than ``chunk`` of them."""
-    keys = materials.select(F.col(key).cast("bigint").alias(key)).distinct() \
-        .withColumn("_range", F.floor(F.col(key) / chunk))
-    sizes = keys.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return keys.withColumn("_rank", rank).join(starts, F.col("_range") == F.col("_r")) \
-        .select((F.col("_start") + F.col("_rank")).alias("i"), key)
+def dense_index(materials: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
+    """``key`` with its rank ``i`` from 0 among the distinct keys, of any sortable type and
+    however sparse: ranks within ranges of the keys, plus the number of keys in the ranges before."""
+    from stockboard.operators.ranking import Ranked
+    keys = materials.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
+    return Ranked(keys, [F.col(key).asc()], ranges).rows("i", first=0).select("i", key)
 
 
 def sample_supplier_links(suppliers: DataFrame, materials: DataFrame, n_materials: int,

@@ -43,8 +43,30 @@ def table_path(base_dir: str, name: str) -> str:
     return path if not local or os.path.exists(path) else os.path.join(base_dir, name)
 
 
+# The test tables' columns that the views read, and their types.
+TABLE_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+}
+TABLE_TYPES = {table: dict(column.split() for column in columns.split(", ")) for table, columns in TABLE_COLUMNS.items()}
+
+
 def read_table(spark: SparkSession, base_dir: str, name: str,
                columns: Sequence[str] | None = None) -> DataFrame:
+    """A test table, of the fixed types where they are stated: opening it then reads no file footer on
+    the driver, however many files it has and whether or not the query keeps it."""
+    types = TABLE_TYPES.get(name, {})
+    if columns and all(c in types for c in columns):
+        schema = ", ".join(f"{c} {types[c]}" for c in columns)
+        return spark.read.schema(schema).parquet(table_path(base_dir, name))
     df = spark.read.parquet(table_path(base_dir, name))
     return df.select(*columns) if columns else df
 

@@ -81,8 +81,11 @@ def test_changed_mappings_end_the_material_snapshots(spark):
     schema = "material_nr string, ziel_warengruppe string, geaendert_am int, version int"
     before = spark.createDataFrame([("M1", "A", 1, 1), ("M2", "B", 1, 1)], schema)
     changes = spark.createDataFrame([("M1", "C", 2, 1), ("M3", "", 2, 1), (None, "D", 2, 1)], schema)
-    table, ended = P.change_mappings(spark, root, NOW + dt.timedelta(seconds=5), before, changes)
+    table, ended = P.change_mappings(spark, root, NOW + dt.timedelta(seconds=5), changes, before)
     assert ended == 2 and sorted(tuple(r) for r in table.collect()) == [("M1", "C", 2, 1), ("M2", "B", 1, 1)]
+    again = spark.createDataFrame([("M2", "E", 3, 1)], schema)                # over the stored version
+    table, ended = P.change_mappings(spark, root, NOW + dt.timedelta(seconds=5), again)
+    assert ended == 0 and sorted(tuple(r) for r in table.collect()) == [("M1", "C", 2, 1), ("M2", "E", 3, 1)]
     later = NOW + dt.timedelta(seconds=6)
     assert call(spark, root, "material-overview", 2, {"limit": 1}, later).meta.first().cache == "miss"
     assert call(spark, root, "werk-auslastung", 1, {"limit": 1}, later).meta.first().cache == "hit"

@@ -129,7 +129,7 @@ def test_sample_matches_brute_force(spark):
 
 def test_dense_index(spark):
     keys = spark.createDataFrame([(k,) for k in (900, 5, 5, 70000, 3, 140001)], "k long")
-    assert rows(G.dense_index(keys, "k", chunk=1000)) == [(0, 3), (1, 5), (2, 900), (3, 70000), (4, 140001)]
+    assert rows(G.dense_index(keys, "k", ranges=3)) == [(0, 3), (1, 5), (2, 900), (3, 70000), (4, 140001)]
 
 
 def snap_root(spark):
@@ -186,7 +186,6 @@ def test_compaction_keeps_what_is_live(spark):
     SN.invalidate_snapshots(spark, root, T0 + dt.timedelta(seconds=5), "q")
     now = T0 + dt.timedelta(seconds=6)
     assert SN.compact_manifest(spark, root, now) == 2
-    assert SN._manifest(spark, root).count() == 2
     assert [SN.read_snapshot(spark, root, k, now)[0].count() for k in ("k0", "k1")] == [2, 3]
     assert SN.read_snapshot(spark, root, "gone", now)[1] == "miss"
     SN.invalidate_snapshots(spark, root, now)
