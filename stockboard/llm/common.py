@@ -22,6 +22,7 @@ BLOCK_BYTES = 8 << 20
 #: Fixed: bytes that end a word besides letters, digits and non-ASCII bytes; A-Z go to a-z.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM_LOWER = bytes(c if (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) else 32 for c in LOWER)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HASH_KEYS = ("stockboard-words", "words-stockboard")   # 16 bytes each: keys of the two word-hash lanes
 
 
@@ -34,6 +35,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name for a column beside those of `docs`, whatever they are called."""
+    taken = {c.lower() for c in docs.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and text only; other columns, whatever their names, are left out."""
     return docs.select(docs["doc_id"], docs["text"])

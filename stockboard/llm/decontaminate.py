@@ -10,8 +10,8 @@ verbatim matches with their locations. Blocks are the shards: they are built
 where the documents are scanned, nothing but the benchmark travels.
 
 The benchmark is a stated query set, held in slices of at most `SLICE_BYTES`
-of text (measured first); with several slices each is searched in turn and the
-matches are merged by document.
+of text (measured first); with several slices a block of documents is searched
+for one after the other, each with its own suffixes in memory.
 
 Words: A-Z lower-cased, runs of digits, letters a-z and non-ASCII bytes.
 A window is `window` consecutive words of an item; an item of fewer words, but
@@ -19,7 +19,7 @@ not none, is one window. Defined results: a null or empty text has no words
 and no hits; null or empty items have no windows; repeated items are items of
 their own; item_id is reported as a string, null as the empty one; an empty
 table gives no rows; an empty benchmark gives rows without hits; other columns
-are ignored. With several slices, rows that repeat a doc_id are one document.
+are ignored. Rows that repeat a doc_id are documents of their own, as are rows without one.
 """
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockboard.llm.common import ALNUM_LOWER, id_and_text, mapped, one_array, slices, split_words
+from stockboard.llm.common import ALNUM_LOWER, free_name, id_and_text, mapped, one_array, slices, split_words
 
 WINDOW = 13
 SLICE_BYTES = 2 << 20
@@ -165,11 +165,14 @@ class Queries:
         return n_words, out
 
 
-def matcher(ids: list[str], texts: list[str], window: int, block_bytes: int):
+def matcher(parts: list[tuple[list[str], list[str]]], window: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = Queries(ids, texts, window)
+        only = Queries(*parts[0], window) if len(parts) == 1 else None
         for block in slices(batches, block_bytes):
-            n_words, found = queries.matches(one_array(block.column("text")))
+            texts, found = one_array(block.column("text")), None
+            for ids, items in parts:
+                n_words, more = (only or Queries(ids, items, window)).matches(texts)
+                found = more if found is None else [a + b for a, b in zip(found, more, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(found, MATCH_TYPE)],
                 ["doc_id", "n_words", "matches"])
@@ -190,15 +193,8 @@ def benchmark_slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[tuple[l
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES,
             block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, matches (item_id, item_word, start, length; in words)."""
-    d, found = id_and_text(docs), None
-    parts = [d.mapInArrow(matcher(ids, texts, window, block_bytes), MATCHES)
-             for ids, texts in benchmark_slices(benchmark, slice_bytes)]
-    for part in parts:
-        found = part if found is None else found.union(part)
-    if len(parts) > 1:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"),
-                                            F.flatten(F.collect_list("matches")).alias("matches"))
-    return found
+    parts = list(benchmark_slices(benchmark, slice_bytes))
+    return id_and_text(docs).mapInArrow(matcher(parts, window, block_bytes), MATCHES)
 
 
 def n_covered(matches: str) -> Column:
@@ -226,9 +222,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    gone = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows whose text is not contaminated, with all their columns, with or without an id. What
+    a text is called does not matter: rows are found again by 64 bits of hash of the text."""
+    text, gone = free_name(docs, "text"), free_name(docs, "gone")
+    named = F.xxhash64(docs["text"])
+    texts = contamination(docs.select(named.alias("doc_id"), docs["text"]), benchmark, **options) \
+        .where("contaminated").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.withColumn(text, named).join(texts, F.col(text) == F.col(gone), "left_anti").drop(text)
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

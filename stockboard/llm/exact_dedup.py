@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockboard.llm.common import LOWER, id_and_text
+from stockboard.llm.common import LOWER, UPPER, free_name, id_and_text
 
 SALTS = 16
 MEMORY_BYTES = 96 << 20
@@ -244,10 +244,18 @@ def owners(docs: DataFrame, keep: str = "largest", salts: int = SALTS,
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The documents that own their text, with all their columns. A row without
-    an id cannot be named, so it is never dropped."""
-    gone = owners(docs, keep).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One row of each text, with all its columns: the one with the largest (or smallest) id, one without
+    an id only where no copy has one. Rows that repeat an id with different texts are told apart
+    by their texts; of rows that repeat id and text alike, any one stays."""
+    sha, of, owner, rows = (free_name(docs, x) for x in ("sha", "of", "owner", "rows"))
+    best = F.max if keep == "largest" else F.min
+    texts = owners(docs, keep).groupBy("text_sha256").agg(
+        F.max("text_sha256").alias(of), best("keep_id").alias(owner), F.sum(F.col("kept").cast("int")).alias(rows))
+    normal_text = F.translate(F.coalesce(docs["text"], F.lit("")), UPPER, UPPER.lower())
+    kept = docs.withColumn(sha, F.sha2(normal_text, 256)).join(texts.select(of, owner, rows), F.col(sha) == F.col(of)) \
+        .where(docs["doc_id"].eqNullSafe(F.col(owner)))
+    once, again = kept.where(F.col(rows) == 1), kept.where(F.col(rows) > 1).dropDuplicates([sha])
+    return once.unionByName(again).drop(sha, of, owner, rows)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

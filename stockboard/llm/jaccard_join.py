@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockboard.llm.common import (blocked, group_sums, id_and_text, mixed, one_array, scratch,
+from stockboard.llm.common import (blocked, free_name, group_sums, mixed, one_array, scratch,
                                    split_words, text_bytes, window_hashes, word_hashes)
 from stockboard.llm.components import components
 from stockboard.llm.substring_dedup import LEAST_WORD_BYTES, Layout, ddl, packed_gaps, unpacked_gaps
@@ -435,10 +435,22 @@ def classes_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, chunk:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the least id of their component, with all their columns."""
-    found = classes_of(id_and_text(docs), **options)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One row of each component, with all its columns: the one with the least id, one without an id only where
+    no other has one. A row is known by its id and text (64 bits of hash), so rows that repeat an id
+    with different texts stand for themselves; of rows that repeat both, any one stays. Texts
+    without words link with nothing: their rows all stay."""
+    row, kept, rows = (free_name(docs, x) for x in ("row", "kept", "rows"))
+    named = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
+    found = classes_of(docs.select(named.alias("doc_id"), docs["text"]), **options)
+    ids = docs.select(named.alias("named"), docs["doc_id"].alias("id")).distinct()
+    of = found.where("n_shingles > 0").groupBy("doc_id").agg(F.max("component_id").alias("component"), F.count("*").alias("n"),
+                                                             F.max("doc_id").alias("row"))
+    least = of.join(ids, F.col("row") == F.col("named")).groupBy("component").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "n")).alias("o"))
+    stay = least.select(F.col("o.row").alias(kept), F.col("o.n").alias(rows)).unionByName(
+        found.where("n_shingles = 0").select(F.col("doc_id").alias(kept)).distinct().withColumn(rows, F.lit(1).cast("long")))
+    chosen = docs.withColumn(row, named).join(stay, F.col(row) == F.col(kept))
+    return chosen.where(F.col(rows) == 1).unionByName(chosen.where(F.col(rows) > 1).dropDuplicates([row])).drop(row, kept, rows)
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

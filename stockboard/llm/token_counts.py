@@ -2,7 +2,7 @@
 
 The fields of a document are joined by `separator` and encoded once, as a
 whole, with a byte-level vocabulary; a token's span follows from the lengths of
-the tokens before it (the encoding is lossless). Sections are the fields' parts
+the tokens before it (the encoding is lossless; runs of white space may be of any length). Sections are the fields' parts
 between `section` strings; a separator belongs to the section that it ends.
 Token spans and section spans of a block are joined as sorted intervals.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,6 +35,8 @@ from stockboard.llm.packing import vocabulary_path
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 4 << 20
 RULES = ("most", "first", "share")
+#: Fixed: what the pattern's white space is (Unicode's property of that name).
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -49,6 +52,22 @@ def encoding(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), size
 
 
+def encoded(encoder, whole: str) -> np.ndarray:
+    """The tokens of a whole text. The pattern takes a run of white space up to its last character as one
+    piece, which joins what follows; its search is nested as deep as such a run is long, so the piece of a
+    long run is cut out here and merged on its own. The tokens are those of one call."""
+    parts, at = [], 0
+    for run in LONG_SPACE.finditer(whole):
+        end = run.end() if run.end() == len(whole) else run.end() - 1
+        parts.append(encoder.encode_to_numpy(whole[at:run.start()], disallowed_special=()))
+        parts.append(np.array(encoder._encode_single_piece(whole[run.start():end]), np.int64))
+        at = end
+    if not parts:
+        return encoder.encode_to_numpy(whole, disallowed_special=())
+    parts.append(encoder.encode_to_numpy(whole[at:], disallowed_special=()))
+    return np.concatenate(parts).astype(np.int64)
+
+
 def section_starts(text: bytes, section: bytes) -> list[int]:
     out, at = [0], text.find(section)
     while at >= 0:
@@ -99,7 +118,7 @@ def counter(n_fields: int, vocabulary: str, separator: bytes, section: bytes, ru
                     of_number += range(len(found))
                     at += len(value.encode()) + len(separator)
                 starts = np.array(starts, np.int64)
-                token_size = size[encoder.encode_to_numpy(whole, disallowed_special=())]
+                token_size = size[encoded(encoder, whole)]
                 token_start = np.cumsum(token_size) - token_size
                 n, c = allocate(token_start, token_size, starts, len(raw), rule)
                 if len(raw) != len(whole):                # to code points
