@@ -268,6 +268,24 @@ def _kpi_board() -> str:
             f"as ohne_klassifizierung from flat)\n" + "\nunion all\n".join(selects))
 
 
+def _kpi_board_after_changes() -> str:
+    """The changes made to the rows, then a recount."""
+    after = V_FLAT + """, old as (select * from flat), after as (
+      select material_nr, bezeichnung, case when status = 'Nicht geliefert' then coalesce(nullif(warengruppe, ''), 'Neu')
+          else warengruppe end as warengruppe, werk, case when status = 'Nicht geliefert' then 'Aktiv' else status end as status,
+        einheit, bestand, geaendert from old where status <> 'Gesperrt'
+      union all
+      select 'N-' || material_nr, bezeichnung, warengruppe, werk, 'Aktiv', einheit, bestand, geaendert from old
+      where status = 'Obsolet')"""
+    names = ("material_nr", "bezeichnung", "warengruppe", "werk", "status", "einheit", "bestand", "geaendert")
+    tag = fingerprint_sql({c: f"cast({c} as varchar)" for c in names}, "after")
+    tiles = _kpi_board()[len(V_FLAT):].replace("from flat)", "from after)", 1)
+    tiles = tiles.replace(", c as (", f", tag as ({tag}), c as (", 1)
+    for pos in range(1, len(KPIS) + 1):
+        tiles = tiles.replace(f"select cast({pos} as int)", f"select tag.n_rows, tag.fingerprint, cast({pos} as int)")
+    return after + tiles.replace(" from c", " from c, tag")
+
+
 def _violations(rules, source: str) -> str:
     parts = []
     for name, kind, required, domain, minimum in rules:
@@ -365,6 +383,12 @@ ORACLE: dict[str, str] = {
       where contains(lower(material_nr), 'blue') or contains(lower(bezeichnung), 'blue')""",
     "search_joined": V_MAT + """select * from materials
       where contains(lower(material_nr || ' ' || coalesce(bezeichnung, '')), '7 red')""",
+    "search_indexed": V_MAT + """select *, 'any:blue' as suche from materials
+        where contains(lower(material_nr), 'blue') or contains(lower(bezeichnung), 'blue')
+      union all select *, 'joined:7 red' from materials
+        where contains(lower(material_nr || ' ' || coalesce(bezeichnung, '')), '7 red')
+      union all select *, 'any:77' from materials
+        where contains(lower(material_nr), '77') or contains(lower(bezeichnung), '77')""",
     "min_stock_value": V_MAT + f"select * from (select {V2_COLS} from materials) v where coalesce(bestandswert, 0) >= 50000.0",
     "supplier_risk_all": risk_sql(min_n=0),
     "supplier_risk_hoch": risk_sql(classes=("hoch",)),
@@ -393,6 +417,7 @@ ORACLE: dict[str, str] = {
         f"count_if(status = '{s}') as {s.lower().replace(' ', '_')}" for s in STATUSES) + " from flat",
     "count_unclassified": V_FLAT + "select count_if(warengruppe is null or warengruppe = '') as ohne_klassifizierung from flat",
     "kpi_board": _kpi_board(),
+    "kpi_board_after_changes": _kpi_board_after_changes(),
     "delivery_kpis": V_DEL + """select lieferant_id, count(*) as lieferungen,
         avg(datediff('day', zugesagt_am, geliefert_am)) as mittlerer_verzug_tage,
         avg(cast(datediff('day', zugesagt_am, geliefert_am) <= 0 as double)) as puenktlich,
@@ -403,6 +428,11 @@ ORACLE: dict[str, str] = {
         avg(cast(datediff('day', zugesagt_am, geliefert_am) <= 3 as double)) as puenktlich,
         avg(cast(reklamationen > 0 as double)) as reklamationsquote
       from lieferungen where geliefert_am >= date '1998-01-01' group by lieferant_id""",
+    "delivery_kpis_by_tolerance": V_DEL + """select lieferant_id, cast(t as int) as toleranz_tage, count(*) as lieferungen,
+        avg(datediff('day', zugesagt_am, geliefert_am)) as mittlerer_verzug_tage,
+        avg(cast(datediff('day', zugesagt_am, geliefert_am) <= t as double)) as puenktlich,
+        avg(cast(reklamationen > 0 as double)) as reklamationsquote
+      from lieferungen, range(31) tolerances(t) where geliefert_am >= date '1998-01-01' group by lieferant_id, t""",
     "plant_load": V_MAT + """select werk_id, min(werk_name) as werk_name, count(*) as materialien,
         cast(sum(coalesce(bestand, 0)) as bigint) as bestand_gesamt
       from materials group by werk_id having count(*) >= 0""",
@@ -457,6 +487,7 @@ ORACLE: dict[str, str] = {
     "sample_supplier_links": SAMPLE,
     "purge_mock_nodes": V_GRAPH_LIVE + "select * from nodes",
     "purge_mock_edges": V_GRAPH_LIVE + "select * from edges",
+    "purge_label_filtered": V_GRAPH_LIVE + "select * from edges",
     "scan_materials_from_graph": V_MAT + """select material_nr, bezeichnung, nullif(warengruppe, '') as warengruppe,
       werk_id, werk_name, status, einheit, bestand, preis, geaendert from materials""",
     "snapshot_states": f"""with n as (select count(*) as zeilen from ({risk_sql()}) r)

@@ -63,10 +63,15 @@ def kpi_board(df: DataFrame) -> DataFrame:
     counts = df.agg(
         *[F.count_if(F.col("status") == F.lit(s)).alias(status_key(s)) for s in STATUSES],
         F.count_if(unclassified("warengruppe")).alias("ohne_klassifizierung"))
+    return kpi_tiles(counts)
+
+
+def kpi_tiles(counts: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """One row of counts, a column per tile, as tiles in display order; ``extra`` columns go on each."""
     return rows_of([(F.lit(pos), F.lit(kpi_id), F.lit(label), F.lit(color), F.col(kpi_id),
-                     F.lit(kpi_filter_json(flt)))
+                     F.lit(kpi_filter_json(flt)), *[F.col(c) for c in extra])
                     for pos, (kpi_id, label, color, flt) in enumerate(KPI_DEFINITIONS, start=1)],
-                   ("position", "kpi_id", "label", "color", "value", "filter"), counts)
+                   ("position", "kpi_id", "label", "color", "value", "filter", *extra), counts)
 
 
 def delivery_kpis(deliveries: DataFrame, tolerance_days: int = 0, *,
@@ -146,9 +151,17 @@ def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) ->
     partitioning, and unlike XOR a duplicated row changes them. Column names count
     too. Doubles should be passed as whole numbers (cents) by the caller.
     """
-    cols = list(columns or df.columns)
-    digest = F.sha2(_row_text(cols), 256)
-    lanes = [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+    lanes = row_lanes(list(columns or df.columns))
     zero = F.lit(0).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.concat_ws("-", *[F.coalesce(F.sum(x), zero).cast("string") for x in lanes]).alias("fingerprint"))
+                  fingerprint_text([F.coalesce(F.sum(x), zero) for x in lanes]).alias("fingerprint"))
+
+
+def row_lanes(columns: Sequence[str]) -> list[Column]:
+    """The two 60-bit hashes of a row that the fingerprint sums."""
+    digest = F.sha2(_row_text(columns), 256)
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+
+
+def fingerprint_text(sums: Sequence[Column | str]) -> Column:
+    return F.concat_ws("-", *[(F.col(x) if isinstance(x, str) else x).cast("string") for x in sums])

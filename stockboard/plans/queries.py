@@ -21,12 +21,16 @@ from stockboard.operators import contracts as K
 from stockboard.operators import filters as FL
 from stockboard.operators import keyed as KY
 from stockboard.operators import paging as PG
+from stockboard.operators import tolerance as TL
+from stockboard.operators import upkeep as UK
 from stockboard.operators.ranking import Ranked
 from stockboard.plans import products as P
 from stockboard.session import ensure_checkpoint_dir
 from stockboard.sources import generate as G
 from stockboard.sources import graph as GR
+from stockboard.sources import purge as PU
 from stockboard.sources import scans as S
+from stockboard.sources import search_index as SI
 from stockboard.sources import snapshots as SN
 from stockboard.sources import views as V
 from stockboard.sources.tables import read_json_records, read_table
@@ -129,6 +133,12 @@ def q_purge_mock_edges(spark, base):
     return GR.purge_label(*_graph_with_mock(spark, base), "Mock")[1]
 
 
+def q_purge_label_filtered(spark, base):
+    """S9 with the filter ahead of the anti joins: the blocked materials and their edges go; edges that stay."""
+    nodes, edges = GR.store_graph(*_graph_with_mock(spark, base), _scratch(spark, "graph"))
+    return PU.purge_label_filtered(nodes, edges, "Mock")[1]
+
+
 def q_scan_materials_from_graph(spark, base):
     return GR.scan_materials_from_graph(*_graph(spark, base))
 
@@ -310,6 +320,40 @@ def q_delivery_kpis(spark, base, tol: int = 0):
     return _with_supplier_id(_kpis_by_key(spark, base, tol))
 
 
+def q_delivery_kpis_by_tolerance(spark, base):
+    """A4 for 0..30 days; the histograms of complaints and of the other deliveries are merged first."""
+    recent = S.scan_deliveries(V.deliveries(spark, base), SINCE, extra=("supplier_key",))
+    complaint = F.col("reklamationen") > 0
+    parts = [TL.delay_histogram(recent.where(p), key="supplier_key") for p in (complaint, ~complaint)]
+    return _with_supplier_id(TL.kpis_by_tolerance(TL.merge_histograms(*parts, key="supplier_key"), key="supplier_key"))
+
+
+def _board_changes(flat: DataFrame) -> DataFrame:
+    """Undelivered materials become active and classified, blocked ones are deleted, and each obsolete one gets a successor."""
+    status = F.col("status")
+    changed = flat.where(status.isin("Nicht geliefert", "Gesperrt")).select(
+        "material_nr", "bezeichnung", F.coalesce(F.nullif("warengruppe", F.lit("")), F.lit("Neu")).alias("warengruppe"), "werk",
+        F.when(status == "Nicht geliefert", "Aktiv").otherwise(status).alias("status"), "einheit", "bestand", "geaendert",
+        (status == "Gesperrt").alias("geloescht"))
+    successors = flat.where(status == "Obsolet").withColumn("material_nr", F.concat(F.lit("N-"), "material_nr")) \
+        .withColumn("status", F.lit("Aktiv")).withColumn("geloescht", F.lit(False))
+    return changed.unionByName(successors)
+
+
+def q_kpi_board_after_changes(spark, base):
+    """A3 and A11 from the state before and the changes alone."""
+    flat = _flat(spark, base)
+    delta = UK.board_delta(UK.signed_changes(flat, _board_changes(flat), "material_nr"))
+    return UK.board_of(UK.add_deltas(UK.board_state(flat), delta))
+
+
+def q_search_indexed(spark, base):
+    """F3 and F4 through the index, and a needle too short for it."""
+    index = SI.SearchIndex.build(V.materials(spark, base), _scratch(spark, "search"), "material_nr", ("material_nr", "bezeichnung"))
+    found = {"any:blue": index.search_any(" BLUE "), "joined:7 red": index.search_joined("7 red"), "any:77": index.search_any("77")}
+    return functools.reduce(DataFrame.unionByName, [rows.withColumn("suche", F.lit(name)) for name, rows in found.items()])
+
+
 def q_plant_load(spark, base):
     return P.plant_load_product(V.materials(spark, base), 0)
 
@@ -518,6 +562,7 @@ QUERIES: dict[str, Query] = {
     "purge_label": q_purge_label,
     "purge_mock_nodes": q_purge_mock_nodes,
     "purge_mock_edges": q_purge_mock_edges,
+    "purge_label_filtered": q_purge_label_filtered,
     "scan_materials_from_graph": q_scan_materials_from_graph,
     "snapshot_states": q_snapshot_states,
     "snapshot_eviction": q_snapshot_eviction,
@@ -543,6 +588,7 @@ QUERIES: dict[str, Query] = {
     "unclassified": q_unclassified,
     "search_any": q_search_any,
     "search_joined": q_search_joined,
+    "search_indexed": q_search_indexed,
     "min_stock_value": q_min_stock_value,
     "supplier_risk_all": _risk(min_n=0),
     "supplier_risk_hoch": _risk(classes=("hoch",)),
@@ -557,8 +603,10 @@ QUERIES: dict[str, Query] = {
     "count_status": q_count_status,
     "count_unclassified": q_count_unclassified,
     "kpi_board": q_kpi_board,
+    "kpi_board_after_changes": q_kpi_board_after_changes,
     "delivery_kpis": q_delivery_kpis,
     "delivery_kpis_tolerance": lambda spark, base: q_delivery_kpis(spark, base, 3),
+    "delivery_kpis_by_tolerance": q_delivery_kpis_by_tolerance,
     "plant_load": q_plant_load,
     "delivery_summary": q_delivery_summary,
     "nodes_per_label": q_nodes_per_label,
