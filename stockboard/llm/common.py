@@ -54,14 +54,15 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, doc_id, text): documents dealt by a hash of id and text into
-    blocks of about `block_bytes`, all rows of a block in one partition. The
+    """(block, doc_id, text): documents dealt by a hash of id and whole text into
+    blocks of about `block_bytes`, all rows of a block in one partition; rows equal
+    in both share a block, since each pass has to deal them alike. The
     number of blocks follows the total size of the texts. There are no fewer
     partitions than Spark would choose, so that operators on groups of a block
     take them as they are; an equal plan elsewhere in a query reuses the shuffle."""
     n = max(1, -(-text_bytes(docs) // block_bytes))
     d = id_and_text(docs)
-    block = F.pmod(F.xxhash64(d["doc_id"], F.length(d["text"])), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64(d["doc_id"], d["text"]), F.lit(n)).cast("int")
     return d.select(block.alias("block"), d["doc_id"], F.coalesce(d["text"], F.lit("")).alias("text")) \
         .repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
 

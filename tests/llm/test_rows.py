@@ -98,3 +98,13 @@ def test_sections_against_brute_force(spark):
             at += int(size[t])
         found = {r.section: r.n_tokens for r in rows if r.doc_id == i}
         assert {k: v for k, v in found.items() if v} == expected and len(found) == text.count("\n") + 1
+
+
+def test_rows_without_ids_spread_over_the_blocks_by_their_texts(spark):
+    """Many texts of one length without ids fill blocks evenly, and dealing again deals alike."""
+    from stockboard.llm.common import blocked
+    docs = spark.createDataFrame([(None, f"text {i:06d}") for i in range(2000)], "doc_id long, text string")
+    per_block = {r.block: r["count"] for r in blocked(docs, 2200).groupBy("block").count().collect()}
+    assert len(per_block) == 10 and max(per_block.values()) < 300
+    dealt = [sorted((r.text, r.block) for r in blocked(d, 2200).collect()) for d in (docs, docs.repartition(7))]
+    assert dealt[0] == dealt[1]
