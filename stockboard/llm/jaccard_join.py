@@ -11,10 +11,11 @@
    shingles that occur nowhere else (they cannot overlap).
 3. Sets under one shingle form a group; equal groups are taken once. Sets that
    are connected by groups form a candidate cluster. A cluster of bounded size
-   (`TREE_SHINGLES`) is put into one prefix tree: sets with a common beginning
-   share a path, and the tree is walked once per set, adding up the overlap along
-   the path and leaving a subtree when its remaining length, sizes or places
-   cannot reach the threshold, or when all of it is already connected to the set.
+   (`TREE_SHINGLES`, `TREE_SETS`) is put into one prefix tree: sets with a common
+   beginning share a path, and the tree is walked once per set, towards sets that
+   hold enough of its leading shingles, adding up the overlap along the path and
+   leaving a subtree when its remaining length, sizes or places cannot reach the
+   threshold, or when all of it is already connected to the set.
 4. Larger clusters are split. The least set of a group is its pivot; every set is
    compared with its least pivot, in trees of at most `chunk` sets that all hold
    the pivot. After the components of these links, only groups whose sets still
@@ -52,6 +53,9 @@ SIZE, PERCENT = 4, 85
 BLOCK_BYTES = 4 << 20               # of text; the arrays of its shingles take about thirty times as much
 CHUNK = 512                         # sets of a tree, in clusters that are split
 TREE_SHINGLES = 1 << 21             # shingles of a cluster that is taken whole
+TREE_SETS = 1 << 15                 # sets of such a cluster: the walk takes a pass over their groups for each of them
+FEW_ROWS = 32                       # sets of other groups that are walked to without a look at shared leading shingles
+FIRST_TRIED = 16                    # sets under the rarest leading shingle that are tried ahead of the walk
 BASE = 0x9E3779B97F4A7C15
 BUCKETS_PER_SHINGLE = 64
 SENT = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("gaps", pa.binary())])
@@ -168,7 +172,7 @@ def written(layout: Layout, size: int, percent: int):
 
 
 class Branch:
-    __slots__ = ("label", "children", "low", "high", "least", "most", "rest")
+    __slots__ = ("label", "children", "low", "high", "lows")
 
     def __init__(self, label: np.ndarray, low: int, high: int):
         self.label, self.low, self.high, self.children = label, low, high, []
@@ -176,10 +180,11 @@ class Branch:
 
 class PrefixTree:
     """Ordered sets (rows sorted by their shingles' ranks) with shared beginnings; a
-    subtree is a run of rows. least, most: sizes of its sets; rest: most shingles below."""
+    subtree is a run of rows, and `lows` holds the first rows of a node's children."""
 
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
-        self.sets, self.sizes = sets, sizes
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.lengths = np.array([len(s) for s in sets], np.int64)
         self.root = self.branch(0, len(sets), 0)
 
     def branch(self, low: int, high: int, depth: int) -> Branch:
@@ -198,8 +203,6 @@ class PrefixTree:
                 top = node
             else:
                 parent.children.append(node)
-            node.least, node.most = int(self.sizes[low:high].min()), int(self.sizes[low:high].max())
-            node.rest = max(len(self.sets[i]) for i in range(low, high)) - end
             at = low
             while at < high and len(self.sets[at]) == end:       # sets that end here stay rows of this node
                 at += 1
@@ -214,52 +217,132 @@ class PrefixTree:
                     to += 1
                 stack.append((at, to, end, node))
                 at = to
-        del made
+        for node in made:
+            node.children.sort(key=lambda c: c.low)
+            node.lows = np.array([c.low for c in node.children], np.int64)
         return top
 
-    def ends_at(self, node: Branch, depth: int) -> range:
-        """Rows of sets that end at a node whose path has `depth` shingles."""
-        stop = node.low
-        while stop < node.high and len(self.sets[stop]) == depth:
-            stop += 1
-        return range(node.low, stop)
+
+class Leads:
+    """The sets so far under the shingles that lead them.
+
+    A set of n shingles links with overlaps of c = ceil(t n) and more. Of two sets that link, the `lead` smallest
+    common shingles lie among the first len - c + lead of each; lead = min(c, n - c + 1). So a partner
+    has as many of them in common, and where the longest lists of a set are not read, as many less."""
+
+    def __init__(self, tree: PrefixTree, sizes: np.ndarray, n_tokens: int, percent: int):
+        self.sets, self.percent = tree.sets, percent
+        least = (percent * sizes + 99) // 100
+        self.lead = np.minimum(least, sizes - least + 1)
+        self.reach = np.where(tree.lengths < least, 0, np.minimum(tree.lengths, tree.lengths - least + self.lead))
+        total = np.zeros(n_tokens + 1, np.int64)
+        for s, r in zip(tree.sets, self.reach.tolist(), strict=True):
+            total[s[:r] + 1] += 1
+        self.start = np.cumsum(total)
+        self.filled = np.zeros(n_tokens, np.int64)
+        self.rows = np.zeros(int(self.start[-1]), np.int32)
+
+    def add(self, x: int) -> None:
+        own = self.sets[x][:self.reach[x]]
+        self.rows[self.start[own] + self.filled[own]] = x
+        self.filled[own] += 1
+
+    def likely(self, x: int) -> np.ndarray:
+        """A few rows to try first: the last ones under the rarest leading shingle, and the row before."""
+        own = self.sets[x][:self.reach[x]]
+        n = self.filled[own]
+        if not n.any():
+            return np.zeros(0, np.int64)
+        t = own[np.argmin(np.where(n > 0, n, len(self.rows) + 1))]
+        end = int(self.start[t] + self.filled[t])
+        return np.append(self.rows[max(int(self.start[t]), end - FIRST_TRIED):end], x - 1).astype(np.int64)
+
+    def partners(self, x: int, size: int) -> np.ndarray:
+        """Rows added before that may link with x, in ascending order."""
+        own = self.sets[x][:self.reach[x]]
+        smallest = (self.percent * size + 99) // 100                # lead grows with the size
+        c = (self.percent * smallest + 99) // 100
+        unread = (min(int(self.lead[x]), c, smallest - c + 1) - 1) // 2
+        n = self.filled[own]
+        read = np.argsort(n, kind="stable")[:len(own) - unread]
+        own, n = own[read], n[read]
+        ends = np.cumsum(n)
+        if not len(ends) or not ends[-1]:
+            return np.zeros(0, np.int64)
+        rows = self.rows[np.arange(int(ends[-1])) + np.repeat(self.start[own] - ends + n, n)]
+        if len(rows) > x // 4:
+            counts = np.bincount(rows, minlength=x)
+            found = np.flatnonzero(counts)
+            counts = counts[found]
+        else:
+            found, counts = np.unique(rows, return_counts=True)
+        return found[counts >= np.minimum(self.lead[found], self.lead[x]) - unread].astype(np.int64)
 
 
 def tree_links(sets: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, side: np.ndarray | None,
                percent: int) -> list[tuple[int, int]]:
     """Links that connect all linked rows of different groups. `group`: what is
-    connected already; `side`: rows with the same side above 0 aren't compared."""
+    connected already; `side`: rows with the same side above 0 aren't compared.
+    Only paths to rows that may link are walked (`Leads`)."""
     n_tokens = 1 + max((int(s[-1]) for s in sets if len(s)), default=0)
-    tree, group, links = PrefixTree(sets, sizes), group.copy(), []
+    tree, group, links = PrefixTree(sets), group.copy(), []
+    leads = Leads(tree, sizes, n_tokens, percent)
     mark = np.zeros(n_tokens, bool)
-    for x in range(1, len(sets)):
-        own, size = sets[x], int(sizes[x])
-        if (group == group[x]).all():
+
+    def others(x: int) -> np.ndarray:
+        other = group[:x] != group[x]
+        if side is not None and side[x]:
+            other &= side[:x] != side[x]
+        return other
+
+    def join(x: int, y: int) -> None:
+        if group[y] != group[x]:
+            links.append((x, y))
+            group[group == group[x]] = group[y]
+
+    for x in range(len(sets)):
+        if not leads.reach[x]:                                     # too few shingles that others hold: no link
             continue
+        own, size = sets[x], int(sizes[x])
         mark[own] = True
-        stack = [(tree.root, 0, 0)]
+        other = others(x)
+        if int(np.count_nonzero(other)) > FEW_ROWS:
+            rows = leads.likely(x)                                 # of near copies, one link mostly settles it
+            for y in rows[other[rows]].tolist():
+                overlap = int(np.count_nonzero(mark[sets[y]]))
+                if 100 * overlap >= percent * (size + int(sizes[y]) - overlap):
+                    join(x, y)
+                    other = others(x)
+                    break
+        if int(np.count_nonzero(other)) > FEW_ROWS:
+            rows = leads.partners(x, size)
+            rows = rows[other[rows]]
+        else:
+            rows = np.flatnonzero(other)
+        leads.add(x)
+        rows = rows[(100 * sizes[rows] >= percent * size) & (100 * size >= percent * sizes[rows])]
+        stack = [(tree.root, 0, 0, rows)] if len(rows) else []
         while stack:
-            node, overlap, depth = stack.pop()
-            if node.low >= x or 100 * node.most < percent * size or 100 * size < percent * node.least:
-                continue
-            rows = slice(node.low, min(node.high, x))
-            skip = group[rows] == group[x]
-            if side is not None and side[x]:
-                skip = skip | (side[rows] == side[x])
-            if skip.all():
+            node, overlap, depth, rows = stack.pop()
+            rows = rows[group[rows] != group[x]]
+            if not len(rows):
                 continue
             overlap += int(np.count_nonzero(mark[node.label]))
             depth += len(node.label)
             left = len(own) - (int(np.searchsorted(own, node.label[-1], side="right")) if len(node.label) else 0)
+            lengths = tree.lengths[rows]
             # needed with the smallest set below: overlap >= percent (size + least) / (100 + percent)
-            if (100 + percent) * (overlap + min(left, node.rest)) < percent * (size + node.least):
+            if (100 + percent) * (overlap + min(left, int(lengths.max()) - depth)) < percent * (size + int(sizes[rows].min())):
                 continue
-            for y in tree.ends_at(node, depth):
-                if y < x and group[y] != group[x] and not (side is not None and side[x] and side[y] == side[x]) \
-                        and 100 * overlap >= percent * (size + int(sizes[y]) - overlap):
-                    links.append((x, y))
-                    group[group == group[x]] = group[y]
-            stack += [(c, overlap, depth) for c in node.children]
+            ended = rows[lengths == depth]
+            for y in ended[100 * overlap >= percent * (size + sizes[ended] - overlap)].tolist():
+                join(x, y)
+            rows = rows[lengths > depth]
+            if len(rows):
+                child = np.searchsorted(node.lows, rows, side="right") - 1
+                cuts = np.flatnonzero(np.diff(child)) + 1
+                stack += [(node.children[int(child[a])], overlap, depth, rows[a:b])
+                          for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True)]
         mark[own] = False
     return links
 
@@ -327,14 +410,16 @@ def grouped(postings: DataFrame) -> DataFrame:
         .select("token", "pivot", "m", "key")
 
 
-def clusters(groups: DataFrame, sets: DataFrame, most: int) -> DataFrame:
-    """(key, cluster, large): the candidate cluster of each set, and whether it has more than `most` shingles."""
+def clusters(groups: DataFrame, sets: DataFrame, most: int, most_sets: int) -> DataFrame:
+    """(key, cluster, large): the candidate cluster of each set, and whether it has more than `most` shingles
+    or `most_sets` sets."""
     pairs = groups.where(F.col("key") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
     found = components(pairs)
     sized = found.join(sets.select("key", "n").distinct(), F.col("node") == F.col("key"))
-    totals = sized.groupBy("component").agg(F.sum("n").alias("total"), F.min("component").alias("cluster"))
-    return found.join(totals.select("cluster", "total"), F.col("component") == F.col("cluster")).select(
-        F.col("node").alias("key"), "cluster", (F.col("total") > most).alias("large"))
+    totals = sized.groupBy("component").agg(F.min("component").alias("cluster"), (
+        (F.sum("n") > most) | (F.count("*") > most_sets)).alias("large"))
+    return found.join(totals.select("cluster", "large"), F.col("component") == F.col("cluster")).select(
+        F.col("node").alias("key"), "cluster", "large")
 
 
 def whole(found: DataFrame) -> DataFrame:
@@ -390,7 +475,8 @@ def open_groups(groups: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, chunk: int = CHUNK,
-               tree_shingles: int = TREE_SHINGLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+               tree_shingles: int = TREE_SHINGLES, tree_sets: int = TREE_SETS,
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     layout = Layout(text_bytes(docs) // LEAST_WORD_BYTES, BUCKETS_PER_SHINGLE)
@@ -413,7 +499,7 @@ def classes_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, chunk:
         return spark.read.schema(ddl(LINKS)).parquet(path)
 
     path = scratch(spark, "jaccard-clusters")
-    clusters(groups, sets, tree_shingles).write.parquet(path)
+    clusters(groups, sets, tree_shingles, tree_sets).write.parquet(path)
     found = spark.read.schema("key binary, cluster binary, large boolean").parquet(path)
     links = stored(compared(whole(found), sets, percent))
     large = found.where("large").select(F.col("key").alias("__large"))

@@ -108,3 +108,61 @@ def test_rows_without_ids_spread_over_the_blocks_by_their_texts(spark):
     assert len(per_block) == 10 and max(per_block.values()) < 300
     dealt = [sorted((r.text, r.block) for r in blocked(d, 2200).collect()) for d in (docs, docs.repartition(7))]
     assert dealt[0] == dealt[1]
+
+
+def _linked(sets, sizes, pairs):
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    names: dict = {}
+    return [names.setdefault(root(i), len(names)) for i in range(len(sets))]
+
+
+def _in_order(sets):
+    return [np.array(s) for s in sorted(sorted(s) for s in sets)]
+
+
+@pytest.mark.parametrize("percent", [50, 60, 80, 85, 100])
+@pytest.mark.parametrize("few", [0, 4, 32])
+def test_tree_walk_equals_all_pairs(percent, few, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FEW_ROWS", few)
+    rng = np.random.default_rng(percent + few)
+    for _ in range(25):
+        vocabulary = int(rng.integers(3, 60))
+        first = [set(rng.integers(0, vocabulary, rng.integers(1, 40)).tolist()) for _ in range(4)]
+        sets = _in_order(first[rng.integers(4)] ^ set(rng.integers(0, vocabulary, rng.integers(0, 4)).tolist()) | {vocabulary}
+                         for _ in range(50))
+        sizes = np.array([len(s) + int(rng.integers(0, 3)) for s in sets])          # shingles of no other set count too
+        side = rng.integers(0, 2, 50) if rng.random() < 0.5 else None
+        pairs = [(a, b) for a in range(50) for b in range(a) if side is None or not side[a] or not side[b]
+                 if 100 * (o := len(np.intersect1d(sets[a], sets[b]))) >= percent * (sizes[a] + sizes[b] - o)]
+        found = jaccard_join.tree_links(sets, sizes, np.arange(50), side, percent)
+        assert set(found) <= set(pairs)
+        assert _linked(sets, sizes, found) == _linked(sets, sizes, pairs)
+
+
+def test_unlinked_sets_of_a_hot_shingle_are_not_walked_to():
+    """2,000 candidates under three common shingles without a link: no path of the tree is followed."""
+    rng = np.random.default_rng(5)
+    sets = _in_order(set(rng.integers(3, 10 ** 6, 97).tolist()) | {0, 1, 2} for _ in range(2000))
+    sizes = np.array([len(s) for s in sets])
+    leads = jaccard_join.Leads(jaccard_join.PrefixTree(sets), sizes, 10 ** 6, 85)
+    met = 0
+    for x in range(2000):
+        met += len(leads.partners(x, int(sizes[x])))
+        leads.add(x)
+    assert met == 0
+    assert jaccard_join.tree_links(sets, sizes, np.arange(2000), None, 85) == []
+
+
+def test_clusters_of_too_many_sets_are_split(spark):
+    docs = [(i, " ".join(f"w{(i // 6) * 50 + j}" for j in range(40)) + f" t{i}") for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = sorted(map(tuple, jaccard_join.classes_of(frame).collect()))
+    assert sorted(map(tuple, jaccard_join.classes_of(frame, tree_sets=3, chunk=4).collect())) == whole
+    assert [c for _, _, c in whole] == [i // 6 * 6 for i in range(30)]
