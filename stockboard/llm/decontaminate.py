@@ -234,3 +234,35 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"),
                          spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: Rows told apart by their number; every window of both sides is written out.
+ORACLE = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS MATERIALIZED (
+  SELECT row_number() OVER () AS m, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS MATERIALIZED (
+  SELECT m, item_id, i AS j, least(len(w), 13) AS k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS t
+  FROM (SELECT m, item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT k FROM item_windows),
+doc_windows AS (
+  SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS t
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, lengths WHERE len(w) >= k)),
+hits AS MATERIALIZED (SELECT r, v.k AS k, i, j, m, item_id FROM doc_windows d JOIN item_windows v ON d.t = v.t AND d.k = v.k),
+runs AS (SELECT r, max(i) - min(i) + max(k) AS length
+         FROM (SELECT *, i - row_number() OVER (PARTITION BY r, m, i - j ORDER BY i) AS run FROM hits)
+         GROUP BY r, m, i - j, run),
+longest AS (SELECT r, max(length) AS length FROM runs GROUP BY r),
+words AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(found.n, 0) AS BIGINT) AS n_items, sha256(coalesce(found.ids, '')) AS items_sha256,
+       CAST(coalesce(length, 0) AS BIGINT) AS longest_match, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r) LEFT JOIN longest USING (r)
+"""

@@ -19,5 +19,6 @@ QUERIES = {
     "op12_phrase_collocations": collocations.op12_phrase_collocations,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
-ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE,
+ORACLE_SQL = {"op2_substring_dedup": substring_dedup.ORACLE, "op5_benchmark_decontamination": decontaminate.ORACLE,
+              "op6_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE,
               "op12_phrase_collocations": collocations.ORACLE}

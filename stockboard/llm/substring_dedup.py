@@ -245,3 +245,21 @@ def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: Rows told apart by their number, windows by the digest of their words.
+ORACLE = r"""
+WITH words AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS MATERIALIZED (
+  SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT r, list(i) AS s FROM windows WHERE h IN (SELECT h FROM repeated) GROUP BY r),
+flags AS (SELECT r, unnest(s) AS i FROM starts),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM flags),
+spread AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+         FROM spread ANTI JOIN covered USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (r)
+"""
