@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(E.queries()) and set(ORACLE_SQL) <= set(E.oracle_sql())
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
