@@ -72,6 +72,29 @@ def test_granted_overlap():
     assert fewest >= 26
 
 
+def test_bands_grant_two_common_ones():
+    assert minhash_dedup.banding(80) == (4, 60) and minhash_dedup.banding(100) == (16, 2)
+    r = np.random.default_rng(1)
+    sets = []
+    for n in [10, 90] * 2_000:                                             # linked pairs at the threshold
+        u = r.integers(0, 2 ** 64, n, dtype=np.uint64)
+        sets += [np.sort(u[:9 * n // 10]), np.sort(np.concatenate((u[:8 * n // 10], u[9 * n // 10:])))]
+    bands = minhash_dedup.band_values(sets, 4, 60)
+    common = (bands[::2] == bands[1::2]).sum(axis=1)
+    assert common.min() >= 2 and abs(common.mean() - 60 * 0.8 ** 4) < 0.5
+
+
+def test_lists_do_not_grow_with_common_shingles(spark):
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(30)]                                   # every pair of words in many texts
+    rows = [(i, " ".join(r.choice(words) for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(5)]
+    index = minhash_dedup.Index(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, 64, 512)
+    lists = index.lists().select("value", "key").collect()
+    assert 10 <= len(lists) < 300                                          # thousands of single values are in two texts
+    assert len({x.key for x in lists}) < 60
+
+
 # --- collocations -----------------------------------------------------------------
 
 def test_transducers():
