@@ -3,6 +3,7 @@ nulls, empty and long texts, ties, repeated rows, clashing column names, empty t
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,31 @@ def test_language_model_sums_to_one():
     assert 1 - 4e-4 < total <= 1
 
 
+def test_a_pair_of_several_blocks_is_looked_up_once(monkeypatch):
+    r = random.Random(6)
+    asked, look_up = [], elias_fano.TrieLevel.look_up
+    monkeypatch.setattr(elias_fano.TrieLevel, "look_up",
+                        lambda level, c, w: asked.extend(zip(c.tolist(), w.tolist())) or look_up(level, c, w))
+    for spread in (1, 1 << 40):                                            # ids that fit into one number, and not
+        blocks, total, rows, seen = [], Counter(), [], 500
+        for b in range(3):
+            pairs = sorted({(r.randint(1, 9) * spread, r.randint(1, 9) * spread) for _ in range(60)})
+            counts = [r.randint(0, 3) for _ in pairs]
+            total.update(dict(zip(pairs, counts)))
+            contexts = sorted({c for c, _ in pairs})
+            numbers = ([*contexts], [seen] * len(contexts), [sum(c == x for c, _ in pairs) for x in contexts],
+                       [w for _, w in pairs], counts)
+            rows.append((0, b, *(ngram_lm.packed(np.array(x)) for x in numbers)))
+            blocks.append(pairs)
+        asked.clear()
+        answers = ngram_lm.pairs_answered(ngram_lm.table_of(rows, ngram_lm.PAIRS)).to_pylist()
+        assert sorted(asked) == sorted(total)
+        share = {p: n / (seen + ngram_lm.WEIGHT * seen ** ngram_lm.POWER) for p, n in total.items()}
+        for pairs, answer in zip(blocks, answers, strict=True):
+            want = [int(elias_fano.quantised(np.array([share[p]]))[0]) if total[p] else elias_fano.ABSENT for p in pairs]
+            assert np.frombuffer(answer["a"], "<u2").tolist() == want
+
+
 def test_elias_fano_against_sorted_arrays():
     r = np.random.default_rng(1)
     for _ in range(100):
