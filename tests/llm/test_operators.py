@@ -1,6 +1,7 @@
 """The corpus operators against plain Python, on rows that try each rule:
 nulls, empty and long texts, ties, repeated rows, clashing column names, empty tables."""
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -164,6 +165,86 @@ def test_a_pair_of_several_blocks_is_looked_up_once(monkeypatch):
             assert np.frombuffer(answer["a"], "<u2").tolist() == want
 
 
+def third_order(docs):
+    """(doc_id, trigram_score) row by row."""
+    rows = [(i, i is None or zlib.crc32(str(i).encode()) % 10 == 0, brute.WORD.findall(brute.low(t)) + [" end"]) for i, t in docs]
+    one, two, three = Counter(), Counter(), Counter()
+    for _, held, w in rows:
+        if not held:
+            one.update(w)
+            two.update(zip(w, w[1:]))
+            three.update(zip(w, w[1:], w[2:]))
+    n, v, out = sum(one.values()), len(one), []
+    for i, _, w in rows:
+        score = 0
+        for k, x in enumerate(w):
+            p = (one[x] + .1) / (n + .1 * (v + 1))
+            for h, c in ((one[w[k - 1]], two[tuple(w[k - 1:k + 1])]) if k else (0, 0),
+                         (two[tuple(w[k - 2:k])], three[tuple(w[k - 2:k + 1])]) if k > 1 else (0, 0)):
+                m = ngram_lm.WEIGHT * h ** ngram_lm.POWER
+                p = (c + m * p) / (h + m) if h else p
+            score += math.log10(p)
+        out.append((i, score, len(w)))
+    return out
+
+
+@pytest.mark.parametrize("hot, entries", [(1 << 21, 1 << 20), (1 << 21, 40), (3, 40)])
+def test_language_model_of_third_order(spark, monkeypatch, hot, entries):
+    monkeypatch.setattr(ngram_lm, "HOT_TOKENS", hot)                       # 3: frequent pairs are split by the third word
+    monkeypatch.setattr(ngram_lm, "SHARD_ENTRIES", entries)
+    r = random.Random(8)
+    docs = [(k, " ".join(r.choice("a a a b b c d e f g".split()) for _ in range(r.randint(0, 30)))) for k in range(150)]
+    docs += [(7, "a b c never seen"), (None, "a b q b a"), (None, None), (160, "a"), (161, "\n")]
+    model = ngram_lm.Model(frame(spark, docs), block_bytes=400)
+    found = sorted(((r.doc_id, r.trigram_score) for r in model.scores().collect()), key=repr)
+    for a, b in zip(found, sorted(third_order(docs), key=repr), strict=True):
+        assert a[0] == b[0] and b[1] - 4e-4 * b[2] <= a[1] <= b[1] + 1e-5 * b[2]
+    levels = model.levels().collect()
+    assert all(any(elias_fano.TrieLevel.mapped(bytes(r.level)).contexts.n for r in levels if r.size == size) for size in (2, 3))
+    assert entries > 40 or len({r.shard for r in levels}) > 4
+
+
+def test_split_pairs_send_each_triple_below_its_pair():
+    """With words frequent enough to be split, as without: each triple once, below a pair of the same shard."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abcdef") for _ in range(200)) for _ in range(5)]
+    table = pa.table({"doc_id": pa.array(range(1, 6), pa.int64()), "text": texts})
+    tokens = ngram_lm.tokens_of(table, 10, 0)
+    asked = [ngram_lm.words_answered(2)(tokens.sent(2, 0).filter(pa.compute.equal(tokens.sent(2, 0)["shard"], k))) for k in range(4)]
+    for hot in (1 << 21, 50):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ngram_lm, "HOT_TOKENS", hot)
+            known = ngram_lm.Known(tokens, pa.concat_tables(asked), 2)
+            routes = known.shards(5)
+        assert sorted(routes.triples.tolist()) == list(range(len(known.parent)))
+        assert set(routes.pairs.tolist()) == set(range(len(known.keys)))
+        assert (len(routes.pairs) > len(known.keys)) == (hot == 50)
+        for _, place, below in routes:
+            at = routes.pairs[place]
+            assert len(set(at.tolist())) == len(at)
+            assert np.repeat(at, routes.followers[place]).tolist() == known.parent[routes.triples[below]].tolist()
+
+
+def test_count_of_a_context_from_its_code():
+    for h in (1, 7, 1000, 10 ** 6):
+        c = np.arange(1, min(h, 1400) + 1)
+        seen = np.full(len(c), float(h))
+        code = elias_fano.quantised(c / (seen + ngram_lm.weight(seen)))
+        assert ngram_lm.count_of(code, seen).tolist() == c.tolist()
+        many = np.linspace(h // 2 + 1, h, 50).astype(int)
+        found = ngram_lm.count_of(elias_fano.quantised(many / (h + ngram_lm.weight(h))), np.full(50, float(h)))
+        assert (found >= many).all() and (found <= many * 1.0004 + 1).all()
+    assert ngram_lm.count_of(np.array([elias_fano.ABSENT], np.uint16), np.array([5.])).tolist() == [0]
+
+
+def test_numbers_survive_packing():
+    r = np.random.default_rng(4)
+    for top in (1, 200, 1 << 20, 1 << 63):
+        for n in (0, 1, 5, 3000):
+            v = r.integers(0, top, n).astype(np.uint64)
+            assert (ngram_lm.unpacked(ngram_lm.packed(v)) == v).all()
+
+
 def test_elias_fano_against_sorted_arrays():
     r = np.random.default_rng(1)
     for _ in range(100):
@@ -176,6 +257,19 @@ def test_elias_fano_against_sorted_arrays():
         assert not len(v) or (e.at(np.arange(len(v))) == v).all()
 
 
+def test_elias_fano_answers_few_questions_as_many():
+    r = np.random.default_rng(7)
+    v = np.sort(r.integers(0, 1 << 30, 5000).astype(np.uint64))
+    x, i = np.concatenate((v[:9], r.integers(0, 1 << 30, 2000).astype(np.uint64))), np.arange(len(v))
+    e = elias_fano.EliasFano(elias_fano.EliasFano.build(v))
+    assert e.many(x) and not e.many(x[:9])
+    index, found = e.successor(x)
+    assert (e.at(i) == v).all() and (index == np.searchsorted(v, x)).all() and (found == np.isin(x, v)).all()
+    for k in range(0, len(x), 9):
+        a, b = e.successor(x[k:k + 9])
+        assert (a == index[k:k + 9]).all() and (b == found[k:k + 9]).all() and (e.at(i[k:k + 9]) == v[k:k + 9]).all()
+
+
 def test_trie_level_finds_its_pairs_and_no_others():
     r = np.random.default_rng(2)
     pairs = sorted({(int(a), int(b)) for a, b in zip(r.integers(1, 9, 300), r.integers(1, 400, 300))})
