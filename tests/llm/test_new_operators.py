@@ -95,6 +95,40 @@ def test_lists_do_not_grow_with_common_shingles(spark):
     assert len({x.key for x in lists}) < 60
 
 
+def opened(spark, rows, chunk):
+    """(index, rows sent to chunks of open lists, what `classes_of` finds)"""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = minhash_dedup.Index(docs, 2, 80, 64, chunk)
+    lists = index.stored(index.lists(), "lists")
+    stars = index.stored(index.stars(lists), "stars")
+    sent = index.open_lists(lists, stars, minhash_dedup.components(index.links(stars))).count()
+    found = minhash_dedup.classes_of(docs, chunk=chunk).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in found), key=repr) == near_classes(rows)
+    return sent
+
+
+def test_a_line_of_many_short_texts(spark):
+    """They lie in common lists, but only near copies have rare values in common."""
+    r = random.Random(6)
+    line = "a line that many short texts of a corpus have in common with each other"
+    rows = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(8)) + "\n" + line) for i in range(500)]
+    rows += [(1000 + i, f"{rows[i][1]} end") for i in range(30)]
+    assert opened(spark, rows, 8) < 8 * len(rows)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Sets that did not get to the component meet its sets once, however many lists hold them."""
+    r = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4]) if i % 8 else 14):
+            w[r.randrange(len(w))] = f"v{r.randrange(3000)}"
+        rows.append((i, " ".join(w)))
+    assert opened(spark, rows, 16) < 12 * len(rows)
+
+
 # --- collocations -----------------------------------------------------------------
 
 def test_transducers():
